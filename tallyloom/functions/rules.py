@@ -36,24 +36,21 @@ def is_known_type(execution_type: Column) -> Column:
     return F.coalesce(execution_type.isin(EXECUTION_TYPES), F.lit(False))
 
 
-def is_json_object(json: Column) -> Column:
-    return F.json_object_keys(json).isNotNull()
+def json_keys(json: Column) -> Column:
+    """Array of the object's keys, NULL for anything but a JSON object. Parse once, ask often."""
+    return F.json_object_keys(json)
 
 
-def has_key(json: Column, key: str) -> Column:
-    """Whether the JSON object holds the key, even with a null value; false for anything else."""
-    return F.coalesce(F.array_contains(F.json_object_keys(json), key), F.lit(False))
+def has_key(keys: Column, key: str) -> Column:
+    """Whether the parsed keys hold this one, whatever its value; false without an object."""
+    return F.coalesce(F.array_contains(keys, key), F.lit(False))
 
 
-def json_field(json: Column, key: str) -> Column:
-    return F.get_json_object(json, f"$.{key}")
-
-
-def first_metadata_error(execution_type: Column, metadata: Column) -> Column:
+def first_metadata_error(execution_type: Column, keys: Column) -> Column:
     """Code of the first failing rule, NULL if all hold. Only the presence of keys is tested."""
     error = F.when(~is_known_type(execution_type), "invalid_execution_type")
     for key, types in REQUIRED_KEYS:
-        error = error.when(execution_type.isin(types) & ~has_key(metadata, key), f"missing_{key}")
+        error = error.when(execution_type.isin(types) & ~has_key(keys, key), f"missing_{key}")
     return error
 
 

@@ -18,8 +18,7 @@ def _resolve(claims: DataFrame, users: DataFrame, early: Column, late: Column) -
     """
     judged = claims.withColumn("_early", early)
     decided = judged.where("_early is not null").select(*claims.columns, F.col("_early").alias("code"))
-    known = (users.groupBy(F.col("id").alias("sub"))
-             .agg(F.max(F.coalesce("is_active", F.lit(False))).alias("_active")))
+    known = users.select(F.col("id").alias("sub"), F.coalesce("is_active", F.lit(False)).alias("_active"))
     asked = judged.where("_early is null").drop("_early").join(known, "sub", "left")
     return decided.unionByName(asked.select(*claims.columns, late.alias("code"))).withColumn(
         "code", F.col("code").cast("bigint"))

@@ -13,10 +13,11 @@ from tallyloom.schemas import FOREIGN_KEYS, MAX_LENGTH, UNIQUE, required_columns
 
 def metadata_validation(projects: DataFrame) -> DataFrame:
     """First failing rule of each project, NULL if all hold; NULL metadata counts as ``{}``."""
-    metadata = F.coalesce(F.col("metadata"), F.lit("{}"))
-    checked = projects.select(
-        F.col("id").alias("project_id"), "execution_type",
-        R.first_metadata_error(F.col("execution_type"), metadata).alias("error_code"))
+    parsed = projects.select(
+        F.col("id").alias("project_id"), "execution_type", R.json_keys(F.col("metadata")).alias("_keys"))
+    checked = parsed.select(
+        "project_id", "execution_type",
+        R.first_metadata_error(F.col("execution_type"), F.col("_keys")).alias("error_code"))
     return checked.withColumn("message", R.error_message(F.col("error_code")))
 
 

@@ -1,9 +1,8 @@
-"""The declared relationships between the tables.
+"""Joins that stand up to skew, and the declared relationships between the tables.
 
-The side that repeats a key (projects of an owner, files of a project) may be skewed. An inner
-join lets adaptive execution split such a partition on either side; an outer join does so only on
-the side it keeps, which here is the side with unique keys. So an outer join is put together from
-the inner join and the unmatched parents, found with an anti-join on pre-aggregated child keys.
+Adaptive execution splits an oversized partition of a join only if both sides were shuffled for
+that join, and only on a side whose rows need not all be seen together: either side of an inner
+join, the kept side of an outer join, the left of a semi- or anti-join.
 """
 
 from __future__ import annotations
@@ -12,8 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def attach(many: DataFrame, one: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join rows that may repeat a key to an aggregated or joined side with at most one row per key.
+
+    Such a side is already partitioned by the keys, and Spark would join it as it is, which rules
+    out splitting ``many``. A hash of the keys as one more key does not change what matches, but
+    has both sides shuffled for this join; ``one`` is the narrow side.
+    """
+    spread = F.xxhash64(*keys)
+    joined = many.withColumn("_spread", spread).join(one.withColumn("_spread", spread), [*keys, "_spread"], how)
+    return joined.drop("_spread")
+
+
 def keep_parents(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
-    """Left join of parents with unique ``key`` to any number of children per key."""
+    """Left join of parents with unique ``key`` to any number of children per key.
+
+    An outer join could not split the children, so this is the inner join plus the parents
+    without children, found with an anti-join on pre-aggregated child keys.
+    """
     matched = parents.join(children, key)
     lonely = parents.join(children.select(key).distinct(), key, "left_anti")
     return matched.unionByName(lonely, allowMissingColumns=True)

@@ -8,20 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
+from tallyloom.operators.joins import attach
 
 
-def lookup(requests: DataFrame, table: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Every request with the fields of the one row it names, and a ``result`` column.
-
-    ``result`` is ``found``, ``missing`` or ``ambiguous``. The table is folded to one row per key
-    before the join (combined on the map side), so a key that many rows share neither multiplies
-    the requests nor fills one task; its fields stay NULL, since no single row is meant.
-    """
-    hits = table.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.first(field).alias(field) for field in fields],
-    )
-    joined = requests.join(hits, list(on), "left")
+def _answers(joined: DataFrame, requests: DataFrame, fields: Sequence[str]) -> DataFrame:
     once = F.col("_n") == 1
     return joined.select(
         *requests.columns,
@@ -30,19 +20,39 @@ def lookup(requests: DataFrame, table: DataFrame, on: Sequence[str], fields: Seq
     )
 
 
+def lookup_by_key(requests: DataFrame, table: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Every request with the fields of the row it names by primary key, and a ``result`` column.
+
+    ``result`` is ``found`` or ``missing``.
+    """
+    hits = table.select(*on, *fields, F.lit(1).alias("_n"))
+    return _answers(requests.join(hits, list(on), "left"), requests, fields)
+
+
+def lookup_at_most_one(requests: DataFrame, table: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """The same by columns that ought to be unique; ``result`` may also be ``ambiguous``.
+
+    The table is folded to one row per key before the join (combined on the map side), so a key
+    that many rows share neither multiplies the requests nor fills one task; its fields stay
+    NULL, since no single row is meant.
+    """
+    hits = table.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(field).alias(field) for field in fields])
+    return _answers(attach(requests, hits, list(on), "left"), requests, fields)
+
+
 def project_lookup(requests: DataFrame, projects: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Projects by id and owner. A foreign project looks the same as a missing one."""
-    owned = projects.withColumnRenamed("id", "project_id")
-    return lookup(requests, owned, ["project_id", "user_id"], fields)
+    return lookup_by_key(requests, projects.withColumnRenamed("id", "project_id"), ["project_id", "user_id"], fields)
 
 
 def user_by_id(requests: DataFrame, users: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return lookup(requests, users.withColumnRenamed("id", "user_id"), ["user_id"], fields)
+    return lookup_by_key(requests, users.withColumnRenamed("id", "user_id"), ["user_id"], fields)
 
 
 def user_by_email(requests: DataFrame, users: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Exact and case-sensitive."""
-    return lookup(requests, users, ["email"], fields)
+    return lookup_at_most_one(requests, users, ["email"], fields)
 
 
 def lookup_ambiguity(table: DataFrame, key: str) -> DataFrame:
@@ -95,7 +105,7 @@ def download_key_audit(requests: DataFrame, projects: DataFrame) -> DataFrame:
 
     The ids must occur somewhere in the key; a prefix is not asked for.
     """
-    owned = projects.select(F.col("id").alias("project_id"), "user_id").distinct().withColumn("_owned", F.lit(True))
+    owned = projects.select(F.col("id").alias("project_id"), "user_id").withColumn("_owned", F.lit(True))
     inside = F.col("r2_key").contains(F.col("user_id")) & F.col("r2_key").contains(F.col("project_id"))
     code = F.when(F.col("_owned").isNull(), 404).when(~inside, 403).otherwise(200)
     return (requests.join(owned, ["project_id", "user_id"], "left")

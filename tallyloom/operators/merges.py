@@ -5,8 +5,8 @@ request. Requests carry ``seq``, the order in which they were made; ids of new r
 (``as_of``) are inputs, so a run can be repeated.
 
 A batch may aim a third of its requests at one row. Requests are therefore folded to one row per
-target by aggregation, which combines on the map side, and outcomes are joined to the requests
-with the unique side on the right, where adaptive execution can split the requests.
+target by aggregation, which combines on the map side, and outcomes go back to the requests with
+``attach``, which lets adaptive execution split them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
 from tallyloom.functions import rules as R
+from tallyloom.operators.joins import attach
 from tallyloom.operators.ranking import split_rank
 
 # Response codes by outcome. A deferred request has no response yet.
@@ -39,6 +40,12 @@ def with_code(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("code", response_code(F.col("outcome")))
 
 
+def _replace(joined: DataFrame, columns: list[str], changes: dict[str, Column]) -> DataFrame:
+    """The table's columns, some of them computed anew."""
+    return joined.select(*[
+        changes[column].alias(column) if column in changes else F.col(column) for column in columns])
+
+
 def invalid(code: Column) -> Column:
     return F.concat(F.lit("invalid:"), code)
 
@@ -50,10 +57,11 @@ def project_create(projects: DataFrame, requests: DataFrame, as_of: Column) -> t
     metadata = F.coalesce(F.col("metadata"), F.lit("{}"))
     judged = (
         requests.withColumn("metadata", metadata)
-        .withColumn("_error", R.first_metadata_error(F.col("execution_type"), F.col("metadata")))
+        .withColumn("_keys", R.json_keys(F.col("metadata")))
+        .withColumn("_error", R.first_metadata_error(F.col("execution_type"), F.col("_keys")))
         .withColumn("outcome",
                     F.when(F.col("name").isNull() | F.col("execution_type").isNull(), "unprocessable")
-                    .when(~R.is_json_object(F.col("metadata")), "unprocessable")
+                    .when(F.col("_keys").isNull(), "unprocessable")
                     .when(F.col("_error").isNotNull(), invalid(F.col("_error")))
                     .otherwise("created"))
     )
@@ -84,7 +92,7 @@ def _judge_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
     verdict = (F.when(incomplete, "incomplete")
                .when(F.col("name").isNull(), "error_not_null")
                .when(~kept_email & F.coalesce(taken, F.lit(False)), "email_conflict"))
-    return (profiles.join(known, "sub", "left").join(holders, "email", "left")
+    return (attach(profiles.join(known, "sub", "left"), holders, ["email"], "left")
             .withColumn("_own", own).withColumn("_kept_email", kept_email)
             .withColumn("_verdict", verdict)
             .select(*profiles.columns, "_own", "_kept_email", "_email", "_name", "_avatar", "_verdict"))
@@ -103,7 +111,7 @@ def _settle_profiles(judged: DataFrame) -> DataFrame:
             & F.col("picture").eqNullSafe(F.col("_avatar")))
     outcome = (F.when(~F.col("_kept_email") & (F.col("seq") != F.col("_first")), "email_conflict")
                .when(~F.col("_own"), "inserted").when(same, "noop").otherwise("updated"))
-    return last.join(first, "email", "left").withColumn("outcome", outcome)
+    return attach(last, first, ["email"], "left").withColumn("outcome", outcome)
 
 
 def user_upsert(users: DataFrame, profiles: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -150,19 +158,25 @@ def _first_patches(patches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _patched_project(joined: DataFrame) -> DataFrame:
-    """Adds ``_new_<column>`` and ``_outcome`` to project rows joined with a ``patch``."""
-    patch = F.col("patch")
-    for field, column in PATCHABLE.items():
-        value = F.when(R.has_key(patch, field), R.json_field(patch, field)).otherwise(F.col(column))
-        joined = joined.withColumn(f"_new_{column}", value)
-    checked = R.has_key(patch, "execution_type") | R.has_key(patch, "metadata_")
+    """Adds ``_new_<column>`` and ``_outcome`` to project rows joined with a ``patch``.
+
+    Patch and merged metadata are parsed once each, into columns of their own.
+    """
+    schema = ", ".join(f"{field} string" for field in PATCHABLE)
+    joined = joined.withColumns({"_set": R.json_keys(F.col("patch")), "_value": F.from_json("patch", schema)})
+    joined = joined.withColumns({
+        f"_new_{column}": F.when(R.has_key(F.col("_set"), field), F.col(f"_value.{field}")).otherwise(F.col(column))
+        for field, column in PATCHABLE.items()})
+    joined = joined.withColumn("_keys", R.json_keys(F.col("_new_metadata")))
+    sets_metadata = R.has_key(F.col("_set"), "metadata_")
+    checked = R.has_key(F.col("_set"), "execution_type") | sets_metadata
     kind, metadata = F.col("_new_execution_type"), F.col("_new_metadata")
-    error = R.first_metadata_error(kind, metadata)
+    error = R.first_metadata_error(kind, F.col("_keys"))
     unchanged = reduce(Column.__and__, [
         F.col(f"_new_{column}").eqNullSafe(F.col(column)) for column in PATCHABLE.values()])
     outcome = (
-        F.when(~R.is_json_object(patch) | patch.isNull(), "unprocessable")
-        .when(R.has_key(patch, "metadata_") & metadata.isNotNull() & ~R.is_json_object(metadata), "unprocessable")
+        F.when(F.col("_set").isNull(), "unprocessable")
+        .when(sets_metadata & metadata.isNotNull() & F.col("_keys").isNull(), "unprocessable")
         .when(checked & ~R.is_known_type(kind), "invalid:invalid_execution_type")
         .when(checked & metadata.isNull(), "error_null_metadata")
         .when(checked & error.isNotNull(), invalid(error))
@@ -183,45 +197,43 @@ def project_patch(projects: DataFrame, patches: DataFrame, as_of: Column) -> tup
     hit = projects.join(firsts.withColumnRenamed("project_id", "id"), ["id", "user_id"], "left")
     judged = _patched_project(hit)
     apply = F.col("_first").isNotNull() & (F.col("_outcome") == "ok")
-    columns = []
-    for column in projects.columns:
-        if column in PATCHABLE.values():
-            columns.append(F.when(apply, F.col(f"_new_{column}")).otherwise(F.col(column)).alias(column))
-        elif column == "updated_at":
-            columns.append(F.when(apply, as_of).otherwise(F.col(column)).alias(column))
-        else:
-            columns.append(F.col(column))
-    table = judged.select(*columns)
+    changes = {column: F.when(apply, F.col(f"_new_{column}")).otherwise(F.col(column)) for column in PATCHABLE.values()}
+    changes["updated_at"] = F.when(apply, as_of).otherwise(F.col("updated_at"))
+    table = _replace(judged, projects.columns, changes)
 
     # Only patched projects reach the second join, so this side stays as small as the batch.
     verdicts = _patched_project(
         projects.join(firsts.withColumnRenamed("project_id", "id"), ["id", "user_id"])
     ).select(F.col("id").alias("project_id"), "user_id", "_first", "_outcome")
-    outcomes = patches.join(verdicts, keys, "left").select(
+    outcomes = attach(patches, verdicts, keys, "left").select(
         "seq", *keys,
         F.when(F.col("_first").isNull(), "not_found")
         .when(F.col("seq") == F.col("_first"), F.col("_outcome")).otherwise("deferred").alias("outcome"))
     return table, with_code(outcomes)
 
 
+def _patched_user(joined: DataFrame) -> DataFrame:
+    joined = joined.withColumns({
+        "_set": R.json_keys(F.col("patch")), "_value": F.get_json_object("patch", "$.full_name")})
+    name = F.col("full_name")
+    joined = joined.withColumn(
+        "_new_name", F.when(R.has_key(F.col("_set"), "full_name"), F.col("_value")).otherwise(name))
+    return joined.withColumn("_outcome", (
+        F.when(F.col("_set").isNull(), "unprocessable").when(F.col("_new_name").isNull(), "error_not_null")
+        .when(F.col("_new_name").eqNullSafe(name), "noop").otherwise("ok")))
+
+
 def user_patch(users: DataFrame, patches: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Patches: seq, user_id, patch; only ``full_name`` can be set. Later patches are deferred."""
-    patch, name = F.col("patch"), F.col("full_name")
     firsts = _first_patches(patches, ["user_id"]).withColumnRenamed("user_id", "id")
-    new = F.when(R.has_key(patch, "full_name"), R.json_field(patch, "full_name")).otherwise(name)
-    outcome = (F.when(~R.is_json_object(patch) | patch.isNull(), "unprocessable")
-               .when(new.isNull(), "error_not_null").when(new.eqNullSafe(name), "noop").otherwise("ok"))
-    judged = users.join(firsts, "id", "left").withColumn("_new_name", new).withColumn("_outcome", outcome)
     apply = F.col("_first").isNotNull() & (F.col("_outcome") == "ok")
-    table = judged.select(*[
-        F.when(apply, F.col("_new_name")).otherwise(name).alias("full_name") if column == "full_name"
-        else F.when(apply, as_of).otherwise(F.col(column)).alias(column) if column == "updated_at"
-        else F.col(column)
-        for column in users.columns])
-
-    verdicts = (users.join(firsts, "id").withColumn("_outcome", outcome)
-                .select(F.col("id").alias("user_id"), "_first", "_outcome"))
-    outcomes = patches.join(verdicts, "user_id", "left").select(
+    table = _replace(_patched_user(users.join(firsts, "id", "left")), users.columns, {
+        "full_name": F.when(apply, F.col("_new_name")).otherwise(F.col("full_name")),
+        "updated_at": F.when(apply, as_of).otherwise(F.col("updated_at"))})
+
+    verdicts = _patched_user(users.join(firsts, "id")).select(
+        F.col("id").alias("user_id"), "_first", "_outcome")
+    outcomes = attach(patches, verdicts, ["user_id"], "left").select(
         "seq", "user_id",
         F.when(F.col("_first").isNull(), "not_found")
         .when(F.col("seq") == F.col("_first"), F.col("_outcome")).otherwise("deferred").alias("outcome"))
@@ -243,7 +255,7 @@ def project_delete(projects: DataFrame, files: DataFrame, requests: DataFrame
     doomed = owned.select("project_id")
     left = projects.join(doomed.withColumnRenamed("project_id", "id"), "id", "left_anti")
     files_left = files.join(doomed, "project_id", "left_anti")
-    outcomes = requests.join(owned, keys, "left").select(
+    outcomes = attach(requests, owned, keys, "left").select(
         "seq", *keys,
         F.when(F.col("seq") == F.col("_first"), "deleted").otherwise("not_found").alias("outcome"))
     return left.select(*projects.columns), files_left.select(*files.columns), with_code(outcomes)
@@ -254,12 +266,10 @@ def user_deactivate(users: DataFrame, requests: DataFrame, as_of: Column) -> tup
     asked = requests.select(F.col("user_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
     hit = F.col("_hit").isNotNull()
     changed = hit & ~F.col("is_active").eqNullSafe(F.lit(False))
-    table = users.join(asked, "id", "left").select(*[
-        F.when(hit, F.lit(False)).otherwise(F.col(column)).alias(column) if column == "is_active"
-        else F.when(changed, as_of).otherwise(F.col(column)).alias(column) if column == "updated_at"
-        else F.col(column)
-        for column in users.columns])
-    known = users.select(F.col("id").alias("user_id")).distinct().withColumn("_known", F.lit(True))
+    table = _replace(users.join(asked, "id", "left"), users.columns, {
+        "is_active": F.when(hit, F.lit(False)).otherwise(F.col("is_active")),
+        "updated_at": F.when(changed, as_of).otherwise(F.col("updated_at"))})
+    known = users.select(F.col("id").alias("user_id")).withColumn("_known", F.lit(True))
     code = F.when(F.col("_known").isNull(), 400).otherwise(204)
     outcomes = requests.join(known, "user_id", "left").select("seq", "user_id", code.cast("bigint").alias("code"))
     return table, outcomes
@@ -272,8 +282,8 @@ def user_cascade_delete(users: DataFrame, projects: DataFrame, files: DataFrame,
     users_left = users.join(gone.withColumnRenamed("user_id", "id"), "id", "left_anti")
     # Only users that exist have projects to lose.
     known_gone = gone.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    projects_left = projects.join(known_gone, "user_id", "left_anti")
-    projects_gone = projects.join(known_gone, "user_id", "left_semi").select(F.col("id").alias("project_id"))
+    projects_left = attach(projects, known_gone, ["user_id"], "left_anti")
+    projects_gone = attach(projects, known_gone, ["user_id"], "left_semi").select(F.col("id").alias("project_id"))
     files_left = files.join(projects_gone, "project_id", "left_anti")
     return (users_left.select(*users.columns), projects_left.select(*projects.columns),
             files_left.select(*files.columns))
@@ -291,8 +301,8 @@ def delete_manifest(listing: DataFrame, requests: DataFrame, batch_size: int = 1
     parted = listing.select(
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"), "key")
     asked = requests.select("user_id", "project_id").distinct()
-    below = (parted.where(F.startswith("key", K.project_prefix(F.col("user_id"), F.col("project_id"))))
-             .join(asked, ["user_id", "project_id"], "left_semi"))
+    inside = parted.where(F.startswith("key", K.project_prefix(F.col("user_id"), F.col("project_id"))))
+    below = attach(inside, asked, ["user_id", "project_id"], "left_semi")
     ranked = split_rank(below, ["user_id", "project_id"], [F.col("key").asc()])
     return ranked.select("user_id", "project_id", F.expr(f"(rn - 1) div {batch_size}").alias("batch"), "key")
 
@@ -306,13 +316,10 @@ def run_transition(projects: DataFrame, requests: DataFrame, as_of: Column) -> t
              .withColumn("_hit", F.lit(True)))
     hit = F.col("_hit").isNotNull()
     changed = hit & ~F.col("status").eqNullSafe(F.lit("processing"))
-    table = projects.join(asked, ["id", "user_id"], "left").select(*[
-        F.when(hit, F.lit("processing")).otherwise(F.col(column)).alias(column) if column == "status"
-        else F.when(changed, as_of).otherwise(F.col(column)).alias(column) if column == "updated_at"
-        else F.col(column)
-        for column in projects.columns])
-    known = (projects.select(F.col("id").alias("project_id"), "user_id").distinct()
-             .withColumn("_known", F.lit(True)))
+    table = _replace(projects.join(asked, ["id", "user_id"], "left"), projects.columns, {
+        "status": F.when(hit, F.lit("processing")).otherwise(F.col("status")),
+        "updated_at": F.when(changed, as_of).otherwise(F.col("updated_at"))})
+    known = projects.select(F.col("id").alias("project_id"), "user_id").withColumn("_known", F.lit(True))
     code = F.when(F.col("_known").isNull(), 404).otherwise(200)
     outcomes = requests.join(known, keys, "left").select("seq", *keys, code.cast("bigint").alias("code"))
     return table, outcomes

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tallyloom.operators.ranking import split_rank
 
 
+# The deepest row up to which each task may send its own top rows; well below Spark's own bound
+# for the group limit (spark.sql.optimizer.windowGroupLimitThreshold).
+SHALLOW = 100
+
+
 def newest_first() -> list[Column]:
     """Undated projects come first; the id settles ties, so that pages are repeatable."""
     return [F.col("created_at").desc_nulls_first(), F.col("id").asc()]
@@ -39,14 +44,12 @@ def project_page_all_owners(projects: DataFrame, skip: int = 0, limit: int = 10)
     """The same page of every owner; ``rn`` is the place in the owner's whole list.
 
     For an ordinary page each task first keeps the top ``skip + limit`` rows per owner (Spark's
-    window group limit), so an owner with very many projects sends few rows. Beyond the depth up
-    to which Spark does that, the sort columns alone are numbered with ``split_rank`` and only
-    the rows of the page are fetched.
+    window group limit), so an owner with very many projects sends few rows. For deeper pages,
+    the sort columns alone are numbered with ``split_rank`` and only the page's rows are fetched.
     """
     check_page(skip, limit)
     last = skip + limit
-    threshold = int(projects.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if last <= threshold:
+    if last <= SHALLOW:
         place = F.row_number().over(Window.partitionBy("user_id").orderBy(*newest_first()))
         ranked = projects.withColumn("rn", place).where(F.col("rn") <= last)
         return ranked.where(F.col("rn") > skip).withColumn("rn", F.col("rn").cast("bigint"))
