@@ -19,22 +19,29 @@ def object_key(user_id: Column, project_id: Column, folder: Column, filename: Co
     return F.concat(folder_prefix(user_id, project_id, folder), filename)
 
 
+def has_key_layout(key: Column) -> Column:
+    return key.rlike("^[^/]+/projects/[^/]+/[^/]+/")
+
+
+def in_project(key: Column) -> Column:
+    """Whether the key is below some project, be it in a folder or not."""
+    return key.rlike("^[^/]+/projects/[^/]+/")
+
+
+# The parts below hold for keys that pass the tests above.
+
 def key_user(key: Column) -> Column:
-    return F.split_part(key, F.lit("/"), F.lit(1))
+    return F.substring_index(key, "/", 1)
 
 
 def key_project(key: Column) -> Column:
-    return F.split_part(key, F.lit("/"), F.lit(3))
+    return F.substring_index(F.substring_index(key, "/", 3), "/", -1)
 
 
 def key_folder(key: Column) -> Column:
-    return F.split_part(key, F.lit("/"), F.lit(4))
+    return F.substring_index(F.substring_index(key, "/", 4), "/", -1)
 
 
 def key_filename(key: Column) -> Column:
     """Everything behind the folder; it may itself hold slashes."""
-    return F.regexp_extract(key, r"^(?:[^/]*/){4}([\s\S]*)$", 1)
-
-
-def has_key_layout(key: Column) -> Column:
-    return key.rlike(r"^[^/]+/projects/[^/]+/[^/]+/[\s\S]+$")
+    return F.substring(key, F.length(F.substring_index(key, "/", 4)) + 2, F.length(key))

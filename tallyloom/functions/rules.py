@@ -46,12 +46,26 @@ def has_key(keys: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(keys, key), F.lit(False))
 
 
+def required_keys(execution_type: Column) -> Column:
+    """Array of the keys a known type requires, in checking order; NULL for an unknown type."""
+    arrays = [
+        (kind, F.array(*[F.lit(key) for key, types in REQUIRED_KEYS if kind in types]))
+        for kind in EXECUTION_TYPES]
+    required = F.when(execution_type == arrays[0][0], arrays[0][1])
+    for kind, array in arrays[1:]:
+        required = required.when(execution_type == kind, array)
+    return required
+
+
 def first_metadata_error(execution_type: Column, keys: Column) -> Column:
-    """Code of the first failing rule, NULL if all hold. Only the presence of keys is tested."""
-    error = F.when(~is_known_type(execution_type), "invalid_execution_type")
-    for key, types in REQUIRED_KEYS:
-        error = error.when(execution_type.isin(types) & ~has_key(keys, key), f"missing_{key}")
-    return error
+    """Code of the first failing rule, NULL if all hold. Only the presence of keys is tested.
+
+    ``keys`` occurs once, so they are parsed once even where the optimizer inlines this.
+    """
+    present = F.coalesce(keys, F.array().cast("array<string>"))
+    missing = F.get(F.array_except(required_keys(execution_type), present), F.lit(0))
+    return F.when(~is_known_type(execution_type), "invalid_execution_type").otherwise(
+        F.concat(F.lit("missing_"), missing))
 
 
 def error_message(code: Column) -> Column:

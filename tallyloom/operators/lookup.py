@@ -91,13 +91,12 @@ def object_keys(files: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def object_key_parts(listing: DataFrame, key: str = "key") -> DataFrame:
-    """Parts of each key; ``conforms`` tells whether the key follows the layout at all."""
+    """Parts of each key, NULL where the key does not follow the layout."""
     column = F.col(key)
-    return listing.select(
-        column.alias("key"),
-        K.key_user(column).alias("user_id"), K.key_project(column).alias("project_id"),
-        K.key_folder(column).alias("folder"), K.key_filename(column).alias("filename"),
-        K.has_key_layout(column).alias("conforms"))
+    parts = {"user_id": K.key_user, "project_id": K.key_project, "folder": K.key_folder, "filename": K.key_filename}
+    conforms = listing.select(column.alias("key"), K.has_key_layout(column).alias("conforms"))
+    return conforms.select(
+        "key", *[F.when(F.col("conforms"), part(F.col("key"))).alias(name) for name, part in parts.items()], "conforms")
 
 
 def download_key_audit(requests: DataFrame, projects: DataFrame) -> DataFrame:
@@ -119,7 +118,7 @@ def object_listing(requests: DataFrame, listing: DataFrame) -> DataFrame:
     the key; the prefix itself only filters. The marker object of the folder is left out, and the
     prefix is removed from the file name wherever it occurs.
     """
-    parted = listing.select(
+    parted = listing.where(K.in_project(F.col("key"))).select(
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"),
         F.col("key").alias("r2_key"), "size", "last_modified")
     asked = requests.select("user_id", "project_id", "folder").distinct().withColumn(

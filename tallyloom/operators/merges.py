@@ -20,6 +20,7 @@ from tallyloom.functions import keys as K
 from tallyloom.functions import rules as R
 from tallyloom.operators.joins import attach
 from tallyloom.operators.ranking import split_rank
+from tallyloom.session import cut_lineage
 
 # Response codes by outcome. A deferred request has no response yet.
 CODES = {
@@ -59,19 +60,18 @@ def project_create(projects: DataFrame, requests: DataFrame, as_of: Column) -> t
         requests.withColumn("metadata", metadata)
         .withColumn("_keys", R.json_keys(F.col("metadata")))
         .withColumn("_error", R.first_metadata_error(F.col("execution_type"), F.col("_keys")))
-        .withColumn("outcome",
-                    F.when(F.col("name").isNull() | F.col("execution_type").isNull(), "unprocessable")
-                    .when(F.col("_keys").isNull(), "unprocessable")
-                    .when(F.col("_error").isNotNull(), invalid(F.col("_error")))
-                    .otherwise("created"))
+        .withColumn("_complete", F.col("name").isNotNull() & F.col("execution_type").isNotNull()
+                    & F.col("_keys").isNotNull())
     )
     # Defaults of a new project.
-    new = judged.where("outcome = 'created'").select(
+    new = judged.where("_complete and _error is null").select(
         "id", "user_id", "name", "description", "execution_type", F.lit("created").alias("status"),
         F.lit(0).alias("num_files"), "metadata", F.lit("{}").alias("pipeline_status"),
         F.lit(None).cast("string").alias("error_message"),
         as_of.alias("created_at"), as_of.alias("updated_at"))
-    outcomes = with_code(judged.select("seq", F.col("id").alias("project_id"), "outcome"))
+    outcome = (F.when(~F.col("_complete"), "unprocessable")
+               .when(F.col("_error").isNotNull(), invalid(F.col("_error"))).otherwise("created"))
+    outcomes = with_code(judged.select("seq", F.col("id").alias("project_id"), outcome.alias("outcome")))
     return projects.unionByName(new), outcomes
 
 
@@ -121,7 +121,8 @@ def user_upsert(users: DataFrame, profiles: DataFrame, as_of: Column) -> tuple[D
     reactivated; an unchanged one keeps ``updated_at``. Profiles that would break the unique
     email are left out. Emails are compared with those held before the batch.
     """
-    judged = _judge_profiles(users, profiles)
+    # The new table and the outcomes both start from the judged profiles.
+    judged = cut_lineage(_judge_profiles(users, profiles))
     settled = _settle_profiles(judged)
 
     change = settled.where("outcome in ('inserted', 'updated')").select(
@@ -292,17 +293,16 @@ def user_cascade_delete(users: DataFrame, projects: DataFrame, files: DataFrame,
 def delete_manifest(listing: DataFrame, requests: DataFrame, batch_size: int = 1000) -> DataFrame:
     """Objects below the requested projects (user_id, project_id), in key order and batches.
 
-    The prefix is ``{user}/projects/{project}/``, so user and project parts of the key are joined
-    by equality and the prefix confirms the match. Deleting is left to the caller; a single
+    The prefix is ``{user}/projects/{project}/``, so keys of that shape are joined by equality of
+    their user and project parts. Deleting is left to the caller; a single
     object is the case of one key.
     """
     if batch_size <= 0:
         raise ValueError(f"batch_size must be at least 1, got {batch_size}")
-    parted = listing.select(
+    parted = listing.where(K.in_project(F.col("key"))).select(
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"), "key")
     asked = requests.select("user_id", "project_id").distinct()
-    inside = parted.where(F.startswith("key", K.project_prefix(F.col("user_id"), F.col("project_id"))))
-    below = attach(inside, asked, ["user_id", "project_id"], "left_semi")
+    below = attach(parted, asked, ["user_id", "project_id"], "left_semi")
     ranked = split_rank(below, ["user_id", "project_id"], [F.col("key").asc()])
     return ranked.select("user_id", "project_id", F.expr(f"(rn - 1) div {batch_size}").alias("batch"), "key")
 
