@@ -97,8 +97,9 @@ def required_columns(table: str) -> list[str]:
 def create_tables(spark: SparkSession, database: str = "default", location: str | None = None) -> None:
     """Create the tables, parents first; with ``location`` they live under that folder.
 
-    They are left unbucketed on purpose: one project may own a third of all files, and a bucket
-    cannot be split at run time, while a shuffled join can.
+    Spark records NOT NULL but does not enforce it for parquet, hence the audits. The tables are
+    left unbucketed on purpose: one project may own a third of all files, and a bucket cannot be
+    split at run time, while a shuffled join can.
     """
     for name, schema in TABLES.items():
         columns = ", ".join(
