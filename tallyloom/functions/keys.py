@@ -45,3 +45,10 @@ def key_folder(key: Column) -> Column:
 def key_filename(key: Column) -> Column:
     """Everything behind the folder; it may itself hold slashes."""
     return F.substring(key, F.length(F.substring_index(key, "/", 4)) + 2, F.length(key))
+
+
+def key_folders(key: Column) -> Column:
+    """Every folder the key is in, from the top one down: ``a`` and ``a/b`` for a file ``a/b/c``."""
+    below = F.split(F.substring(key, F.length(F.substring_index(key, "/", 3)) + 2, F.length(key)), "/")
+    depths = F.when(F.size(below) > 1, F.sequence(F.lit(1), F.size(below) - 1))
+    return F.transform(depths, lambda depth: F.array_join(F.slice(below, 1, depth), "/"))

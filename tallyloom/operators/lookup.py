@@ -114,16 +114,17 @@ def download_key_audit(requests: DataFrame, projects: DataFrame) -> DataFrame:
 def object_listing(requests: DataFrame, listing: DataFrame) -> DataFrame:
     """Objects below each requested folder (project_id, user_id, folder), sub-folders included.
 
-    Every prefix starts with user and project, so the join is an equality on those two parts of
-    the key; the prefix itself only filters. The marker object of the folder is left out, and the
-    prefix is removed from the file name wherever it occurs.
+    Each object is taken once per folder it is in (one, unless folders are nested), so that the
+    prefix becomes an equality and no request is held against objects outside its folder. The
+    marker object of the folder is left out, and the prefix is removed from the file name
+    wherever it occurs.
     """
-    parted = listing.where(K.in_project(F.col("key"))).select(
+    keys = ["user_id", "project_id", "folder"]
+    placed = listing.where(K.in_project(F.col("key"))).select(
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"),
+        F.explode(K.key_folders(F.col("key"))).alias("folder"),
         F.col("key").alias("r2_key"), "size", "last_modified")
-    asked = requests.select("user_id", "project_id", "folder").distinct().withColumn(
-        "_prefix", K.folder_prefix(F.col("user_id"), F.col("project_id"), F.col("folder")))
-    below = F.startswith("r2_key", "_prefix") & (F.col("r2_key") != F.col("_prefix"))
-    return parted.join(asked, ["user_id", "project_id"]).where(below).select(
-        "user_id", "project_id", "folder",
-        F.replace("r2_key", "_prefix", F.lit("")).alias("filename"), "r2_key", "size", "last_modified")
+    found = attach(placed, requests.select(*keys).distinct(), keys, "inner")
+    prefix = K.folder_prefix(F.col("user_id"), F.col("project_id"), F.col("folder"))
+    return found.where(F.col("r2_key") != prefix).select(
+        *keys, F.replace("r2_key", prefix, F.lit("")).alias("filename"), "r2_key", "size", "last_modified")

@@ -253,9 +253,8 @@ def project_delete(projects: DataFrame, files: DataFrame, requests: DataFrame
     asked = requests.groupBy(*keys).agg(F.min("seq").alias("_first"))
     owned = (projects.select(F.col("id").alias("project_id"), "user_id")
              .join(asked, keys).select(*keys, "_first"))
-    doomed = owned.select("project_id")
-    left = projects.join(doomed.withColumnRenamed("project_id", "id"), "id", "left_anti")
-    files_left = files.join(doomed, "project_id", "left_anti")
+    left = projects.join(asked.withColumnRenamed("project_id", "id"), ["id", "user_id"], "left_anti")
+    files_left = files.join(owned.select("project_id"), "project_id", "left_anti")
     outcomes = attach(requests, owned, keys, "left").select(
         "seq", *keys,
         F.when(F.col("seq") == F.col("_first"), "deleted").otherwise("not_found").alias("outcome"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators.ranking import split_rank
 
 
-# The deepest row up to which each task may send its own top rows; well below Spark's own bound
-# for the group limit (spark.sql.optimizer.windowGroupLimitThreshold).
+# The deepest row up to which each task may send its own top rows.
 SHALLOW = 100
 
 
@@ -36,8 +35,13 @@ def project_num_files(projects: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def project_page_one_owner(projects: DataFrame, owner: str, skip: int = 0, limit: int = 10) -> DataFrame:
+    """One owner's page in order. A deep page is numbered like those of all owners, since Spark's
+    top-rows operator would bring ``skip + limit`` rows of every task into one."""
     check_page(skip, limit)
-    return projects.where(F.col("user_id") == owner).orderBy(*newest_first()).offset(skip).limit(limit)
+    own = projects.where(F.col("user_id") == owner)
+    if skip + limit <= SHALLOW:
+        return own.orderBy(*newest_first()).offset(skip).limit(limit)
+    return project_page_all_owners(own, skip, limit).orderBy("rn").drop("rn")
 
 
 def project_page_all_owners(projects: DataFrame, skip: int = 0, limit: int = 10) -> DataFrame:

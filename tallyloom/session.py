@@ -13,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.checkpoint.compress": "true",
     # Drop checkpoint files once no DataFrame refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -84,6 +84,10 @@ def test_joins_are_split(spark, hot, small_partitions):
     assert splits(merges.project_delete(projects, files, requests)[2])
     assert splits(merges.user_cascade_delete(users, projects, files, requests)[1])
     assert splits(merges.run_transition(projects, requests, as_of)[1])
+    listing = requests.selectExpr("concat(user_id, '/projects/', project_id, '/Data/', pad) as key", "1L as size",
+                                  "timestamp'2024-01-01' as last_modified")
+    folders = requests.selectExpr("user_id", "project_id", "'Data' as folder")
+    assert splits(lookup.object_listing(folders, listing))
     claims = requests.selectExpr("seq as event_id", "user_id as sub", "'access' as token_type", "false as expired", "pad")
     assert splits(access.access_outcomes(claims, users))
 
@@ -135,6 +139,13 @@ def test_pages_of_a_hot_owner(spark, hot, skip, limit):
     assert rows(page) == rows(expected)
 
 
+@pytest.mark.parametrize("skip", [10, 12_345])
+def test_page_of_one_hot_owner(hot, skip):
+    own = hot["projects"].where("user_id = 'u7'")
+    expected = own.orderBy(*paging.newest_first()).offset(skip).limit(20).select("id").collect()
+    assert paging.project_page_one_owner(hot["projects"], "u7", skip, 20).select("id").collect() == expected
+
+
 def test_shallow_page_limits_before_the_shuffle(spark, hot):
     plan = paging.project_page_all_owners(hot["projects"], 5, 10)._jdf.queryExecution().executedPlan().toString()
     below_shuffle = plan[plan.index("Exchange"):]
