@@ -48,7 +48,11 @@ def key_filename(key: Column) -> Column:
 
 
 def key_folders(key: Column) -> Column:
-    """Every folder the key is in, from the top one down: ``a`` and ``a/b`` for a file ``a/b/c``."""
+    """Every folder the key is in, from the top one down: ``a`` and ``a/b`` for a file ``a/b/c``.
+
+    NULL for a key that is in no folder. The common case of one level needs no splitting.
+    """
     below = F.split(F.substring(key, F.length(F.substring_index(key, "/", 3)) + 2, F.length(key)), "/")
-    depths = F.when(F.size(below) > 1, F.sequence(F.lit(1), F.size(below) - 1))
-    return F.transform(depths, lambda depth: F.array_join(F.slice(below, 1, depth), "/"))
+    nested = F.transform(
+        F.sequence(F.lit(1), F.size(below) - 1), lambda depth: F.array_join(F.slice(below, 1, depth), "/"))
+    return F.when(key.rlike("^([^/]*/){4}[^/]*$"), F.array(key_folder(key))).when(key.rlike("^([^/]*/){5}"), nested)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,31 +16,40 @@ def split_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], na
 
     A window puts a whole group into one task, so a group with a third of all rows would decide
     the run time. Here rows are range-partitioned on keys *and* order, which cuts a large group
-    into as many pieces as it needs; a row's number is its place in its piece plus the rows of
-    the group in earlier pieces. Only the piece sizes (one row per group and piece) are windowed.
+    into as many pieces as it needs. A row's number is its number within group and piece plus the
+    rows of the group in earlier pieces.
 
-    The ranged rows are written to the shared folder first: they are used twice, and both uses
-    must see the same pieces even if an executor is lost in between.
+    Only a group that goes on from one piece to the next has rows in earlier pieces, and that is
+    the group of the next piece's first row. So at most one group per piece has to be looked at,
+    and what is broadcast has at most one row per shuffle partition, however many rows there are.
+
+    The ranged rows are written to the shared folder first: they are used several times, and all
+    uses must see the same pieces even if an executor is lost in between.
     """
-    ranged = (
-        rows.repartitionByRange(*[F.col(key).asc() for key in keys], *order)
-        .sortWithinPartitions(*[F.col(key).asc() for key in keys], *order)
+    sort = [*[F.col(key).asc() for key in keys], *order]
+    ranged = cut_lineage(
+        rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
         # Partition number in the upper bits, place in the partition in the lower 33.
         .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_piece", F.shiftright("_place", 33))
-    )
-    ranged = cut_lineage(ranged)
+        .withColumn("_piece", F.shiftright("_place", 33)))
 
-    pieces = ranged.groupBy(*keys, "_piece").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+    heads = ranged.where(F.col("_place") == F.shiftleft("_piece", 33)).select(*keys).distinct()
+    spans = (ranged.join(F.broadcast(_primed(heads, keys)), _same(keys), "left_semi")
+             .groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_rows")))
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-
-    # Null-safe, so that a NULL key forms a group as it does in a window.
-    left, right = ranged.alias("l"), pieces.alias("r")
-    same = F.col("l._piece") == F.col("r._piece")
-    for key in keys:
-        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    number = F.col("l._place") - F.col("r._first") + F.col("r._before") + 1
-    return left.join(right, same).select(
-        *[F.col(f"l.{column}") for column in rows.columns], number.cast("bigint").alias(name))
+    carried = spans.select(*keys, "_piece", F.sum("_rows").over(earlier).alias("_before")).where("_before > 0")
+
+    at = [*keys, "_piece"]
+    within = F.row_number().over(Window.partitionBy(*at).orderBy("_place"))
+    numbered = ranged.withColumn("_within", within).join(F.broadcast(_primed(carried, at)), _same(at), "left")
+    number = F.col("_within") + F.coalesce("_before", F.lit(0))
+    return numbered.select(*rows.columns, number.cast("bigint").alias(name))
+
+
+def _primed(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return frame.withColumnsRenamed({key: f"{key}'" for key in keys})
+
+
+def _same(keys: Sequence[str]) -> Column:
+    """Null-safe, so that a NULL key forms a group as it does in a window."""
+    return reduce(Column.__and__, [F.col(f"`{key}`").eqNullSafe(F.col(f"`{key}'`")) for key in keys])

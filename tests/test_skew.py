@@ -124,6 +124,26 @@ def test_split_rank_cuts_the_hot_group(spark, hot, monkeypatch, small_partitions
     assert sizes.agg(F.max("count")).first()[0] < N / 6
 
 
+@pytest.mark.parametrize("seed, n", [(1, 0), (2, 1), (3, 5), (4, 40), (5, 400), (6, 3000)])
+def test_split_rank_over_many_pieces(spark, seed, n):
+    """Groups from single rows to ones that cover several pieces, and pieces without rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        frame = spark.range(n).select(
+            "id", F.expr(f"nullif(int(sqrt(abs(hash(id, {seed})) % 64)), 3)").alias("k"),
+            F.expr(f"abs(hash(id, {seed}, 1)) % 100").alias("v"))
+        order = [F.col("v").desc_nulls_first(), F.col("id").asc()]
+        expected = frame.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("bigint"))
+        assert rows(split_rank(frame, ["k"], order)) == rows(expected)
+        assert rows(split_rank(frame, ["k", "v"], [F.col("id").asc()])) == rows(
+            frame.withColumn("rn", F.row_number().over(Window.partitionBy("k", "v").orderBy("id")).cast("bigint")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_split_rank_keeps_null_keys_and_ties(spark):
     frame = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 1), ("b", 5)], "k string, v int")
     ranked = split_rank(frame, ["k"], [F.col("v").asc()])
