@@ -90,6 +90,24 @@ def object_keys(files: DataFrame, projects: DataFrame) -> DataFrame:
         K.object_key(F.col("user_id"), F.col("project_id"), F.col("folder"), F.col("filename")).alias("r2_key"))
 
 
+# Fixed value: how long an upload address is good for, in seconds.
+UPLOAD_SECONDS = 3600
+
+
+def upload_keys(requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """Key and status code per upload request (project_id, user_id, folder, filename).
+
+    404 unless the user owns the project; signing the address is left to the caller.
+    """
+    owned = projects.select(F.col("id").alias("project_id"), "user_id").withColumn("_owned", F.lit(True))
+    hit = F.col("_owned").isNotNull()
+    key = K.object_key(F.col("user_id"), F.col("project_id"), F.col("folder"), F.col("filename"))
+    return requests.join(owned, ["project_id", "user_id"], "left").select(
+        *requests.columns, F.when(hit, key).alias("r2_key"),
+        F.when(hit, F.lit(UPLOAD_SECONDS)).cast("bigint").alias("expires_in"),
+        F.when(hit, 200).otherwise(404).cast("bigint").alias("code"))
+
+
 def object_key_parts(listing: DataFrame, key: str = "key") -> DataFrame:
     """Parts of each key, NULL where the key does not follow the layout."""
     column = F.col(key)
@@ -111,10 +129,14 @@ def download_key_audit(requests: DataFrame, projects: DataFrame) -> DataFrame:
             .select(*requests.columns, code.cast("bigint").alias("code")))
 
 
-def object_listing(requests: DataFrame, listing: DataFrame) -> DataFrame:
+# Fixed value: the folder that is listed if a request names none.
+DEFAULT_FOLDER = "Data"
+
+
+def object_listing(requests: DataFrame, projects: DataFrame, listing: DataFrame) -> DataFrame:
     """Objects below each requested folder (project_id, user_id, folder), sub-folders included.
 
-    Each object is taken once per folder it is in (one, unless folders are nested), so that the
+    Requests for projects the user does not own list nothing. Each object is taken once per folder it is in (one, unless folders are nested), so that the
     prefix becomes an equality and no request is held against objects outside its folder. The
     marker object of the folder is left out, and the prefix is removed from the file name
     wherever it occurs.
@@ -124,7 +146,10 @@ def object_listing(requests: DataFrame, listing: DataFrame) -> DataFrame:
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"),
         F.explode(K.key_folders(F.col("key"))).alias("folder"),
         F.col("key").alias("r2_key"), "size", "last_modified")
-    found = attach(placed, requests.select(*keys).distinct(), keys, "inner")
+    folder = F.coalesce("folder", F.lit(DEFAULT_FOLDER)).alias("folder")
+    asked = requests.select("user_id", "project_id", folder).distinct()
+    owned = projects.select("user_id", F.col("id").alias("project_id"))
+    found = attach(placed, asked.join(owned, ["user_id", "project_id"], "left_semi"), keys, "inner")
     prefix = K.folder_prefix(F.col("user_id"), F.col("project_id"), F.col("folder"))
     return found.where(F.col("r2_key") != prefix).select(
         *keys, F.replace("r2_key", prefix, F.lit("")).alias("filename"), "r2_key", "size", "last_modified")

@@ -92,8 +92,8 @@ QUERIES: dict[str, Query] = {
     "file_view": _on(lambda t: lookup.file_view(t.files)),
     "object_keys": _on(lambda t: lookup.object_keys(t.files, t.projects)),
     "object_key_parts": _on(lambda t: lookup.object_key_parts(t.objects)),
-    "object_listing": _on(lambda t: lookup.object_listing(
-        t.projects.select("user_id", F.col("id").alias("project_id"), F.lit("Data").alias("folder")), t.objects)),
+    "upload_keys": _on(lambda t: lookup.upload_keys(t.uploads, t.projects)),
+    "object_listing": _on(lambda t: lookup.object_listing(t.folder_requests, t.projects, t.objects)),
     # Relationships
     "project_owner": _on(lambda t: joins.project_owner(t.projects, t.users)),
     "user_projects": _on(lambda t: joins.user_projects(t.users, t.projects)),

@@ -95,6 +95,22 @@ select o_orderkey as seq,
 from {orders}
 """
 
+# Each project's folders: one in seven requests leaves the folder out.
+FOLDER_REQUESTS = """
+select seq, project_id, user_id,
+  case when seq % 7 = 0 then null when seq % 3 = 0 then 'Output' else 'Data' end as folder
+from {project_requests}
+"""
+
+# Uploads of each file by the owner, a neighbour or to a project that does not exist.
+UPLOADS = """
+select l_orderkey as seq,
+  'p' || lpad(cast(l_orderkey + case when l_partkey % 101 = 0 then 900000000000 else 0 end as string), 12, '0') as project_id,
+  'u' || lpad(cast(o_custkey + case when l_partkey % 17 = 0 then 1 else 0 end as string), 12, '0') as user_id,
+  'Data' as folder, 'part-' || cast(l_linenumber as string) || '.txt' as filename
+from {lineitem} join {orders} on l_orderkey = o_orderkey
+"""
+
 # Owners ask to delete their finished projects; for the others somebody else asks. Then all ask again.
 DELETE_REQUESTS = """
 select o_orderkey as seq, 'p' || lpad(cast(o_orderkey as string), 12, '0') as project_id,
@@ -208,6 +224,7 @@ from {customer}
 STATEMENTS = {
     "users": USERS, "projects": PROJECTS, "files": FILES, "objects": OBJECTS, "results": RESULTS,
     "claims": CLAIMS, "tokens": TOKENS, "project_requests": PROJECT_REQUESTS,
+    "folder_requests": FOLDER_REQUESTS, "uploads": UPLOADS,
     "delete_requests": DELETE_REQUESTS, "user_requests": USER_REQUESTS, "email_requests": EMAIL_REQUESTS,
     "downloads": DOWNLOADS, "create_requests": CREATE_REQUESTS,
     "raw_projects": RAW_PROJECTS, "profiles": PROFILES, "patches": PATCHES,

@@ -182,11 +182,17 @@ from files f join projects p on p.id = f.project_id"""),
     "object_key_parts": q(["objects"], f"""
 select key, {KEY.format('key')}, split_part(key, '/', 4) as folder, split_part(key, '/', 5) as filename, true as conforms
 from objects"""),
-    "object_listing": q(["objects", "projects"], """
-select p.user_id, p.id as project_id, 'Data' as folder, split_part(key, '/', 5) as filename,
-  key as r2_key, size, last_modified
-from projects p join objects o on o.key like p.user_id || '/projects/' || p.id || '/Data/%'
-  and split_part(key, '/', 3) = p.id"""),
+    "upload_keys": q(["uploads", "projects"], """
+select u.*, case when p.id is not null
+    then u.user_id || '/projects/' || u.project_id || '/' || folder || '/' || filename end as r2_key,
+  case when p.id is not null then 3600 end::bigint as expires_in,
+  case when p.id is not null then 200 else 404 end::bigint as code
+from uploads u left join projects p on p.id = u.project_id and p.user_id = u.user_id"""),
+    "object_listing": q(["objects", "projects", "folder_requests"], """
+select p.user_id, p.id as project_id, f.folder, split_part(key, '/', 5) as filename, key as r2_key, size, last_modified
+from (select user_id, project_id, coalesce(folder, 'Data') as folder from folder_requests) f
+join projects p on p.id = f.project_id and p.user_id = f.user_id
+join objects o on split_part(key, '/', 3) = p.id and key like p.user_id || '/projects/' || p.id || '/' || f.folder || '/%'"""),
     "project_owner": q(["projects", "users"], """
 select p.id as project_id, p.name, p.status, p.user_id, u.email as owner_email, u.full_name as owner_name
 from projects p join users u on u.id = p.user_id"""),

@@ -77,12 +77,21 @@ def test_listing_keeps_subfolders_skips_marker_strips_every_prefix(spark):
         [(prefix, 0), (prefix + "a", 1), (prefix + "sub/b", 2), (prefix + prefix + "c", 3),
          ("u/projects/p/Database/d", 4), ("u/projects/p/Output/e", 5), ("v/projects/p/Data/f", 6), ("top", 7)],
         "key string, size int").withColumn("last_modified", F.lit(day(1)))
-    asked = spark.createDataFrame([("u", "p", "Data"), ("u", "p", "Data"), ("u", "p", "Data/sub")],
-                                  "user_id string, project_id string, folder string")
-    assert rows(lookup.object_listing(asked, listing), "folder", "filename", "size") == [
+    asked = spark.createDataFrame(
+        [("u", "p", "Data"), ("u", "p", None), ("u", "p", "Data/sub"), ("v", "p", "Data"), ("u", "q", "Data")],
+        "user_id string, project_id string, folder string")
+    owned = spark.createDataFrame([("p", "u")], "id string, user_id string")
+    assert rows(lookup.object_listing(asked, owned, listing), "folder", "filename", "size") == [
         ("Data", "a", 1), ("Data", "c", 3), ("Data", "sub/b", 2), ("Data/sub", "b", 2)]
 
 
+def test_uploads_need_an_owned_project(spark, projects):
+    asked = spark.createDataFrame([(1, "p1", "u1", "Data", "f"), (2, "p1", "u2", "Data", "f"), (3, "p9", "u1", "Data", "f")],
+                                  "seq int, project_id string, user_id string, folder string, filename string")
+    assert rows(lookup.upload_keys(asked, projects), "seq", "r2_key", "expires_in", "code") == [
+        (1, "u1/projects/p1/Data/f", 3600, 200), (2, None, None, 404), (3, None, None, 404)]
+
+
 def test_project_view_splits_incomplete_rows(spark):
     frame = spark.createDataFrame(
         [("p1", 0, day(1)), ("p2", None, None)], "id string, num_files int, created_at timestamp").selectExpr(

@@ -87,7 +87,8 @@ def test_joins_are_split(spark, hot, small_partitions):
     listing = requests.selectExpr("concat(user_id, '/projects/', project_id, '/Data/', pad) as key", "1L as size",
                                   "timestamp'2024-01-01' as last_modified")
     folders = requests.selectExpr("user_id", "project_id", "'Data' as folder")
-    assert splits(lookup.object_listing(folders, listing))
+    owned = requests.selectExpr("user_id", "project_id as id").distinct()
+    assert splits(lookup.object_listing(folders, owned, listing))
     claims = requests.selectExpr("seq as event_id", "user_id as sub", "'access' as token_type", "false as expired", "pad")
     assert splits(access.access_outcomes(claims, users))
 
