@@ -20,12 +20,13 @@ from tallyloom.functions import keys as K
 from tallyloom.functions import rules as R
 from tallyloom.operators.joins import attach
 from tallyloom.operators.ranking import split_rank
+from tallyloom.schemas import MAX_LENGTH
 from tallyloom.session import cut_lineage
 
 # Response codes by outcome. A deferred request has no response yet.
 CODES = {
     "created": 201, "ok": 200, "noop": 200, "deleted": 204, "not_found": 404, "unprocessable": 422,
-    "error_null_metadata": 500, "error_not_null": 500, "email_conflict": 500,
+    "error_null_metadata": 500, "error_not_null": 500, "error_too_long": 500, "email_conflict": 500,
     "incomplete": 400, "inserted": 200, "updated": 200, "superseded": 200,
 }
 
@@ -47,6 +48,12 @@ def _replace(joined: DataFrame, columns: list[str], changes: dict[str, Column])
         changes[column].alias(column) if column in changes else F.col(column) for column in columns])
 
 
+def too_long(table: str, values: dict[str, str]) -> Column:
+    """Whether any of the named frame columns is too long for the table column it is meant for."""
+    return reduce(Column.__or__, [
+        F.coalesce(F.length(value) > MAX_LENGTH[table][column], F.lit(False)) for column, value in values.items()])
+
+
 def invalid(code: Column) -> Column:
     return F.concat(F.lit("invalid:"), code)
 
@@ -62,15 +69,17 @@ def project_create(projects: DataFrame, requests: DataFrame, as_of: Column) -> t
         .withColumn("_error", R.first_metadata_error(F.col("execution_type"), F.col("_keys")))
         .withColumn("_complete", F.col("name").isNotNull() & F.col("execution_type").isNotNull()
                     & F.col("_keys").isNotNull())
+        .withColumn("_too_long", too_long("projects", {"name": "name"}))
     )
     # Defaults of a new project.
-    new = judged.where("_complete and _error is null").select(
+    new = judged.where("_complete and _error is null and not _too_long").select(
         "id", "user_id", "name", "description", "execution_type", F.lit("created").alias("status"),
         F.lit(0).alias("num_files"), "metadata", F.lit("{}").alias("pipeline_status"),
         F.lit(None).cast("string").alias("error_message"),
         as_of.alias("created_at"), as_of.alias("updated_at"))
     outcome = (F.when(~F.col("_complete"), "unprocessable")
-               .when(F.col("_error").isNotNull(), invalid(F.col("_error"))).otherwise("created"))
+               .when(F.col("_error").isNotNull(), invalid(F.col("_error")))
+               .when(F.col("_too_long"), "error_too_long").otherwise("created"))
     outcomes = with_code(judged.select("seq", F.col("id").alias("project_id"), outcome.alias("outcome")))
     return projects.unionByName(new), outcomes
 
@@ -91,6 +100,7 @@ def _judge_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
     incomplete = R.is_blank(F.col("sub")) | R.is_blank(F.col("email"))
     verdict = (F.when(incomplete, "incomplete")
                .when(F.col("name").isNull(), "error_not_null")
+               .when(too_long("users", {"google_id": "sub", "email": "email", "full_name": "name"}), "error_too_long")
                .when(~kept_email & F.coalesce(taken, F.lit(False)), "email_conflict"))
     return (attach(profiles.join(known, "sub", "left"), holders, ["email"], "left")
             .withColumn("_own", own).withColumn("_kept_email", kept_email)
@@ -182,6 +192,7 @@ def _patched_project(joined: DataFrame) -> DataFrame:
         .when(checked & metadata.isNull(), "error_null_metadata")
         .when(checked & error.isNotNull(), invalid(error))
         .when(F.col("_new_name").isNull(), "error_not_null")
+        .when(too_long("projects", {"name": "_new_name", "status": "_new_status"}), "error_too_long")
         .when(unchanged, "noop").otherwise("ok"))
     return joined.withColumn("_outcome", outcome)
 
@@ -221,6 +232,7 @@ def _patched_user(joined: DataFrame) -> DataFrame:
         "_new_name", F.when(R.has_key(F.col("_set"), "full_name"), F.col("_value")).otherwise(name))
     return joined.withColumn("_outcome", (
         F.when(F.col("_set").isNull(), "unprocessable").when(F.col("_new_name").isNull(), "error_not_null")
+        .when(too_long("users", {"full_name": "_new_name"}), "error_too_long")
         .when(F.col("_new_name").eqNullSafe(name), "noop").otherwise("ok")))
 
 

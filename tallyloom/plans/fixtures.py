@@ -147,17 +147,19 @@ select o_orderkey as seq,
 from {lineitem} join {orders} on l_orderkey = o_orderkey
 """
 
-# The projects again as new ones, every ninth without metadata and every nineteenth without a name.
+# The projects again as new ones, every ninth without metadata, every nineteenth without a name and
+# every seventeenth with one that is too long.
 CREATE_REQUESTS = """
 select o_orderkey as seq, 'n' || substring(id, 2) as id, user_id,
-  case when o_orderkey % 19 <> 0 then name end as name, description, execution_type,
+  case when o_orderkey % 17 = 0 then repeat(name, 30) when o_orderkey % 19 <> 0 then name end as name,
+  description, execution_type,
   case when o_orderkey % 9 <> 0 then metadata end as metadata
 from (select *, cast(substring(id, 2) as bigint) as o_orderkey from {projects}) p
 """
 
 # Projects as they came in, with NULL and overlong names.
 RAW_PROJECTS = """
-select id, user_id, repeat(name, cast(20 - seq % 7 as int)) as name, execution_type from {create_requests}
+select id, user_id, repeat(name, cast(1 + seq % 22 as int)) as name, execution_type from {create_requests}
 """
 
 # Known users (some with a new name, without avatar or with a neighbour's email), the same users
@@ -168,7 +170,7 @@ select c_custkey as seq, 'g' || cast(c_custkey as string) as sub,
        when c_custkey % 50 = 7 then 'no-at-sign'
        when c_custkey % 23 = 0 then 'customer.' || lpad(cast(c_custkey + 1 as string), 9, '0') || '@example.com'
        else lower(replace(c_name, '#', '.')) || '@example.com' end as email,
-  case when c_custkey % 2 = 0 then 'new ' || c_name else c_name end as name,
+  case when c_custkey % 31 = 0 then repeat(c_name, 20) when c_custkey % 2 = 0 then 'new ' || c_name else c_name end as name,
   case when c_custkey % 3 <> 0 and c_custkey % 7 <> 0 then 'https://img.example.com/' || cast(c_custkey as string) end as picture,
   cast(null as string) as new_id
 from {customer}
@@ -191,14 +193,15 @@ from {customer}
 PATCHES = """
 select o_orderkey as seq, 'p' || lpad(cast(o_orderkey as string), 12, '0') as project_id,
   'u' || lpad(cast(o_custkey + case when o_orderkey % 11 = 0 then 1 else 0 end as string), 12, '0') as user_id,
-  case o_orderkey % 8
+  case o_orderkey % 9
     when 0 then '{{"name":"renamed-' || cast(o_orderkey as string) || '"}}'
     when 1 then '{{"execution_type":"full_pipeline"}}'
     when 2 then '{{"metadata_":null}}'
-    when 3 then '{{"metadata_":{{"gen_model":null,"min_samples":5,"base_model":"b"}},"status":"any text"}}'
-    when 4 then '{{"name":null}}'
-    when 5 then '{{"description":null}}'
-    when 6 then '{{"execution_type":"fine_tune","metadata_":{{"base_model":1}},"description":"tuned"}}'
+    when 3 then '{{"status":"' || repeat('s', cast(40 + o_orderkey % 25 as int)) || '"}}'
+    when 4 then '{{"metadata_":{{"gen_model":null,"min_samples":5,"base_model":"b"}},"status":"any text"}}'
+    when 5 then '{{"name":null}}'
+    when 6 then '{{"description":null}}'
+    when 7 then '{{"execution_type":"fine_tune","metadata_":{{"base_model":1}},"description":"tuned"}}'
     else '{{"execution_type":"no_such_type","metadata_":null}}' end as patch
 from {orders}
 union all
@@ -211,7 +214,7 @@ from {orders}
 USER_PATCHES = """
 select c_custkey as seq,
   'u' || lpad(cast(c_custkey + case when c_custkey % 7 = 0 then 900000000000 else 0 end as string), 12, '0') as user_id,
-  case c_custkey % 5 when 0 then '{{}}' when 1 then '{{"full_name":null}}'
+  case c_custkey % 6 when 0 then '{{}}' when 4 then '{{"full_name":"' || repeat(c_name, 20) || '"}}' when 1 then '{{"full_name":null}}'
     when 2 then '{{"full_name":"' || c_name || '"}}'
     else '{{"full_name":"renamed ' || c_name || '"}}' end as patch
 from {customer}

@@ -56,7 +56,8 @@ from (select id as project_id, execution_type, {_error('execution_type', 'metada
 # Created projects, judged one by one.
 CREATED = f"""
 (select seq, id, user_id, name, description, execution_type, metadata,
-  case when name is null then 'unprocessable' when error is not null then 'invalid:' || error else 'created' end as outcome
+  case when name is null then 'unprocessable' when error is not null then 'invalid:' || error
+    when length(name) > 255 then 'error_too_long' else 'created' end as outcome
 from (select *, {_error('execution_type', 'metadata')} as error
       from (select * replace (coalesce(metadata, '{{}}') as metadata) from create_requests)))"""
 
@@ -67,6 +68,7 @@ judged as (
     coalesce(u.email = p.email, false) as kept,
     case when p.sub is null or p.sub = '' or p.email is null or p.email = '' then 'incomplete'
          when p.name is null then 'error_not_null'
+         when length(p.sub) > 255 or length(p.email) > 255 or length(p.name) > 255 then 'error_too_long'
          when not coalesce(u.email = p.email, false)
            and exists (select 1 from users h where h.email = p.email and h.google_id <> p.sub) then 'email_conflict'
     end as verdict
@@ -108,6 +110,7 @@ merged as (
 settled as (
   select *, coalesce({PATCH_OUTCOME},
     case when new_name is null then 'error_not_null'
+      when length(new_name) > 255 or length(new_status) > 50 then 'error_too_long'
       when (new_name, new_type) = (name, execution_type) and new_description is not distinct from description
         and new_status is not distinct from status and new_metadata is not distinct from metadata then 'noop'
       else 'ok' end) as outcome
@@ -117,14 +120,15 @@ settled as (
 CODES = """case when outcome like 'invalid:%' or outcome = 'incomplete' then 400
   when outcome in ('ok', 'noop', 'inserted', 'updated', 'superseded') then 200 when outcome = 'created' then 201
   when outcome = 'deleted' then 204 when outcome = 'not_found' then 404 when outcome = 'unprocessable' then 422
-  when outcome in ('email_conflict', 'error_null_metadata', 'error_not_null') then 500 end::bigint as code"""
+  when outcome in ('email_conflict', 'error_null_metadata', 'error_not_null', 'error_too_long') then 500 end::bigint as code"""
 
 USER_PATCHED = f""",
 owned as (
   select a.seq, a.patch, u.*, row_number() over (partition by a.user_id order by a.seq) as nth
   from user_patches a join users u on u.id = a.user_id),
 settled as (
-  select *, case when new_name is null then 'error_not_null' when new_name = full_name then 'noop' else 'ok' end as outcome
+  select *, case when new_name is null then 'error_not_null'
+    when length(new_name) > 255 then 'error_too_long' when new_name = full_name then 'noop' else 'ok' end as outcome
   from (select *, {_set('full_name', 'full_name')} as new_name from owned where nth = 1))
 """
 

@@ -45,12 +45,13 @@ def test_create(spark, projects):
     asked = spark.createDataFrame([
         (1, "n1", "u1", "a", None, "fine_tune", '{"base_model":null}'), (2, "n2", "u1", "b", None, "fine_tune", None),
         (3, "n3", "u1", "c", None, "other", '{"base_model":1}'), (4, "n4", "u1", None, None, "fine_tune", '{"base_model":1}'),
-        (5, "n5", "u1", "e", None, "fine_tune", "[1]"), (6, "n6", "u1", "f", None, None, "{}")],
+        (5, "n5", "u1", "e", None, "fine_tune", "[1]"), (6, "n6", "u1", "f", None, None, "{}"),
+        (7, "n7", "u1", "x" * 256, None, "fine_tune", '{"base_model":1}')],
         "seq int, id string, user_id string, name string, description string, execution_type string, metadata string")
     table, outcomes = merges.project_create(projects, asked, as_of())
     assert rows(outcomes, "seq", "outcome", "code") == [
         (1, "created", 201), (2, "invalid:missing_base_model", 400), (3, "invalid:invalid_execution_type", 400),
-        (4, "unprocessable", 422), (5, "unprocessable", 422), (6, "unprocessable", 422)]
+        (4, "unprocessable", 422), (5, "unprocessable", 422), (6, "unprocessable", 422), (7, "error_too_long", 500)]
     assert table.columns == projects.columns and table.count() == 5
     new = table.where("id = 'n1'").first()
     assert (new.status, new.num_files, new.metadata, new.pipeline_status, new.created_at) == (
@@ -72,8 +73,9 @@ def test_upsert_outcomes(spark, users):
         (5, "g2", "m2", "name2", None, None),                     # avatar goes, still inactive
         (6, "g9", "m9", "nine", "pic", "u9"),                     # new
         (7, "g8", "m8", None, "pic", "u8"),                       # no name
+        (8, "g" * 256, "m7", "n", "pic", "u7"),
     ])
-    assert outcomes == ["incomplete"] * 3 + ["noop", "updated", "inserted", "error_not_null"]
+    assert outcomes == ["incomplete"] * 3 + ["noop", "updated", "inserted", "error_not_null", "error_too_long"]
     assert table.columns == ["id", "email", "full_name", "avatar_url", "google_id", "is_active", "created_at", "updated_at"]
     got = {row.id: row for row in table.collect()}
     assert set(got) == {"u1", "u2", "u3", "u9"}
@@ -135,6 +137,10 @@ def patch(spark, projects, patches):
     ('{"metadata_":{"base_model":null}}', "ok"),
     ('{"metadata_":{"base_model":1}}', "noop"),
     ('{"name":null,"metadata_":{}}', "invalid:missing_base_model"),
+    ('{"name":"%s"}' % ("x" * 255), "ok"),
+    ('{"name":"%s"}' % ("x" * 256), "error_too_long"),
+    ('{"status":"%s"}' % ("x" * 51), "error_too_long"),
+    ('{"description":"%s"}' % ("x" * 9999), "ok"),
     ('{"metadata_":[1]}', "unprocessable"),
     ("[1]", "unprocessable"),
     ("not json", "unprocessable"),
@@ -174,12 +180,14 @@ def test_one_patch_per_project_and_batch(spark, projects):
 def test_user_patch(spark, users):
     patches = spark.createDataFrame([
         (1, "u1", '{"full_name":"new"}'), (2, "u1", '{"full_name":"newer"}'), (3, "u2", '{"full_name":null}'),
-        (4, "u3", '{"email":"ignored"}'), (5, "u9", '{"full_name":"x"}')], "seq int, user_id string, patch string")
-    table, outcomes = merges.user_patch(users, patches, as_of())
+        (4, "u3", '{"email":"ignored"}'), (5, "u9", '{"full_name":"x"}'),
+        (6, "u4", '{"full_name":"%s"}' % ("x" * 256))], "seq int, user_id string, patch string")
+    table, outcomes = merges.user_patch(users.union(spark.createDataFrame([user(4)], USERS)), patches, as_of())
     assert rows(outcomes, "seq", "outcome", "code") == [
-        (1, "ok", 200), (2, "deferred", None), (3, "error_not_null", 500), (4, "noop", 200), (5, "not_found", 404)]
+        (1, "ok", 200), (2, "deferred", None), (3, "error_not_null", 500), (4, "noop", 200), (5, "not_found", 404),
+        (6, "error_too_long", 500)]
     assert rows(table, "id", "full_name", "updated_at") == [
-        ("u1", "new", NEW), ("u2", "name2", OLD), ("u3", "name3", OLD)]
+        ("u1", "new", NEW), ("u2", "name2", OLD), ("u3", "name3", OLD), ("u4", "name4", OLD)]
 
 
 def test_delete_takes_files_along_and_happens_once(spark, projects, files, users):
