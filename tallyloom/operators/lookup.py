@@ -114,7 +114,8 @@ def object_key_parts(listing: DataFrame, key: str = "key") -> DataFrame:
     parts = {"user_id": K.key_user, "project_id": K.key_project, "folder": K.key_folder, "filename": K.key_filename}
     conforms = listing.select(column.alias("key"), K.has_key_layout(column).alias("conforms"))
     return conforms.select(
-        "key", *[F.when(F.col("conforms"), part(F.col("key"))).alias(name) for name, part in parts.items()], "conforms")
+        "key", *[F.when(F.col("conforms"), part(F.col("key"))).alias(name) for name, part in parts.items()],
+        "conforms")
 
 
 def download_key_audit(requests: DataFrame, projects: DataFrame) -> DataFrame:

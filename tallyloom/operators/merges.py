@@ -171,16 +171,17 @@ def _first_patches(patches: DataFrame, keys: list[str]) -> DataFrame:
 def _patched_project(joined: DataFrame) -> DataFrame:
     """Adds ``_new_<column>`` and ``_outcome`` to project rows joined with a ``patch``.
 
-    Patch and merged metadata are parsed once each, into columns of their own.
+    Patch and merged metadata are parsed once each, into columns of their own, and the metadata
+    only where a patch asks for validation.
     """
     schema = ", ".join(f"{field} string" for field in PATCHABLE)
     joined = joined.withColumns({"_set": R.json_keys(F.col("patch")), "_value": F.from_json("patch", schema)})
     joined = joined.withColumns({
         f"_new_{column}": F.when(R.has_key(F.col("_set"), field), F.col(f"_value.{field}")).otherwise(F.col(column))
         for field, column in PATCHABLE.items()})
-    joined = joined.withColumn("_keys", R.json_keys(F.col("_new_metadata")))
     sets_metadata = R.has_key(F.col("_set"), "metadata_")
     checked = R.has_key(F.col("_set"), "execution_type") | sets_metadata
+    joined = joined.withColumn("_keys", F.when(checked, R.json_keys(F.col("_new_metadata"))))
     kind, metadata = F.col("_new_execution_type"), F.col("_new_metadata")
     error = R.first_metadata_error(kind, F.col("_keys"))
     unchanged = reduce(Column.__and__, [

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import lookup, merges, paging
+from tallyloom.operators import lookup, merges, paging, progress
 from tallyloom.plans.catalog import QUERIES
 from tallyloom.plans.fixtures import fixture
 
@@ -36,7 +36,7 @@ def test_no_pairs_no_python_no_single_task(spark, no_broadcast, name):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("stored"))
-    for name in ("users", "projects", "project_requests"):
+    for name in ("users", "projects", "project_requests", "results"):
         fixture(spark, FOLDER, name).write.parquet(f"{folder}/{name}")
     return lambda name: spark.read.parquet(f"{folder}/{name}")
 
@@ -66,3 +66,20 @@ def test_audited_outcomes_leave_the_tables_other_columns_alone(stored, no_broadc
     plan = plan_of(merges.run_transition(stored("projects"), stored("project_requests"), as_of)[1])
     assert "ReadSchema: struct<id:string,user_id:string>" in plan
     assert "metadata" not in plan
+
+
+def test_retention_filters_in_the_scan(stored):
+    as_of = F.lit("2024-01-30").cast("timestamp_ntz")
+    plan = plan_of(progress.retained_results(stored("results"), as_of))
+    assert "GreaterThanOrEqual(ts,2024-01-29T00:00)" in plan
+
+
+def test_progress_of_all_steps_takes_one_shuffle(stored):
+    assert plan_of(progress.step_status_json(stored("results"), ["ts", "event_id"])).count("Exchange") == 1
+
+
+def test_deep_pages_broadcast_only_groups_that_cross_pieces(spark, stored):
+    plan = plan_of(paging.project_page_all_owners(stored("projects"), 500, 1000).select("user_id", "id", "rn"))
+    assert plan.count("BroadcastExchange") >= 2
+    # The numbering works on the sort columns only.
+    assert "metadata" not in plan
