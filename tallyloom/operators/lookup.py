@@ -137,10 +137,10 @@ DEFAULT_FOLDER = "Data"
 def object_listing(requests: DataFrame, projects: DataFrame, listing: DataFrame) -> DataFrame:
     """Objects below each requested folder (project_id, user_id, folder), sub-folders included.
 
-    Requests for projects the user does not own list nothing. Each object is taken once per folder it is in (one, unless folders are nested), so that the
-    prefix becomes an equality and no request is held against objects outside its folder. The
-    marker object of the folder is left out, and the prefix is removed from the file name
-    wherever it occurs.
+    Requests for projects the user does not own list nothing. Each object is taken once per
+    folder it is in (one, unless folders are nested), so that the prefix becomes an equality and
+    no request is held against objects outside its folder. The marker object of the folder is
+    left out, and the prefix is removed from the file name wherever it occurs.
     """
     keys = ["user_id", "project_id", "folder"]
     placed = listing.where(K.in_project(F.col("key"))).select(

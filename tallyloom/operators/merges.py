@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
 from tallyloom.functions import rules as R
-from tallyloom.operators.joins import attach
+from tallyloom.operators.joins import attach, broadcast_if_small
 from tallyloom.operators.ranking import split_rank
 from tallyloom.schemas import MAX_LENGTH
 from tallyloom.session import cut_lineage
@@ -135,19 +135,20 @@ def user_upsert(users: DataFrame, profiles: DataFrame, as_of: Column) -> tuple[D
     judged = cut_lineage(_judge_profiles(users, profiles))
     settled = _settle_profiles(judged)
 
-    change = settled.where("outcome in ('inserted', 'updated')").select(
+    change = settled.where("outcome = 'updated'").select(
         F.col("sub").alias("google_id"), F.col("email").alias("_new_email"), F.col("name").alias("_new_name"),
-        F.col("picture").alias("_new_avatar"), F.col("new_id").alias("_new_id"), F.lit(True).alias("_hit"))
-    hit, fresh = F.col("_hit").isNotNull(), F.col("id").isNull()
-    table = users.join(change, "google_id", "full_outer").select(
-        F.coalesce("id", "_new_id").alias("id"),
-        F.when(hit, F.col("_new_email")).otherwise(F.col("email")).alias("email"),
-        F.when(hit, F.col("_new_name")).otherwise(F.col("full_name")).alias("full_name"),
-        F.when(hit, F.col("_new_avatar")).otherwise(F.col("avatar_url")).alias("avatar_url"),
-        "google_id",
-        F.when(fresh, F.lit(True)).otherwise(F.col("is_active")).alias("is_active"),
-        F.when(fresh, as_of).otherwise(F.col("created_at")).alias("created_at"),
-        F.when(hit, as_of).otherwise(F.col("updated_at")).alias("updated_at"))
+        F.col("picture").alias("_new_avatar"), F.lit(True).alias("_hit"))
+    hit = F.col("_hit").isNotNull()
+    kept = _replace(users.join(change, "google_id", "left"), users.columns, {
+        "email": F.when(hit, F.col("_new_email")).otherwise(F.col("email")),
+        "full_name": F.when(hit, F.col("_new_name")).otherwise(F.col("full_name")),
+        "avatar_url": F.when(hit, F.col("_new_avatar")).otherwise(F.col("avatar_url")),
+        "updated_at": F.when(hit, as_of).otherwise(F.col("updated_at"))})
+    new = settled.where("outcome = 'inserted'").select(
+        F.col("new_id").alias("id"), "email", F.col("name").alias("full_name"), F.col("picture").alias("avatar_url"),
+        F.col("sub").alias("google_id"), F.lit(True).alias("is_active"),
+        as_of.alias("created_at"), as_of.alias("updated_at"))
+    table = kept.unionByName(new)
 
     decided = settled.select("sub", F.col("seq").alias("_seq"), F.col("outcome").alias("_outcome"))
     outcomes = judged.join(decided, "sub", "left").select(
@@ -267,7 +268,8 @@ def project_delete(projects: DataFrame, files: DataFrame, requests: DataFrame
     owned = (projects.select(F.col("id").alias("project_id"), "user_id")
              .join(asked, keys).select(*keys, "_first"))
     left = projects.join(asked.withColumnRenamed("project_id", "id"), ["id", "user_id"], "left_anti")
-    files_left = files.join(owned.select("project_id"), "project_id", "left_anti")
+    doomed = broadcast_if_small(owned.select("project_id"), requests)
+    files_left = files.join(doomed, "project_id", "left_anti")
     outcomes = attach(requests, owned, keys, "left").select(
         "seq", *keys,
         F.when(F.col("seq") == F.col("_first"), "deleted").otherwise("not_found").alias("outcome"))
@@ -294,7 +296,8 @@ def user_cascade_delete(users: DataFrame, projects: DataFrame, files: DataFrame,
     gone = requests.select("user_id").distinct()
     users_left = users.join(gone.withColumnRenamed("user_id", "id"), "id", "left_anti")
     # Only users that exist have projects to lose.
-    known_gone = gone.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    known_gone = broadcast_if_small(
+        gone.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi"), requests)
     projects_left = attach(projects, known_gone, ["user_id"], "left_anti")
     projects_gone = attach(projects, known_gone, ["user_id"], "left_semi").select(F.col("id").alias("project_id"))
     files_left = files.join(projects_gone, "project_id", "left_anti")

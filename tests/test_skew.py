@@ -66,7 +66,8 @@ def splits(frame):
     return "skew=true" in final_plan(frame)
 
 
-def test_joins_are_split(spark, hot, small_partitions):
+def test_joins_are_split(spark, hot, small_partitions, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_IDS", 0)
     users, projects, requests = hot["users"], hot["projects"], hot["requests"]
     as_of = F.lit("2024-02-01").cast("timestamp_ntz")
     files = projects.selectExpr("user_id as project_id", "name as r2_key", "'f' as filename", "'d' as folder",
@@ -171,3 +172,17 @@ def test_shallow_page_limits_before_the_shuffle(spark, hot):
     plan = paging.project_page_all_owners(hot["projects"], 5, 10)._jdf.queryExecution().executedPlan().toString()
     below_shuffle = plan[plan.index("Exchange"):]
     assert "WindowGroupLimit" in below_shuffle
+
+
+def test_few_ids_spare_the_table_a_shuffle(spark, hot, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    files = hot["projects"].selectExpr("id as project_id", "name as r2_key")
+    results = []
+    for limit, shuffled in [(N, False), (N - 1, True)]:
+        monkeypatch.setattr(joins, "BROADCAST_IDS", limit)
+        left = merges.project_delete(hot["projects"], files, hot["requests"])[1]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) != shuffled
+        results.append(left.count())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert results[0] == results[1] < N

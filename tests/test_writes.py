@@ -95,8 +95,7 @@ def test_upsert_takes_the_last_profile_and_guards_emails(spark, users):
     assert outcomes == ["superseded", "updated", "email_conflict", "updated", "email_conflict", "email_conflict"]
     assert rows(table, "id", "email", "full_name") == [
         ("u1", "m1", "second"), ("u2", "m2", "name2"), ("u3", "fresh", "name3")]
-    tables = {"users": table}
-    assert table.groupBy("email").count().where("count > 1").isEmpty() and tables
+    assert table.groupBy("email").count().where("count > 1").isEmpty()
 
 
 def test_upsert_twice_changes_nothing_the_second_time(spark, users):
