@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, url_filter
+from tallyloom.llm import decontaminate, near_dups, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 
@@ -28,7 +28,12 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op10_near_dups": op10_near_dups,
 }
