@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, near_dups, url_filter
+from tallyloom.llm import decontaminate, near_dups, toxicity, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 
@@ -28,6 +28,12 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"))
 
@@ -35,5 +41,6 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_near_dups": op10_near_dups,
 }
