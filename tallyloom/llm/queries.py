@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, near_dups, toxicity, url_filter
+from tallyloom.llm import decontaminate, near_dups, token_counts, toxicity, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 
@@ -28,6 +28,17 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; the package that names its place is only there on the machines that have it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id"])
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -41,6 +52,7 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op4_token_counts": op4_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_near_dups": op10_near_dups,
 }
