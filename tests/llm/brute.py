@@ -36,3 +36,13 @@ def near_duplicates(docs):
                 a, b = sorted((root(doc_id), root(other)))
                 parent[b] = a
     return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def license_places(text):
+    """(n_words, n_base, first_word, last_word, base_labels) by a plain scan."""
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    places = [(i, label) for phrase, label in phrases.items() for i in range(len(words))
+              if words[i:i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return (len(words), len(at), min(at) if at else None, max(at) if at else None, ",".join(sorted({x for _, x in places})))
