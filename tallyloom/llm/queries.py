@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, licenses, near_dups, packing, token_counts, toxicity, url_filter
+from tallyloom.llm import decontaminate, licenses, multi_index, near_dups, packing, token_counts, toxicity, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 
@@ -43,6 +43,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, folder, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_multi_index": op6_multi_index,
     "op7_licenses": op7_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_near_dups": op10_near_dups,
