@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, licenses, multi_index, near_dups, packing, token_counts, toxicity, url_filter
+from tallyloom.llm import decontaminate, licenses, multi_index, near_dups, packing, pseudonyms, token_counts, toxicity, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 
@@ -52,6 +52,15 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+# The query's key; a real run takes a secret from its caller.
+PII_KEY = b"key of the registered query"
+
+
+def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    done = pseudonyms.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"), PII_KEY, counts=True)
+    return done.withColumn("n_replaced", sum((F.col(f"n_{kind}") for kind in pseudonyms.KINDS), F.lit(0)))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id"])
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_multi_index": op6_multi_index,
     "op7_licenses": op7_licenses,
+    "op8_pseudonyms": op8_pseudonyms,
     "op9_toxicity": op9_toxicity,
     "op10_near_dups": op10_near_dups,
 }
