@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, licenses, multi_index, near_dups, packing, pseudonyms, token_counts, toxicity, url_filter
+from tallyloom.llm import decontaminate, licenses, multi_index, near_dups, packing, pseudonyms, suffix_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 
@@ -22,6 +22,11 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     judged = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return judged.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select(
@@ -73,6 +78,7 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,

@@ -46,3 +46,23 @@ def license_places(text):
               if words[i:i + len(phrase.split())] == phrase.split()]
     at = [i for i, _ in places]
     return (len(words), len(at), min(at) if at else None, max(at) if at else None, ",".join(sorted({x for _, x in places})))
+
+
+def repeats_removed(docs, length=50):
+    """{doc_id: (n_bytes, n_removed, n_spans, sha256)} for unique ids."""
+    import hashlib
+
+    data = {d: (t or "").encode() for d, t in docs}
+    seen, out = set(), {}
+    for doc_id in sorted(data):
+        text = data[doc_id]
+        own = [text[i:i + length] for i in range(len(text) - length + 1)]
+        gone = bytearray(len(text))
+        for i, string in enumerate(own):
+            if string in seen:
+                gone[i:i + length] = b"\x01" * length
+        seen.update(own)
+        kept = bytes(b for b, g in zip(text, gone) if not g)
+        spans = len([1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1])])
+        out[doc_id] = (len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+    return out
