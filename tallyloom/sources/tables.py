@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.schemas import STEP_RESULTS, TABLES
 
@@ -25,6 +26,17 @@ def write_table(frame: DataFrame, path: str, partition_by: list[str] | None = No
     writer.parquet(path)
 
 
+def write_dataset(records: DataFrame, path: str) -> None:
+    """Generated records, one folder per split, so that a reader of one split sees no file of the other."""
+    write_table(records, path, partition_by=["split"])
+
+
+def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """All records, or those of one split, whose folder alone is read."""
+    records = spark.read.parquet(path)
+    return records if split is None else records.where(F.col("split") == split)
+
+
 def read_step_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STEP_RESULTS).json(path)
 
