@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,14 +39,22 @@ def fk_orphans(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, orphans)
 
 
+def _demand(table: DataFrame, name: str, columns: Iterable[str]) -> None:
+    """A rule about a column that the frame lacks cannot be checked, and must not pass for fulfilled."""
+    lacking = [column for column in columns if column not in table.columns]
+    if lacking:
+        raise ValueError(f"{name} lacks columns that rules are about: {', '.join(lacking)}")
+
+
 def column_rule_violations(table: DataFrame, name: str, identity: str = "id") -> DataFrame:
     """(identity, rule) for each value that is NULL against the rule or too long, in one scan."""
+    _demand(table, name, [*required_columns(name), *MAX_LENGTH[name]])
     broken = [
         F.when(F.col(column).isNull(), F.lit(f"{column}:not_null"))
-        for column in required_columns(name) if column in table.columns
+        for column in required_columns(name)
     ] + [
         F.when(F.length(column) > limit, F.lit(f"{column}:max_{limit}"))
-        for column, limit in MAX_LENGTH[name].items() if column in table.columns
+        for column, limit in MAX_LENGTH[name].items()
     ]
     return table.select(
         F.lit(name).alias("table_name"), F.col(identity).alias("row_id"),
@@ -60,12 +69,12 @@ def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """
     repeated = []
     for name, columns in UNIQUE.items():
+        _demand(tables[name], name, columns)
         for column in columns:
-            if column in tables[name].columns:
-                counts = (tables[name].select(F.col(column).alias("value")).where("value is not null")
-                          .groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-                repeated.append(counts.select(
-                    F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), "value", "n"))
+            counts = (tables[name].select(F.col(column).alias("value")).where("value is not null")
+                      .groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+            repeated.append(counts.select(
+                F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), "value", "n"))
     return reduce(DataFrame.unionByName, repeated)
 
 
