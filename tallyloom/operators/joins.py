@@ -23,21 +23,6 @@ def attach(many: DataFrame, one: DataFrame, keys: list[str], how: str) -> DataFr
     return joined.drop("_spread")
 
 
-# Up to this many ids (some 40 bytes each) are broadcast.
-BROADCAST_IDS = 250_000
-
-
-def broadcast_if_small(ids: DataFrame, bound: DataFrame) -> DataFrame:
-    """Broadcast a frame of ids that comes out of joins, if ``bound`` has few enough rows.
-
-    Spark cannot tell how small the result of a join will be and would shuffle the table on the
-    other side. ``bound`` is an input of which ``ids`` has at most as many rows; counting stops
-    at the limit. Beyond it the join is left to Spark.
-    """
-    few = bound.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return F.broadcast(ids) if few else ids
-
-
 def keep_parents(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Left join of parents with unique ``key`` to any number of children per key.
 

@@ -20,17 +20,9 @@ def _answers(joined: DataFrame, requests: DataFrame, fields: Sequence[str]) -> D
     )
 
 
-def lookup_by_key(requests: DataFrame, table: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Every request with the fields of the row it names by primary key, and a ``result`` column.
-
-    ``result`` is ``found`` or ``missing``.
-    """
-    hits = table.select(*on, *fields, F.lit(1).alias("_n"))
-    return _answers(requests.join(hits, list(on), "left"), requests, fields)
-
-
 def lookup_at_most_one(requests: DataFrame, table: DataFrame, on: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """The same by columns that ought to be unique; ``result`` may also be ``ambiguous``.
+    """Every request with the fields of the row it names, and a ``result``: ``found``, ``missing`` or, where columns
+    that ought to be unique (ids too) are not, ``ambiguous``.
 
     The table is folded to one row per key before the join (combined on the map side), so a key
     that many rows share neither multiplies the requests nor fills one task; its fields stay
@@ -43,11 +35,11 @@ def lookup_at_most_one(requests: DataFrame, table: DataFrame, on: Sequence[str],
 
 def project_lookup(requests: DataFrame, projects: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Projects by id and owner. A foreign project looks the same as a missing one."""
-    return lookup_by_key(requests, projects.withColumnRenamed("id", "project_id"), ["project_id", "user_id"], fields)
+    return lookup_at_most_one(requests, projects.withColumnRenamed("id", "project_id"), ["project_id", "user_id"], fields)
 
 
 def user_by_id(requests: DataFrame, users: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return lookup_by_key(requests, users.withColumnRenamed("id", "user_id"), ["user_id"], fields)
+    return lookup_at_most_one(requests, users.withColumnRenamed("id", "user_id"), ["user_id"], fields)
 
 
 def user_by_email(requests: DataFrame, users: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -130,6 +122,13 @@ def download_key_audit(requests: DataFrame, projects: DataFrame) -> DataFrame:
             .select(*requests.columns, code.cast("bigint").alias("code")))
 
 
+def object_listing_outcomes(requests: DataFrame, projects: DataFrame) -> DataFrame:
+    """Each listing request with its status code: 404 unless the user owns the project, else 200, also for an empty folder."""
+    owned = (projects.select(F.col("id").alias("project_id"), "user_id").distinct().withColumn("_owned", F.lit(True)))
+    code = F.when(F.col("_owned").isNotNull(), 200).otherwise(404)
+    return attach(requests, owned, ["project_id", "user_id"], "left").select(*requests.columns, code.cast("bigint").alias("code"))
+
+
 # Fixed value: the folder that is listed if a request names none.
 DEFAULT_FOLDER = "Data"
 
@@ -137,20 +136,22 @@ DEFAULT_FOLDER = "Data"
 def object_listing(requests: DataFrame, projects: DataFrame, listing: DataFrame) -> DataFrame:
     """Objects below each requested folder (project_id, user_id, folder), sub-folders included.
 
-    Requests for projects the user does not own list nothing. Each object is taken once per
-    folder it is in (one, unless folders are nested), so that the prefix becomes an equality and
-    no request is held against objects outside its folder. The marker object of the folder is
-    left out, and the prefix is removed from the file name wherever it occurs.
+    Requests for projects the user does not own list nothing; ``object_listing_outcomes`` says which
+    those are. Objects of other projects drop out first. Of the rest, each is taken once per folder it is
+    in (one, unless folders are nested), so that the prefix becomes an equality and no request is
+    held against objects outside its folder. The marker object of the folder is left out, and the
+    prefix is removed from the file name wherever it occurs.
     """
-    keys = ["user_id", "project_id", "folder"]
-    placed = listing.where(K.in_project(F.col("key"))).select(
-        K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"),
-        F.explode(K.key_folders(F.col("key"))).alias("folder"),
-        F.col("key").alias("r2_key"), "size", "last_modified")
+    pair, keys = ["user_id", "project_id"], ["user_id", "project_id", "folder"]
     folder = F.coalesce("folder", F.lit(DEFAULT_FOLDER)).alias("folder")
-    asked = requests.select("user_id", "project_id", folder).distinct()
     owned = projects.select("user_id", F.col("id").alias("project_id"))
-    found = attach(placed, asked.join(owned, ["user_id", "project_id"], "left_semi"), keys, "inner")
+    asked = requests.select("user_id", "project_id", folder).join(owned, pair, "left_semi").distinct()
+    parted = listing.where(K.in_project(F.col("key"))).select(
+        K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"),
+        F.col("key").alias("r2_key"), "size", "last_modified")
+    wanted = attach(parted, asked.select(*pair).distinct(), pair, "left_semi")
+    placed = wanted.withColumn("folder", F.explode(K.key_folders(F.col("r2_key"))))
+    found = attach(placed, asked, keys, "inner")
     prefix = K.folder_prefix(F.col("user_id"), F.col("project_id"), F.col("folder"))
     return found.where(F.col("r2_key") != prefix).select(
         *keys, F.replace("r2_key", prefix, F.lit("")).alias("filename"), "r2_key", "size", "last_modified")

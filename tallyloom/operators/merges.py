@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
 from tallyloom.functions import rules as R
-from tallyloom.operators.joins import attach, broadcast_if_small
+from tallyloom.operators.joins import attach
 from tallyloom.operators.ranking import split_rank
 from tallyloom.schemas import MAX_LENGTH
 from tallyloom.session import cut_lineage
@@ -62,7 +62,8 @@ def invalid(code: Column) -> Column:
 
 def project_create(projects: DataFrame, requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Requests: seq, id, user_id, name, description, execution_type, metadata."""
-    metadata = F.coalesce(F.col("metadata"), F.lit("{}"))
+    # JSON null is no metadata either.
+    metadata = F.when(F.trim(F.coalesce("metadata", F.lit("null"))) == "null", F.lit("{}")).otherwise(F.col("metadata"))
     judged = (
         requests.withColumn("metadata", metadata)
         .withColumn("_keys", R.json_keys(F.col("metadata")))
@@ -102,26 +103,27 @@ def _judge_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
                .when(F.col("name").isNull(), "error_not_null")
                .when(too_long("users", {"google_id": "sub", "email": "email", "full_name": "name"}), "error_too_long")
                .when(~kept_email & F.coalesce(taken, F.lit(False)), "email_conflict"))
-    return (attach(profiles.join(known, "sub", "left"), holders, ["email"], "left")
-            .withColumn("_own", own).withColumn("_kept_email", kept_email)
-            .withColumn("_verdict", verdict)
-            .select(*profiles.columns, "_own", "_kept_email", "_email", "_name", "_avatar", "_verdict"))
+    judged = (attach(profiles.join(known, "sub", "left"), holders, ["email"], "left")
+              .withColumn("_own", own).withColumn("_kept_email", kept_email)
+              .withColumn("_verdict", verdict)
+              .select(*profiles.columns, "_own", "_kept_email", "_email", "_name", "_avatar", "_verdict"))
+    # A new email goes to the account that brings it first; before anything is folded, the others clash.
+    claims = (judged.where("_verdict is null and not _kept_email").groupBy("email")
+              .agg(F.min(F.struct("seq", "sub")).alias("_claim")))
+    clash = F.col("_verdict").isNull() & ~F.col("_kept_email") & (F.col("_claim.sub") != F.col("sub"))
+    return (attach(judged, claims, ["email"], "left")
+            .withColumn("_verdict", F.when(clash, "email_conflict").otherwise(F.col("_verdict"))).select(*judged.columns))
 
 
 def _settle_profiles(judged: DataFrame) -> DataFrame:
-    """The last applicable profile per ``sub`` with its ``outcome``.
-
-    If several of them bring the same new email, the first keeps it and the others clash.
-    """
+    """The last applicable profile per ``sub`` with its ``outcome``."""
     fields = [c for c in judged.columns if c not in ("sub", "_verdict")]
     last = (judged.where("_verdict is null").groupBy("sub")
             .agg(F.max_by(F.struct(*fields), "seq").alias("_last")).select("sub", "_last.*"))
-    first = last.where("not _kept_email").groupBy("email").agg(F.min("seq").alias("_first"))
     same = (F.col("email").eqNullSafe(F.col("_email")) & F.col("name").eqNullSafe(F.col("_name"))
             & F.col("picture").eqNullSafe(F.col("_avatar")))
-    outcome = (F.when(~F.col("_kept_email") & (F.col("seq") != F.col("_first")), "email_conflict")
-               .when(~F.col("_own"), "inserted").when(same, "noop").otherwise("updated"))
-    return attach(last, first, ["email"], "left").withColumn("outcome", outcome)
+    outcome = F.when(~F.col("_own"), "inserted").when(same, "noop").otherwise("updated")
+    return last.withColumn("outcome", outcome)
 
 
 def user_upsert(users: DataFrame, profiles: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +153,7 @@ def user_upsert(users: DataFrame, profiles: DataFrame, as_of: Column) -> tuple[D
     table = kept.unionByName(new)
 
     decided = settled.select("sub", F.col("seq").alias("_seq"), F.col("outcome").alias("_outcome"))
-    outcomes = judged.join(decided, "sub", "left").select(
+    outcomes = attach(judged, decided, ["sub"], "left").select(
         "seq", "sub",
         F.coalesce(F.col("_verdict"),
                    F.when(F.col("seq") == F.col("_seq"), F.col("_outcome")).otherwise("superseded")).alias("outcome"))
@@ -163,6 +165,27 @@ def user_upsert(users: DataFrame, profiles: DataFrame, as_of: Column) -> tuple[D
 # What a project patch may set, and the column each field is stored in.
 PATCHABLE = {"name": "name", "description": "description", "execution_type": "execution_type",
              "metadata_": "metadata", "status": "status"}
+# The JSON types that a field may have besides null.
+STRING, OBJECT = "string", "object"
+FIELD_TYPES = {field: OBJECT if field == "metadata_" else STRING for field in PATCHABLE}
+
+
+def wrongly_typed(patch: Column, keys: Column, types: dict[str, str]) -> Column:
+    """Whether a field that the patch sets holds neither null nor a value of its type."""
+    parsed = F.try_parse_json(patch)
+
+    def wrong(field: str, kind: str) -> Column:
+        found = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
+        fits = found.startswith("OBJECT") if kind == OBJECT else found == "STRING"
+        return R.has_key(keys, field) & ~F.coalesce(fits | (found == "VOID"), F.lit(False))
+
+    return reduce(Column.__or__, [wrong(field, kind) for field, kind in types.items()])
+
+
+def same_json(left: Column, right: Column) -> Column:
+    """Equal as text or as JSON, in which the order of keys and white space do not count."""
+    return left.eqNullSafe(right) | F.coalesce(
+        F.to_json(F.try_parse_json(left)) == F.to_json(F.try_parse_json(right)), F.lit(False))
 
 
 def _first_patches(patches: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,10 +209,10 @@ def _patched_project(joined: DataFrame) -> DataFrame:
     kind, metadata = F.col("_new_execution_type"), F.col("_new_metadata")
     error = R.first_metadata_error(kind, F.col("_keys"))
     unchanged = reduce(Column.__and__, [
-        F.col(f"_new_{column}").eqNullSafe(F.col(column)) for column in PATCHABLE.values()])
+        same_json(F.col(f"_new_{column}"), F.col(column)) if column == "metadata"
+        else F.col(f"_new_{column}").eqNullSafe(F.col(column)) for column in PATCHABLE.values()])
     outcome = (
-        F.when(F.col("_set").isNull(), "unprocessable")
-        .when(sets_metadata & metadata.isNotNull() & F.col("_keys").isNull(), "unprocessable")
+        F.when(F.col("_set").isNull() | wrongly_typed(F.col("patch"), F.col("_set"), FIELD_TYPES), "unprocessable")
         .when(checked & ~R.is_known_type(kind), "invalid:invalid_execution_type")
         .when(checked & metadata.isNull(), "error_null_metadata")
         .when(checked & error.isNotNull(), invalid(error))
@@ -233,7 +256,8 @@ def _patched_user(joined: DataFrame) -> DataFrame:
     joined = joined.withColumn(
         "_new_name", F.when(R.has_key(F.col("_set"), "full_name"), F.col("_value")).otherwise(name))
     return joined.withColumn("_outcome", (
-        F.when(F.col("_set").isNull(), "unprocessable").when(F.col("_new_name").isNull(), "error_not_null")
+        F.when(F.col("_set").isNull() | wrongly_typed(F.col("patch"), F.col("_set"), {"full_name": STRING}), "unprocessable")
+        .when(F.col("_new_name").isNull(), "error_not_null")
         .when(too_long("users", {"full_name": "_new_name"}), "error_too_long")
         .when(F.col("_new_name").eqNullSafe(name), "noop").otherwise("ok")))
 
@@ -268,8 +292,7 @@ def project_delete(projects: DataFrame, files: DataFrame, requests: DataFrame
     owned = (projects.select(F.col("id").alias("project_id"), "user_id")
              .join(asked, keys).select(*keys, "_first"))
     left = projects.join(asked.withColumnRenamed("project_id", "id"), ["id", "user_id"], "left_anti")
-    doomed = broadcast_if_small(owned.select("project_id"), requests)
-    files_left = files.join(doomed, "project_id", "left_anti")
+    files_left = attach(files, owned.select("project_id"), ["project_id"], "left_anti")
     outcomes = attach(requests, owned, keys, "left").select(
         "seq", *keys,
         F.when(F.col("seq") == F.col("_first"), "deleted").otherwise("not_found").alias("outcome"))
@@ -296,8 +319,7 @@ def user_cascade_delete(users: DataFrame, projects: DataFrame, files: DataFrame,
     gone = requests.select("user_id").distinct()
     users_left = users.join(gone.withColumnRenamed("user_id", "id"), "id", "left_anti")
     # Only users that exist have projects to lose.
-    known_gone = broadcast_if_small(
-        gone.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi"), requests)
+    known_gone = gone.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
     projects_left = attach(projects, known_gone, ["user_id"], "left_anti")
     projects_gone = attach(projects, known_gone, ["user_id"], "left_semi").select(F.col("id").alias("project_id"))
     files_left = files.join(projects_gone, "project_id", "left_anti")
@@ -318,7 +340,7 @@ def delete_manifest(listing: DataFrame, requests: DataFrame, batch_size: int = 1
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"), "key")
     asked = requests.select("user_id", "project_id").distinct()
     below = attach(parted, asked, ["user_id", "project_id"], "left_semi")
-    ranked = split_rank(below, ["user_id", "project_id"], [F.col("key").asc()])
+    ranked = split_rank(below, ["user_id", "project_id"], {"key": False}, like=parted)
     return ranked.select("user_id", "project_id", F.expr(f"(rn - 1) div {batch_size}").alias("batch"), "key")
 
 

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ranking import split_rank
-
-
-# The deepest row up to which each task may send its own top rows.
-SHALLOW = 100
+# An owner's rows are limited in so many buckets first.
+BUCKETS = 32
 
 
 def newest_first() -> list[Column]:
@@ -34,32 +31,35 @@ def project_num_files(projects: DataFrame, files: DataFrame) -> DataFrame:
             .select("project_id", F.coalesce("num_files", F.lit(0)).alias("num_files")))
 
 
+def _leading(projects: DataFrame, last: int) -> DataFrame:
+    """Rows that may be among the ``last`` first of their owner.
+
+    An owner's rows are dealt into buckets and each bucket keeps its first ``last`` rows, of which Spark's window
+    group limit already drops most where they are read. So at most ``BUCKETS * last`` rows of an owner meet in
+    the task that numbers them, however many rows and tasks there are.
+    """
+    bucket = F.pmod(F.xxhash64("id", "created_at"), F.lit(BUCKETS))
+    place = F.row_number().over(Window.partitionBy("user_id", "_bucket").orderBy(*newest_first()))
+    return projects.withColumn("_bucket", bucket).withColumn("_place", place).where(F.col("_place") <= last).drop("_bucket", "_place")
+
+
 def project_page_one_owner(projects: DataFrame, owner: str, skip: int = 0, limit: int = 10) -> DataFrame:
-    """One owner's page in order. A deep page is numbered like those of all owners, since Spark's
-    top-rows operator would bring ``skip + limit`` rows of every task into one."""
+    """One owner's page in order."""
     check_page(skip, limit)
-    own = projects.where(F.col("user_id") == owner)
-    if skip + limit <= SHALLOW:
-        return own.orderBy(*newest_first()).offset(skip).limit(limit)
-    return project_page_all_owners(own, skip, limit).orderBy("rn").drop("rn")
+    own = _leading(projects.where(F.col("user_id") == owner), skip + limit)
+    return own.orderBy(*newest_first()).offset(skip).limit(limit)
 
 
 def project_page_all_owners(projects: DataFrame, skip: int = 0, limit: int = 10) -> DataFrame:
     """The same page of every owner; ``rn`` is the place in the owner's whole list.
 
-    For an ordinary page each task first keeps the top ``skip + limit`` rows per owner (Spark's
-    window group limit), so an owner with very many projects sends few rows. For deeper pages,
-    the sort columns alone are numbered with ``split_rank`` and only the page's rows are fetched.
+    The rows themselves are numbered, so rows that repeat an id, or have none, are rows of the page like any other.
     """
     check_page(skip, limit)
     last = skip + limit
-    if last <= SHALLOW:
-        place = F.row_number().over(Window.partitionBy("user_id").orderBy(*newest_first()))
-        ranked = projects.withColumn("rn", place).where(F.col("rn") <= last)
-        return ranked.where(F.col("rn") > skip).withColumn("rn", F.col("rn").cast("bigint"))
-    ranked = split_rank(projects.select("user_id", "id", "created_at"), ["user_id"], newest_first())
-    page = ranked.where((F.col("rn") > skip) & (F.col("rn") <= last)).select("id", "rn")
-    return projects.join(page, "id").select(*projects.columns, "rn")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*newest_first()))
+    ranked = _leading(projects, last).withColumn("rn", place.cast("bigint"))
+    return ranked.where((F.col("rn") > skip) & (F.col("rn") <= last))
 
 
 def project_page_envelope(users: DataFrame, projects: DataFrame, skip: int = 0, limit: int = 10) -> DataFrame:

@@ -18,23 +18,6 @@ def stage_plan(projects: DataFrame) -> DataFrame:
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def stage_results(projects: DataFrame) -> DataFrame:
-    """What a run of each project returns: a JSON result per planned step, then one for the run.
-
-    The steps themselves do no data work; they report success.
-    """
-    def result(step: Column, status: str) -> Column:
-        return F.to_json(F.struct(F.lit(status).alias("status"), step.alias("step")))
-
-    steps = planned_steps(F.col("execution_type"))
-    reports = F.concat(
-        F.transform(steps, lambda step: result(step, STEP_STATUS)),
-        F.array(F.to_json(F.struct(F.lit(RUN_STATUS).alias("status")))))
-    return projects.select(
-        F.col("id").alias("project_id"), F.posexplode(reports).alias("pos", "result"),
-    ).withColumn("pos", F.col("pos").cast("bigint"))
-
-
 def _latest(order: list[str]) -> Column:
     return F.max_by("status", F.struct(*order))
 

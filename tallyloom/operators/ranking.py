@@ -2,47 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import cut_lineage
+# Rows drawn per shuffle partition, and drawn rows per piece of a group: with them, a piece holds about as many
+# rows as a shuffle partition does, and there are at most as many cut points as shuffle partitions.
+DRAWN = 100
 
 
-def split_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
+def sort_columns(order: Mapping[str, bool]) -> list[Column]:
+    """``order`` maps columns to whether they descend; NULLs come first either way."""
+    return [F.col(c).desc_nulls_first() if down else F.col(c).asc_nulls_first() for c, down in order.items()]
+
+
+def cut_points(rows: DataFrame, keys: Sequence[str], order: Mapping[str, bool]) -> DataFrame:
+    """``keys`` of large groups with ``_cuts``, values of the sort columns at which to cut them, in order.
+
+    They come from a sample, are collected (at most one per shuffle partition) and come back as values,
+    so that every use sees the same ones.
+    """
+    spark = rows.sparkSession
+    wanted = DRAWN * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bare = rows.select(*keys, *(c for c in order if c not in keys))
+    total = bare.count()
+    drawn = bare.sample(min(1.0, wanted / total), 7) if total else bare
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_columns(order)))
+    at = drawn.withColumn("_at", place).where(F.col("_at") % DRAWN == 0)
+    cuts = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", *order))).alias("_cuts"))
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
+
+
+def _before(cut: Column, order: Mapping[str, bool]) -> Column:
+    """Whether a cut point comes before the row."""
+    out = F.lit(False)
+    for column, down in reversed(order.items()):
+        left, right = cut[column], F.col(column)
+        ahead = (left > right) if down else (left < right)
+        less = F.coalesce(ahead, left.isNull() & right.isNotNull())
+        out = less | (left.eqNullSafe(right) & out)
+    return out
+
+
+def split_rank(rows: DataFrame, keys: Sequence[str], order: Mapping[str, bool], name: str = "rn",
+               like: DataFrame | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` with no task per group.
 
     A window puts a whole group into one task, so a group with a third of all rows would decide
-    the run time. Here rows are range-partitioned on keys *and* order, which cuts a large group
-    into as many pieces as it needs. A row's number is its number within group and piece plus the
-    rows of the group in earlier pieces.
-
-    Only a group that goes on from one piece to the next has rows in earlier pieces, and that is
-    the group of the next piece's first row. So at most one group per piece has to be looked at,
-    and what is broadcast has at most one row per shuffle partition, however many rows there are.
+    the run time. Here large groups are cut into pieces at points of the sort order, and a row's number is its
+    number within group and piece plus the rows of the group's earlier pieces. Any cut points give the same numbers;
+    they are drawn from ``like``, a frame that is cheaper to read and holds ``rows``, or from ``rows``.
 
-    The ranged rows are written to the shared folder first: they are used several times, and all
-    uses must see the same pieces even if an executor is lost in between.
+    The rows are shuffled once, by group and piece. The counts of the pieces of cut groups are combined
+    on the map side and, like the cut points, at most as many as shuffle partitions plus groups cut.
     """
-    sort = [*[F.col(key).asc() for key in keys], *order]
-    ranged = cut_lineage(
-        rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        # Partition number in the upper bits, place in the partition in the lower 33.
-        .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_piece", F.shiftright("_place", 33)))
-
-    heads = ranged.where(F.col("_place") == F.shiftleft("_piece", 33)).select(*keys).distinct()
-    spans = (ranged.join(F.broadcast(_primed(heads, keys)), _same(keys), "left_semi")
-             .groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_rows")))
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select(*keys, "_piece", F.sum("_rows").over(earlier).alias("_before")).where("_before > 0")
+    cuts = cut_points(like if like is not None else rows, keys, order)
+    joined = rows.join(F.broadcast(_primed(cuts, keys)), _same(keys), "left")
+    piece = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda cut: _before(cut, order))), F.lit(0))
+    placed = joined.withColumn("_piece", F.when(F.col("_cuts").isNotNull(), piece).otherwise(0)).withColumn(
+        "_split", F.col("_cuts").isNotNull()).select(*rows.columns, "_piece", "_split")
 
+    sizes = placed.where("_split").groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sizes.select(*keys, "_piece", F.sum("_rows").over(earlier).alias("_earlier"))
     at = [*keys, "_piece"]
-    within = F.row_number().over(Window.partitionBy(*at).orderBy("_place"))
-    numbered = ranged.withColumn("_within", within).join(F.broadcast(_primed(carried, at)), _same(at), "left")
-    number = F.col("_within") + F.coalesce("_before", F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*at).orderBy(*sort_columns(order)))
+    numbered = placed.withColumn("_within", within).join(F.broadcast(_primed(carried, at)), _same(at), "left")
+    number = F.col("_within") + F.coalesce("_earlier", F.lit(0))
     return numbered.select(*rows.columns, number.cast("bigint").alias(name))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import access, audits, joins, lookup, merges, paging, progress
+from tallyloom.operators import access, audits, documents, joins, lookup, merges, paging, progress
 from tallyloom.plans.fixtures import STATEMENTS, fixture
-from tallyloom.session import shared_folder
+from tallyloom.session import cut_lineage, remove_folder, shared_folder
 from tallyloom.streaming import progress as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,9 @@ SKIP, LIMIT = 2, 5
 DEEP_SKIP, DEEP_LIMIT = 3, 2000
 ONE_OWNER = "u000000000001"
 
+# Records that a source must give; some of the test tables' sources do not.
+MIN_SAMPLES = 350
+
 # So small that batches split on the test tables, too.
 BATCH_SIZE = 4
 
@@ -51,22 +55,36 @@ class _Inputs:
         return {"users": self.users, "projects": self.projects, "project_files": self.files}
 
 
+# Files that the events arrive in, one per micro-batch.
+ARRIVALS = 4
+
+
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs the results of the events table through the streaming operator to its end."""
-    events = (spark.readStream.schema(spark.read.parquet(f"{folder}/events.parquet").schema)
-              .option("pathGlobFilter", "events.parquet").parquet(folder))
-    results = _stream_results(events)
+    """Runs the results of the events table through the streaming operator to its end.
+
+    The events arrive in files, in order of time, so state goes from one micro-batch to the next.
+    """
+    events = spark.read.parquet(f"{folder}/events.parquet")
     base = os.path.join(shared_folder(spark), f"step-results-{uuid.uuid4().hex}")
-    latest = stream.latest_step_results(results, LATEST)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    bounds = [first + (last - first) * k / ARRIVALS for k in range(1, ARRIVALS)] if first is not None else []
+    arrival = reduce(Column.__add__, [(F.col("ts") > F.lit(b)).cast("int") for b in bounds], F.lit(0))
+    for number in range(ARRIVALS):
+        events.where(F.coalesce(arrival, F.lit(0)) == number).coalesce(1).write.parquet(f"{base}/in/{number}")
+    arriving = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"))
+    latest = stream.latest_step_results(_stream_results(arriving), LATEST)
     stream.write_stream(latest, f"{base}/rows", f"{base}/state").awaitTermination()
-    rows = spark.read.schema(latest.schema).parquet(f"{base}/rows")
+    rows = cut_lineage(spark.read.schema(latest.schema).parquet(f"{base}/rows"))
+    remove_folder(spark, base)
     return _as_ntz(rows, ["window_start", "window_end", "ts"])
 
 
 def _stream_results(events: DataFrame) -> DataFrame:
     """The results fixture over a stream; event time must be a TIMESTAMP, read as UTC."""
-    events.sparkSession.conf.set("spark.sql.session.timeZone", "UTC")
-    results = events.sparkSession.sql(STATEMENTS["results"], events=events)
+    spark = events.sparkSession
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        raise ValueError("the events' times are UTC: set spark.sql.session.timeZone to UTC, as build_session does")
+    results = spark.sql(STATEMENTS["results"], events=events)
     return results.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -93,7 +111,8 @@ QUERIES: dict[str, Query] = {
     "object_keys": _on(lambda t: lookup.object_keys(t.files, t.projects)),
     "object_key_parts": _on(lambda t: lookup.object_key_parts(t.objects)),
     "upload_keys": _on(lambda t: lookup.upload_keys(t.uploads, t.projects)),
-    "object_listing": _on(lambda t: lookup.object_listing(t.folder_requests, t.projects, t.objects)),
+    "object_listing": _on(lambda t: lookup.object_listing(t.folder_requests, t.projects, t.nested_objects)),
+    "object_listing_outcomes": _on(lambda t: lookup.object_listing_outcomes(t.folder_requests, t.projects)),
     # Relationships
     "project_owner": _on(lambda t: joins.project_owner(t.projects, t.users)),
     "user_projects": _on(lambda t: joins.user_projects(t.users, t.projects)),
@@ -146,11 +165,20 @@ QUERIES: dict[str, Query] = {
     "token_expiry": _on(lambda t: access.token_expiry(t.tokens, as_of())),
     # Runs
     "stage_plan": _on(lambda t: progress.stage_plan(t.projects)),
-    "stage_results": _on(lambda t: progress.stage_results(t.projects)),
     "latest_step_result": _on(lambda t: progress.latest_step_result(t.results, LATEST)),
     "step_status_json": _on(lambda t: progress.step_status_json(t.results, LATEST)),
     "project_outcome": _on(lambda t: progress.project_outcome(t.projects, t.results, LATEST)),
     "retained_results": _on(lambda t: progress.retained_results(t.results, as_of())),
     "step_results_stream": _stream,
+    # The work of the run steps
+    "document_verdicts": _on(lambda t: documents.document_verdicts(t.documents)),
+    "validation_report": _on(lambda t: documents.validation_report(t.documents)),
+    "page_text": _on(lambda t: documents.page_text(t.pages)),
+    "page_titles": _on(lambda t: documents.page_titles(t.pages)),
+    "document_chunks": _on(lambda t: documents.document_chunks(t.documents)),
+    "chunk_stats": _on(lambda t: documents.chunk_stats(t.documents)),
+    "dataset_records": _on(lambda t: documents.dataset_records(t.documents)),
+    "min_samples_gate": _on(lambda t: documents.min_samples_gate(t.documents, MIN_SAMPLES)),
+    "chat_samples": _on(lambda t: documents.chat_samples(t.conversations)),
 }
 

@@ -64,6 +64,16 @@ OBJECTS = """
 select r2_key as key, max(file_size) as size, max(created_at) as last_modified from {files} group by r2_key
 """
 
+# The objects, and some in nested folders, the folders' markers and keys that repeat their prefix.
+NESTED_OBJECTS = """
+select key, size, last_modified from {objects}
+union all
+select case size % 4 when 0 then regexp_replace(key, '/[^/]*$', '/a/b/deep.txt') when 1 then regexp_replace(key, '/[^/]*$', '/')
+       when 2 then regexp_replace(key, '/[^/]*$', '/') || key else regexp_replace(key, '/[^/]*/[^/]*$', '/loose.txt') end as key,
+  max(size) as size, max(last_modified) as last_modified
+from {objects} where size % 3 = 0 group by 1
+"""
+
 RESULTS = """
 select event_id, 'p' || lpad(cast(user_id as string), 12, '0') as project_id,
   case event_id % 6 when 0 then 'validate_data' when 1 then 'ocr_extraction' when 2 then 'chunk_data'
@@ -153,13 +163,14 @@ CREATE_REQUESTS = """
 select o_orderkey as seq, 'n' || substring(id, 2) as id, user_id,
   case when o_orderkey % 17 = 0 then repeat(name, 30) when o_orderkey % 19 <> 0 then name end as name,
   description, execution_type,
-  case when o_orderkey % 9 <> 0 then metadata end as metadata
+  case when o_orderkey % 27 = 0 then ' null ' when o_orderkey % 9 <> 0 then metadata end as metadata
 from (select *, cast(substring(id, 2) as bigint) as o_orderkey from {projects}) p
 """
 
 # Projects as they came in, with NULL and overlong names.
 RAW_PROJECTS = """
-select id, user_id, repeat(name, cast(1 + seq % 22 as int)) as name, execution_type from {create_requests}
+select id, user_id, repeat(name, cast(1 + seq % 22 as int)) as name, execution_type,
+  case when seq % 6 <> 0 then repeat('s', cast(40 + seq % 15 as int)) end as status from {create_requests}
 """
 
 # Known users (some with a new name, without avatar or with a neighbour's email), the same users
@@ -187,9 +198,25 @@ select 2000000000000 + c_custkey as seq, case when c_custkey % 29 <> 0 then 'x'
   'new.' || cast(c_custkey - c_custkey % 2 as string) || '@example.com' as email, c_name as name,
   cast(null as string) as picture, 'x' || lpad(cast(c_custkey as string), 12, '0') as new_id
 from {customer}
+union all
+-- New accounts whose second email is brought by another one in between.
+select 3000000000000 + c_custkey as seq, 'y' || cast(c_custkey as string) as sub,
+  'own.' || cast(c_custkey as string) || '@example.com' as email, c_name as name, cast(null as string) as picture,
+  'y' || lpad(cast(c_custkey as string), 12, '0') as new_id
+from {customer} where c_custkey % 3 = 0
+union all
+select 4000000000000 + c_custkey as seq, 'z' || cast(c_custkey as string) as sub,
+  'both.' || cast(c_custkey as string) || '@example.com' as email, c_name as name, cast(null as string) as picture,
+  'z' || lpad(cast(c_custkey as string), 12, '0') as new_id
+from {customer} where c_custkey % 6 = 0
+union all
+select 5000000000000 + c_custkey as seq, 'y' || cast(c_custkey as string) as sub,
+  'both.' || cast(c_custkey as string) || '@example.com' as email, c_name as name, cast(null as string) as picture,
+  'y' || lpad(cast(c_custkey as string), 12, '0') as new_id
+from {customer} where c_custkey % 3 = 0
 """
 
-# One patch per project (one in eleven by somebody else), then a second one for each.
+# One patch per project (one in eleven by somebody else, one in five with a wrong type or metadata as stored), then a second one for each.
 PATCHES = """
 select o_orderkey as seq, 'p' || lpad(cast(o_orderkey as string), 12, '0') as project_id,
   'u' || lpad(cast(o_custkey + case when o_orderkey % 11 = 0 then 1 else 0 end as string), 12, '0') as user_id,
@@ -203,7 +230,16 @@ select o_orderkey as seq, 'p' || lpad(cast(o_orderkey as string), 12, '0') as pr
     when 6 then '{{"description":null}}'
     when 7 then '{{"execution_type":"fine_tune","metadata_":{{"base_model":1}},"description":"tuned"}}'
     else '{{"execution_type":"no_such_type","metadata_":null}}' end as patch
-from {orders}
+from {orders} where o_orderkey % 5 <> 0
+union all
+-- Wrong types, and the stored metadata written in another way.
+select o_orderkey as seq, id as project_id, user_id,
+  case o_orderkey / 5 % 8
+    when 0 then '{{"name":5}}' when 1 then '{{"name":{{"a":1}}}}' when 2 then '{{"status":true}}'
+    when 3 then '{{"description":[1,2]}}' when 4 then '{{"metadata_":"{{}}"}}' when 5 then '{{"metadata_":[1]}}'
+    when 6 then '{{"execution_type":1.5,"name":"ok"}}'
+    else '{{"metadata_":' || replace(replace(metadata, ':', ' : '), ',', ' , ') || '}}' end as patch
+from (select *, cast(substring(id, 2) as bigint) as o_orderkey from {projects}) p where o_orderkey % 5 = 0
 union all
 select 1000000000000 + o_orderkey as seq, 'p' || lpad(cast(o_orderkey as string), 12, '0') as project_id,
   'u' || lpad(cast(o_custkey as string), 12, '0') as user_id, '{{"status":"second"}}' as patch
@@ -215,7 +251,7 @@ USER_PATCHES = """
 select c_custkey as seq,
   'u' || lpad(cast(c_custkey + case when c_custkey % 7 = 0 then 900000000000 else 0 end as string), 12, '0') as user_id,
   case c_custkey % 6 when 0 then '{{}}' when 4 then '{{"full_name":"' || repeat(c_name, 20) || '"}}' when 1 then '{{"full_name":null}}'
-    when 2 then '{{"full_name":"' || c_name || '"}}'
+    when 2 then '{{"full_name":"' || c_name || '"}}' when 3 then '{{"full_name":[1]}}'
     else '{{"full_name":"renamed ' || c_name || '"}}' end as patch
 from {customer}
 union all
@@ -225,7 +261,7 @@ from {customer}
 """
 
 STATEMENTS = {
-    "users": USERS, "projects": PROJECTS, "files": FILES, "objects": OBJECTS, "results": RESULTS,
+    "users": USERS, "projects": PROJECTS, "files": FILES, "objects": OBJECTS, "nested_objects": NESTED_OBJECTS, "results": RESULTS,
     "claims": CLAIMS, "tokens": TOKENS, "project_requests": PROJECT_REQUESTS,
     "folder_requests": FOLDER_REQUESTS, "uploads": UPLOADS,
     "delete_requests": DELETE_REQUESTS, "user_requests": USER_REQUESTS, "email_requests": EMAIL_REQUESTS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans.catalog import AS_OF, BATCH_SIZE, DEEP_LIMIT, DEEP_SKIP, LIMIT, ONE_OWNER, SKIP
+from tallyloom.plans.catalog import AS_OF, BATCH_SIZE, DEEP_LIMIT, DEEP_SKIP, LIMIT, MIN_SAMPLES, ONE_OWNER, SKIP
 from tallyloom.plans.fixtures import with_fixtures as q
 
 NOW = f"timestamp '{AS_OF}'"
@@ -59,11 +59,12 @@ CREATED = f"""
   case when name is null then 'unprocessable' when error is not null then 'invalid:' || error
     when length(name) > 255 then 'error_too_long' else 'created' end as outcome
 from (select *, {_error('execution_type', 'metadata')} as error
-      from (select * replace (coalesce(metadata, '{{}}') as metadata) from create_requests)))"""
+      from (select * replace (case when metadata is null or trim(metadata) = 'null' then '{{}}' else metadata end as metadata)
+      from create_requests)))"""
 
 # Profiles with their verdicts, as a chain of tables.
 UPSERT = """,
-judged as (
+alone as (
   select p.*, u.google_id is not null as own, u.email as old_email, u.full_name as old_name, u.avatar_url as old_avatar,
     coalesce(u.email = p.email, false) as kept,
     case when p.sub is null or p.sub = '' or p.email is null or p.email = '' then 'incomplete'
@@ -73,12 +74,15 @@ judged as (
            and exists (select 1 from users h where h.email = p.email and h.google_id <> p.sub) then 'email_conflict'
     end as verdict
   from profiles p left join users u on u.google_id = p.sub),
+judged as (
+  select * replace (case when verdict is null and not kept and sub <> first_value(sub) over
+      (partition by email, kept, verdict order by seq) then 'email_conflict' else verdict end as verdict)
+  from alone),
 lasts as (
   select * from (select *, row_number() over (partition by sub order by seq desc) as nth from judged where verdict is null)
   where nth = 1),
 settled as (
   select *, case
-    when not kept and row_number() over (partition by email, kept order by seq) > 1 then 'email_conflict'
     when not own then 'inserted'
     when email = old_email and name = old_name and picture is not distinct from old_avatar then 'noop'
     else 'updated' end as outcome
@@ -98,6 +102,16 @@ def _set(key: str, column: str) -> str:
     return f"case when {_has('patch', key)} then json_extract_string(patch, '$.{key}') else {column} end"
 
 
+def _mistyped(strings: list[str], objects: list[str]) -> str:
+    wrong = [f"coalesce(json_type(patch, '$.{field}') not in ('VARCHAR', 'NULL'), false)" for field in strings]
+    wrong += [f"coalesce(json_type(patch, '$.{field}') not in ('OBJECT', 'NULL'), false)" for field in objects]
+    return f"case when {' or '.join(wrong)} then 'unprocessable' end"
+
+
+def _entries(json: str) -> str:
+    return f"list_sort(list_transform(json_keys({json}), lambda k: k || '=' || json_extract({json}, '$.' || k)::varchar))"
+
+
 PATCHED = f""",
 owned as (
   select a.seq, a.patch, p.*, row_number() over (partition by a.project_id, a.user_id order by a.seq) as nth
@@ -108,11 +122,11 @@ merged as (
     {_set('metadata_', 'metadata')} as new_metadata
   from owned where nth = 1),
 settled as (
-  select *, coalesce({PATCH_OUTCOME},
+  select *, coalesce({_mistyped(["name", "description", "execution_type", "status"], ["metadata_"])}, {PATCH_OUTCOME},
     case when new_name is null then 'error_not_null'
       when length(new_name) > 255 or length(new_status) > 50 then 'error_too_long'
       when (new_name, new_type) = (name, execution_type) and new_description is not distinct from description
-        and new_status is not distinct from status and new_metadata is not distinct from metadata then 'noop'
+        and new_status is not distinct from status and (new_metadata is not distinct from metadata or {_entries('new_metadata')} = {_entries('metadata')}) then 'noop'
       else 'ok' end) as outcome
   from merged)
 """
@@ -127,7 +141,8 @@ owned as (
   select a.seq, a.patch, u.*, row_number() over (partition by a.user_id order by a.seq) as nth
   from user_patches a join users u on u.id = a.user_id),
 settled as (
-  select *, case when new_name is null then 'error_not_null'
+  select *, case when coalesce(json_type(patch, '$.full_name') not in ('VARCHAR', 'NULL'), false) then 'unprocessable'
+    when new_name is null then 'error_not_null'
     when length(new_name) > 255 then 'error_too_long' when new_name = full_name then 'noop' else 'ok' end as outcome
   from (select *, {_set('full_name', 'full_name')} as new_name from owned where nth = 1))
 """
@@ -158,6 +173,34 @@ where nth = 1)"""
 STEP_ORDER = """list_position(['validate_data', 'ocr_extraction', 'chunk_data',
   'generate_dataset', 'fine_tune', 'deploy_model'], step)"""
 
+VERDICTS = r"""(
+select *, case when not coalesce(regexp_matches(text, '[^\x09-\x0D\x20]'), false) then 'empty'
+  when length(text) <> coalesce(n_chars, -1) then 'length_mismatch' when length(text) < 50 then 'too_short'
+  when doc_id > min(doc_id) over (partition by sha256(text)) then 'duplicate' else 'ok' end as verdict
+from documents)"""
+
+FILLED = r"(select *, ceil(greatest(length(text) - 100, 1) / 400)::bigint as n from documents where regexp_matches(text, '[^\x09-\x0D\x20]'))"
+
+
+def _chunked(documents: str) -> str:
+    return f"""(
+select doc_id, chunk, chunk * 400 as start, substring(text, chunk * 400 + 1, 500) as text
+from (select doc_id, text, unnest(generate_series(0, n - 1)) as chunk from {documents}))"""
+
+
+def _plain(html: str) -> str:
+    text = f"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+    for entity, character in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                              ("&apos;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]:
+        text = f"replace({text}, '{entity}', '{character}')"
+    return rf"trim(regexp_replace({text}, '[\x09-\x0D\x20]+', ' ', 'g'))"
+
+
+CODE_FREE = r"""regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'),
+  '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g')"""
+
+GOOD = f"(select * from {FILLED} where doc_id in (select doc_id from {VERDICTS} where verdict = 'ok'))"
+
 ORACLE: dict[str, str] = {
     "project_lookup": q(["project_requests", "projects"], _lookup(
         "project_requests", "projects", "r.project_id = t.id and r.user_id = t.user_id",
@@ -192,11 +235,15 @@ select u.*, case when p.id is not null
   case when p.id is not null then 3600 end::bigint as expires_in,
   case when p.id is not null then 200 else 404 end::bigint as code
 from uploads u left join projects p on p.id = u.project_id and p.user_id = u.user_id"""),
-    "object_listing": q(["objects", "projects", "folder_requests"], """
-select p.user_id, p.id as project_id, f.folder, split_part(key, '/', 5) as filename, key as r2_key, size, last_modified
-from (select user_id, project_id, coalesce(folder, 'Data') as folder from folder_requests) f
-join projects p on p.id = f.project_id and p.user_id = f.user_id
-join objects o on split_part(key, '/', 3) = p.id and key like p.user_id || '/projects/' || p.id || '/' || f.folder || '/%'"""),
+    "object_listing": q(["nested_objects", "projects", "folder_requests"], """
+select user_id, project_id, folder, replace(key, prefix, '') as filename, key as r2_key, size, last_modified
+from (select distinct p.user_id, p.id as project_id, f.folder, p.user_id || '/projects/' || p.id || '/' || f.folder || '/' as prefix
+  from (select user_id, project_id, coalesce(folder, 'Data') as folder from folder_requests) f
+  join projects p on p.id = f.project_id and p.user_id = f.user_id)
+join nested_objects o on split_part(key, '/', 3) = project_id and starts_with(key, prefix) and key <> prefix"""),
+    "object_listing_outcomes": q(["projects", "folder_requests"], """
+select f.*, case when exists (select 1 from projects p where p.id = f.project_id and p.user_id = f.user_id)
+  then 200 else 404 end::bigint as code from folder_requests f"""),
     "project_owner": q(["projects", "users"], """
 select p.id as project_id, p.name, p.status, p.user_id, u.email as owner_email, u.full_name as owner_name
 from projects p join users u on u.id = p.user_id"""),
@@ -234,7 +281,7 @@ select 'project_files', 'project_id', project_id from files where project_id not
             ("users", "users", ["id", "email", "full_name", "google_id"],
              [("email", 255), ("full_name", 255), ("google_id", 255)]),
             ("projects", "raw_projects", ["id", "user_id", "name", "execution_type"],
-             [("name", 255), ("execution_type", 50)]),
+             [("name", 255), ("execution_type", 50), ("status", 50)]),
             ("project_files", "files", ["id", "project_id", "filename", "r2_key", "folder"],
              [("filename", 500), ("folder", 50), ("content_type", 255)])]
         for column, rule, condition in [(c, "not_null", f"{c} is null") for c in required]
@@ -335,10 +382,6 @@ select *, date_trunc('second', expires_at) < {NOW} as expired from (
   select *, issued_at + case token_type when 'access' then interval 60 minutes else interval 7 days end as expires_at
   from tokens)"""),
     "stage_plan": q(["projects"], f"select * from {NUMBERED_PLAN}"),
-    "stage_results": q(["projects"], f"""
-select project_id, pos, '{{"status":"success","step":"' || step || '"}}' as result from {NUMBERED_PLAN}
-union all
-select project_id, count(*), '{{"status":"completed"}}' from {PLAN} group by project_id"""),
     "latest_step_result": q(["results"], f"select * from {LATEST}"),
     "step_status_json": q(["results"], f"""
 select project_id, '{{' || string_agg('"' || step || '":"' || status || '"', ',' order by {STEP_ORDER}) || '}}'
@@ -355,4 +398,32 @@ select window_start, window_start + interval 24 hours as window_end, project_id,
 from (select *, date_trunc('day', ts) as window_start from results)
 where window_start + interval 24 hours <= (select date_trunc('milliseconds', max(ts)) from results) - interval 24 hours
 group by window_start, project_id, step"""),
+    "document_verdicts": f"select doc_id, source, lang, verdict from {VERDICTS}",
+    "validation_report": f"""
+select source, lang, count(*) as n_documents, count(*) filter (where verdict = 'empty') as n_empty,
+  count(*) filter (where verdict = 'length_mismatch') as n_length_mismatch,
+  count(*) filter (where verdict = 'too_short') as n_too_short,
+  count(*) filter (where verdict = 'duplicate') as n_duplicate, count(*) filter (where verdict = 'ok') as n_ok,
+  count(*) filter (where verdict = 'ok') / count(*) as pass_rate
+from {VERDICTS} group by source, lang""",
+    "page_text": f"select page_id, {_plain(CODE_FREE)} as text from pages",
+    "page_titles": rf"""
+select page_id, {_plain("title")} as title
+from (select page_id, regexp_extract({CODE_FREE}, '(?is)<title\b[^>]*>(.*?)</title', 1) as title from pages)""",
+    "document_chunks": f"select * from {_chunked(FILLED)}",
+    "chunk_stats": f"""
+select doc_id, count(*) as n_chunks, sum(length(text))::bigint as total_chars, avg(length(text)) as mean_chars
+from {_chunked(FILLED)} group by doc_id""",
+    "dataset_records": f"""
+select doc_id || '-' || chunk as record_id, doc_id, chunk,
+  case when substring(md5(doc_id::varchar), 1, 2) < '1a' then 'val' else 'train' end as split, text
+from {_chunked(GOOD)}""",
+    "min_samples_gate": f"""
+select source, coalesce(sum(n), 0)::bigint as n_records,
+  case when coalesce(sum(n), 0) >= {MIN_SAMPLES} then 'ok' else 'insufficient' end as result
+from documents d left join (select doc_id, n from {GOOD}) using (doc_id) group by source""",
+    "chat_samples": """
+select conv_id, turn // 8 as part, count(*) as n_turns,
+  to_json(list({'turn': turn, 'role': role, 'text': text} order by turn, role, text))::varchar as sample
+from conversations group by conv_id, turn // 8""",
 }

@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.checkpoint.compress": "true",
+    # State of streams on disk, with changes only in each checkpoint.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Drop checkpoint files once no DataFrame refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -48,3 +52,9 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the shared folder once and go on from the written rows."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own intermediate files, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

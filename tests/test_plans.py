@@ -51,7 +51,8 @@ def test_owner_filter_and_columns_reach_the_scan(stored):
 def test_lookup_reads_only_what_it_returns(stored, no_broadcast):
     plan = plan_of(lookup.project_lookup(stored("project_requests"), stored("projects"), ["status"]))
     assert "ReadSchema: struct<id:string,user_id:string,status:string>" in plan
-    assert plan.count("Exchange") == 2
+    # One shuffle folds repeated ids, two bring both sides together so that a hot one can be split.
+    assert plan.count("Exchange") == 3
 
 
 def test_totals_do_not_shuffle_rows(spark, stored, no_broadcast):
@@ -76,10 +77,3 @@ def test_retention_filters_in_the_scan(stored):
 
 def test_progress_of_all_steps_takes_one_shuffle(stored):
     assert plan_of(progress.step_status_json(stored("results"), ["ts", "event_id"])).count("Exchange") == 1
-
-
-def test_deep_pages_broadcast_only_groups_that_cross_pieces(spark, stored):
-    plan = plan_of(paging.project_page_all_owners(stored("projects"), 500, 1000).select("user_id", "id", "rn"))
-    assert plan.count("BroadcastExchange") >= 2
-    # The numbering works on the sort columns only.
-    assert "metadata" not in plan
