@@ -52,7 +52,7 @@ if __name__ == "__main__":
         "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     connection, queries, oracle = connect(folder), entry.queries(), entry.oracle_sql()
-    for name in sys.argv[1:] or queries:
+    for name in sys.argv[1:] or oracle:
         start = time.time()
         try:
             columns, left = of_spark(queries[name](spark, folder))
