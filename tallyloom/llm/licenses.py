@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import arrays
+from tallyloom.llm.shipping import shipped
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,7 @@ def _frequencies(templates: list[Template]) -> Callable:
 def document_frequencies(documents: DataFrame, templates: list[Template], text_column: str = "text") -> np.ndarray:
     """Inverse document frequency of each of the index' words over all documents."""
     width = len(Index(templates).words)
-    counted = documents.select(F.col(text_column).alias("text")).mapInArrow(
+    counted = shipped(documents).select(F.col(text_column).alias("text")).mapInArrow(
         _frequencies(templates), "documents long, held array<long>")
     sums = [F.sum("documents"), *(F.sum(F.col("held")[i]) for i in range(width))]
     total, *held = [x or 0 for x in counted.agg(*sums).first()]

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.shipping import shipped
 from tallyloom.session import cut_lineage
 
 
@@ -160,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 3
     """``query_id, rank, vec_id, score`` for every row of which ``is_query`` (on ``vec_id``) holds."""
     spark = vectors.sparkSession
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
+    own = shipped(vectors).select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
     own = own.where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False)))
     own = cut_lineage(own.groupBy("vec_id").agg(F.max("vector").alias("vector")))
     drawn = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().combine_chunks()  # at most ``sample`` rows

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import arrays, pretokens
+from tallyloom.llm.shipping import shipped
 from tallyloom.llm.token_counts import holding
 from tallyloom.session import cut_lineage
 
@@ -167,7 +168,7 @@ def _cut(path: str, capacity: int, closing: int) -> Callable:
 def cut_pieces(documents: DataFrame, path: str, capacity: int, closing: int = 1, id_column: str = "doc_id",
                text_column: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's pieces."""
-    own = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    own = shipped(documents).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(_cut(path, capacity, closing),
                           f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.shipping import shipped
+
 ROUNDS = 10
 # Pseudonyms that a task remembers, some 200 bytes each.
 REMEMBERED = 200_000
@@ -257,7 +259,7 @@ def pseudonymise(documents: DataFrame, key: bytes, inverse: bool = False, text_c
     if not key:
         raise ValueError("a key is needed")
     names = [c for c in documents.columns if c != text_column]
-    own = documents.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.col(text_column).alias("_text"))
+    own = shipped(documents).select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.col(text_column).alias("_text"))
     schema = ", ".join([*(f"_{i} {own.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(names))), "_new string",
                         *(f"_n_{kind} long" for kind in KINDS)])
     done = own.mapInArrow(_replacing(key, inverse), schema)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import arrays, pretokens
+from tallyloom.llm.shipping import shipped
 
 # Pieces that a Python process remembers, some 100 bytes each.
 REMEMBERED = 400_000
@@ -180,7 +181,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 1024, id_column:
                  text_column: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``. ``path``: a tokenizer file that every
     executor can open."""
-    own = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    own = shipped(documents).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     counted = own.mapInArrow(_count(path), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import arrays
+from tallyloom.llm.shipping import shipped
 from tallyloom.session import cut_lineage
 
 BITS = 20
@@ -168,7 +169,7 @@ def _scores(weights: np.ndarray, intercept: float) -> Callable:
 def score_toxicity(documents: DataFrame, labels: DataFrame, text_column: str = "text", keep: list[str] | None = None,
                    **training) -> DataFrame:
     """The columns ``keep`` (all by default) of every document with ``score``; see ``train`` for the rest."""
-    weights, intercept = train(documents, labels, text_column=text_column, **training)
+    weights, intercept = train(shipped(documents), labels, text_column=text_column, **training)
     keep = documents.columns if keep is None else keep
     own = documents.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.coalesce(text_column, F.lit("")).alias("_text"))
     schema = ", ".join([f"_{i} {own.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["_score double"])
