@@ -5,22 +5,22 @@ space, A-Z lower-cased); with fewer words the whole sequence is the one shingle.
 linked if 100 times the size of the intersection is at least 75 times that of the union.
 
 1. Each document gets a sketch: per bucket (hash function) the minimum of its shingles' hashes,
-   compressed to its number of leading zeros (6 bits) and the 10 bits after the leading one. Four
-   or more registers that follow each other form a band, packed into one or two numbers.
+   compressed to its number of leading zeros (6 bits) and the 10 bits after the leading one. The first
+   registers are grouped into bands of ``ROWS``.
 2. Documents with equal sets (by a 128-bit fingerprint of the whole set) become one node.
-3. Nodes that agree on a band are candidates. First every node is compared with the smallest node of
-   each of its buckets only. Then, with components known, only candidates in different components are
-   left. So a group of thousands of copies costs one pair per copy instead of all pairs, and yet
-   every pair of candidates is either compared or already connected.
-4. Candidates are filtered by the estimate of similarity from the registers, corrected for registers
-   that collide by chance, with a margin of more than five standard deviations, and those left are
-   verified on their full sets, which are made again from the texts of just these documents.
-
-``BANDS`` bands of ``ROWS`` registers miss a pair at similarity 0.75 with probability below 1e-5, and
-less the more similar it is. There is no cap on buckets, candidates or partners. In a bucket, pairs
-are only made between neighbouring size classes, since sets of which one is less than 3/4 of the other cannot
-be linked. What still grows with the square of its size is a bucket of documents that are not
-similar; it takes five equal registers to get there.
+3. Nodes that agree on a band are candidates. In a few rounds, every node is verified against one
+   other: of the centres of its band buckets, the one that it meets most often. The first round's centres
+   are the smallest nodes, those of later rounds are drawn by hash. Linked nodes become one component
+   after each round, and buckets with one component drop out. So a group of thousands of copies costs a
+   few pairs per copy instead of all pairs.
+4. Candidates that are in different components after these rounds are all examined, block by block:
+   the estimate of similarity from all registers, corrected for registers that collide by chance, rules
+   out those more than four standard deviations below the limit, and the others are verified.
+
+Verification compares full sets. ``BANDS`` bands of ``ROWS`` registers miss a pair at similarity 0.75 with
+probability below 1e-5, and less the more similar it is. There is no cap on buckets, candidates or partners. What
+still grows with the square of its size is a bucket of nodes that turn out not to be linked; such pairs are
+compared inside tasks, 512 by 512, and only those that the registers do not rule out become rows.
 
 Defined cases: NULL texts and texts without words have an empty set, are linked with nothing and kept.
 Rows that repeat a ``doc_id`` are one document: what either is linked to is connected. Rows with a NULL
@@ -34,20 +34,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import arrays
-from tallyloom.llm.components import components
+from tallyloom.llm.components import components, parts_of
+from tallyloom.llm.shipping import shipped
 from tallyloom.operators.joins import attach
 from tallyloom.session import cut_lineage
 
 WORDS = 5
 BANDS, ROWS = 44, 5
-REGISTERS = BANDS * ROWS
+BANDED = BANDS * ROWS
+# Registers for estimates: the banded ones and as many more.
+REGISTERS = 2 * BANDED
 MANTISSA = 10
 # Links need this share; sketches are trusted to rule out a pair below the second.
-PERCENT, RULED_OUT = 75, 0.55
+PERCENT, RULED_OUT = 75, 0.66
+# Rounds of one comparison per node, and rows per block when all are compared.
+ROUNDS, BLOCK = 3, 512
 
 _random = np.random.RandomState(7)
 _FACTORS = (_random.randint(0, 2**62, REGISTERS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -80,10 +86,10 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, lis
         yield row, sets
 
 
-def registers_of(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def registers_of(shingles: np.ndarray, starts: np.ndarray, many: int = REGISTERS) -> np.ndarray:
     """One row per set, one column per bucket: leading zeros and mantissa of the minimum."""
-    out = np.empty((len(starts), REGISTERS), np.uint16)
-    for k, factor in enumerate(_FACTORS):
+    out = np.empty((len(starts), many), np.uint16)
+    for k, factor in enumerate(_FACTORS[:many]):
         least = np.minimum.reduceat(shingles * factor, starts)
         bits = np.frexp(np.maximum(least, _U(1)).astype(np.float64))[1].astype(np.int64)  # length in bits
         zeros = 64 - np.minimum(bits, 64)
@@ -92,6 +98,14 @@ def registers_of(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """One 64-bit key per row and band; its last six bits are the number of the band."""
+    keys = np.zeros((len(registers), BANDS), _U)
+    for k in range(ROWS):
+        keys = arrays.mixed(keys ^ registers[:, k:BANDED:ROWS].astype(_U))
+    return (keys & ~_U(63)) | np.arange(BANDS, dtype=_U)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -99,31 +113,47 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             marks = np.zeros((2, len(sets)), np.int64)
-            packed = pa.nulls(len(sets), pa.binary())
+            keys = np.zeros((0, BANDS), np.int64)
             if len(full):
                 together = np.concatenate([sets[i] for i in full])
                 starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 for j, salt in enumerate((_U(0x51ED270B), _U(0x2545F491))):
                     marks[j, full] = np.add.reduceat(arrays.mixed(together ^ salt), starts).astype(np.int64)
-                regs = registers_of(together, starts)
-                rows = np.full(len(sets), None, object)
-                for i, r in zip(full, regs):
-                    rows[i] = r.astype(">u2").tobytes()
-                packed = pa.array(rows, pa.binary())
-            yield pa.record_batch([ids.slice(row, len(sets)), pa.array(sizes), pa.array(marks[0]), pa.array(marks[1]), packed],
-                                  names=["doc_id", "n_shingles", "s1", "s2", "registers"])
+                keys = band_keys(registers_of(together, starts, BANDED)).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
+            yield pa.record_batch([ids.slice(row, len(sets)), pa.array(sizes), pa.array(marks[0]), pa.array(marks[1]), bands],
+                                  names=["doc_id", "n_shingles", "s1", "s2", "bands"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``docs`` is ``doc_id, text``; gives the set's size, its fingerprint and its registers."""
-    return docs.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, registers binary")
+    """``docs`` is ``doc_id, text``; gives the set's size, its fingerprint and the keys of its bands."""
+    return docs.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            yield pa.record_batch([part.column(0), pa.array(
+                [packer.compress((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed texts the sets and the registers for estimates."""
+    unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
-        for row, sets in shingle_sets(batch.column(1)):
-            yield pa.record_batch([batch.column(0).slice(row, len(sets)), pa.array(
-                [s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            texts = pa.array([unpacker.decompress(t) for t in part.column(1).to_pylist()], pa.binary())
+            for row, sets in shingle_sets(texts):
+                sets = [s if len(s) else np.zeros(1, _U) for s in sets]
+                starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+                regs = registers_of(np.concatenate(sets), starts)
+                yield pa.record_batch([part.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                                       pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                                      names=["node", "n_shingles", "shingles", "registers"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,87 +166,145 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n_shingles, shingles, registers`` of the documents whose id is in ``nodes`` (column ``node``).
+
+    Texts are compressed before they are shuffled.
+    """
+    packed = docs.where("doc_id is not null").mapInArrow(_compressed, "doc_id long, text binary")
+    wanted = packed.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
+    return wanted.select("doc_id", "text").mapInArrow(_sets, "node long, n_shingles long, shingles binary, registers binary")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of ``pairs`` (``a, b``) those whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary")
-    sets = cut_lineage(sets)
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")).hint("merge"), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")).hint("merge"), "b")
     return two.select("a", "b", "left", "right").mapInArrow(_overlaps, "a long, b long")
 
 
-def estimates(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Similarity from registers (one row per pair), without the share that collides by chance.
+def estimates(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Similarity from equal registers (one row per pair), without the share that collides by chance.
 
     Two different minima share leading zeros and mantissa with a probability of about 0.72 / 2^mantissa times
     nm / (n + m)^2: the integral over both densities, where the width of a cell is on average 0.72 /
     2^mantissa of the hash value.
     """
-    equal = (left == right).mean(axis=1)
     chance = 0.7213 / 2**MANTISSA * n * m / (n + m).astype(np.float64) ** 2
-    return (equal - chance) / (1 - chance)
-
-
-def _not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (equal.mean(axis=1) - chance) / (1 - chance)
+
+
+def _pairs_of_block(nodes, labels, sizes, sides, band, registers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket or block pair that may be linked and meet in this band first."""
+    for i in range(len(nodes) - 1):
+        rest = np.arange(i + 1, len(nodes))
+        small, big = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+        rest = rest[(labels[rest] != labels[i]) & (100 * small >= PERCENT * big) & ((sides[rest] == 2) | (sides[rest] != sides[i]))]
+        if not len(rest):
+            continue
+        equal = registers[rest] == registers[i]
+        n, m = np.full(len(rest), float(sizes[i])), sizes[rest].astype(np.float64)
+        keep = estimates(equal, n, m) >= RULED_OUT
+        bands = equal[keep, :BANDED].reshape(-1, BANDS, ROWS).all(axis=2)
+        rest = rest[keep][bands.argmax(axis=1) == band]
+        if len(rest):
+            yield np.full(len(rest), nodes[i]), nodes[rest]
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by ``block``; a block has at most two times ``BLOCK`` rows or so."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        block, nodes, labels, sizes, sides, bands = (table.column(k).to_numpy() for k in range(6))
+        registers = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for left, right in _pairs_of_block(nodes[lo:hi], labels[lo:hi], sizes[lo:hi], sides[lo:hi], bands[lo], registers[lo:hi]):
+                a.append(left)
+                b.append(right)
+        return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    held = None
     for batch in batches:
-        if batch.num_rows:
-            n, m = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (4, 5))
-            keep = estimates(left, right, n, m) >= RULED_OUT
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of candidate pairs those that the registers do not rule out."""
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"),
-                                        F.col("registers").alias(f"r_{end}")), end)
-    big, small = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    return (pairs.where(small * 100 >= big * PERCENT).select("a", "b", "n_a", "n_b", "r_a", "r_b")
-            .mapInArrow(_not_ruled_out, "a long, b long"))
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        blocks = held.column(0).to_numpy()
+        cut = int(np.searchsorted(blocks, blocks[-1], "left"))
+        if cut:
+            yield work(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield work(held)
+
+
+def _meetings(placed: DataFrame, turn: int, parts: int) -> DataFrame:
+    """``a, b``: for every node ``b`` the centre of another component that most of its buckets have.
+
+    ``placed`` has ``key, node, label``."""
+    drawn = F.lit(0).cast("long") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    centres = placed.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "node", "label")).alias("c")).coalesce(parts)
+    met = attach(placed, centres.hint("merge"), ["key"], "inner").where(F.col("label") != F.col("c.label"))
+    often = met.groupBy("node", F.col("c.node").alias("a")).count().coalesce(parts)
+    best = often.groupBy("node").agg(F.max(F.struct("count", -F.col("a"))).alias("best"))
+    return best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")).coalesce(parts)
+
+
+def _relabelled(placed: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """``placed`` with new labels, in buckets that still have several."""
+    placed = attach(placed.drop("label"), labels.hint("merge"), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
+    placed = placed.coalesce(parts)
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many"))
+    mixed = mixed.where("lo < hi").select("key", "many").coalesce(parts)
+    return attach(placed.drop("many"), mixed.hint("merge"), ["key"], "inner").coalesce(parts)
+
+
+def _examined(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of candidates in different components that the registers do not rule out."""
+    filled = attach(placed, sets.select("node", "n_shingles", "registers").hint("merge"), ["node"], "inner")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = filled.withColumns({"blocks": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    rows = spread.select(block.alias("block"), "node", "label", "n_shingles", side.cast("int").alias("side"),
+                         F.expr("int(key & 63)").alias("band"), "registers")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_crossing, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sketched = cut_lineage(sketches(docs))
+    docs = shipped(documents).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    # Row numbers of checkpointed rows stay what they are.
+    sketched = cut_lineage(sketches(docs)).withColumn("row", F.monotonically_increasing_id())
     filled = sketched.where("n_shingles > 0")
-    classes = filled.where("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    members = attach(filled, classes, ["s1", "s2"], "left")
-    nodes = cut_lineage(members.where("doc_id = node").dropDuplicates(["node", "s1", "s2"]).select(
-        "node", "n_shingles", "registers"))
-
-    width = 2 * ROWS
-    bands = nodes.select("node", F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / PERCENT + 0.001))).cast("int").alias("class"),
-                         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(
-                             F.substring(F.col("registers"), k * width + 1, F.lit(width)), k))).alias("band", "key"))
-    bands = bands.drop("band")
-    shared = bands.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
-    bands = cut_lineage(attach(bands, shared, ["key"], "inner"))
-
-    stars = bands.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = _similar(stars, nodes).groupBy("b").agg(F.min("a").alias("a"))
-    links = cut_lineage(verified(docs, cut_lineage(first)))
-    labels = components(links)
-
-    placed = (bands.join(labels, "node", "left")
-              .select("key", "class", "node", F.coalesce("label", "node").alias("label")))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    placed = cut_lineage(attach(placed, mixed, ["key"], "inner"))
-    groups = placed.select("key", "class", "label").distinct()
-    near = groups.select("key", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"),
-                         F.col("label").alias("label_a"), F.col("class").alias("class_a"))
-    crossing = near.join(groups.withColumnRenamed("label", "label_b"), ["key", "class"]).where("label_a < label_b")
-    ends_a = placed.select("key", F.col("class").alias("class_a"), F.col("label").alias("label_a"), F.col("node").alias("a"))
-    ends_b = placed.select("key", "class", F.col("label").alias("label_b"), F.col("node").alias("b"))
-    rest = (crossing.join(ends_a, ["key", "class_a", "label_a"]).join(ends_b, ["key", "class", "label_b"])
-            .select("a", "b").distinct())
-    more = cut_lineage(verified(docs, cut_lineage(_similar(rest, nodes))))
-    labels = components(links.unionByName(more)) if more.limit(1).count() else labels
-
-    found = labels.select("node", F.col("label"))
-    joined = attach(members.select("doc_id", "n_shingles", "node"), found, ["node"], "left")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+    classes = filled.groupBy("s1", "s2").agg(first.alias("first")).select("s1", "s2", F.col("first.doc_id").alias("node"), "first.row")
+    members = attach(filled.select("doc_id", "n_shingles", "s1", "s2"), classes.drop("row"), ["s1", "s2"], "left")
+    nodes = attach(filled.select("row", "bands"), classes.where("node is not null").select("row", "node"), ["row"], "inner")
+
+    bands = cut_lineage(nodes.select("node", "bands")).select("node", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("many")).where("many > 1")
+    placed = cut_lineage(attach(bands, shared, ["key"], "inner").withColumn("label", F.col("node")))
+    parts = parts_of(placed.count())
+    placed = placed.coalesce(parts)
+    sets = cut_lineage(full_sets(docs, placed.select("node").distinct()))
+    links, labels = None, None
+    for turn in range(ROUNDS):
+        if turn and placed.isEmpty():
+            break
+        found = verified(sets, cut_lineage(_meetings(placed, turn, parts)))
+        links = cut_lineage((found if links is None else links.unionByName(found)).coalesce(parts))
+        labels = components(links)
+        placed = cut_lineage(_relabelled(placed, labels, parts))
+        if turn == 0:
+            sets = cut_lineage(sets.join(placed.select("node").distinct().hint("merge"), "node", "left_semi"))
+    rest = cut_lineage(_examined(placed, sets))
+    labels = components(links.unionByName(verified(sets, rest)))
+
+    joined = attach(members.select("doc_id", "n_shingles", "node"), labels.hint("merge"), ["node"], "left")
     component = F.coalesce("label", "node")
     result = joined.select("doc_id", "n_shingles", component.alias("component_id")).unionByName(
         sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
