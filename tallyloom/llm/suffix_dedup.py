@@ -39,15 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import arrays
+from tallyloom.llm.shipping import shipped
 
 LENGTH, GRAM = 50, 8
 GRAMS = LENGTH - GRAM + 1  # grams in a string
 SIDE = (LENGTH - GRAM) // 2  # bytes on one side of the anchor that a string holds at least
 SHALLOW = 16
 # Bytes of text whose contexts are collected before they are sent, and suffixes sorted at once.
-BATCH, AT_ONCE = 8 << 20, 400_000
-# Bytes of text per partition of documents.
-PARTITION = 32 << 20
+BATCH, AT_ONCE = 4 << 20, 300_000
+# Bytes of text per partition; contexts take some three times that, a task that sorts them some 200 MB.
+PARTITION = 8 << 20
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -72,6 +73,11 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def steps(ids: np.ndarray) -> np.ndarray:
+    """Differences, which pack well where ids follow each other; ``np.cumsum`` undoes it."""
+    return np.diff(ids, prepend=ids.dtype.type(0))
+
+
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of the spans, one span after the other."""
     ends = np.cumsum(sizes)
@@ -165,7 +171,7 @@ class Contexts:
             classes, uses = np.unique(own[chosen], return_counts=True)
             lead = head[classes]
             used, local = np.unique(rows[chosen], return_inverse=True)
-            yield part, packed(ids[used], marks[used], many[lead].astype(np.uint8), rel[lead].astype(np.uint8), uses.astype(np.uint32),
+            yield part, packed(steps(ids[used]), marks[used], many[lead].astype(np.uint8), rel[lead].astype(np.uint8), uses.astype(np.uint32),
                                local.astype(np.uint32), within[chosen].astype(np.uint32),
                                data[spans(first[lead], many[lead] + LENGTH - 1)])
 
@@ -174,8 +180,8 @@ def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np
     """Which contexts differ from those that their hash says they equal."""
     out = n != m
     check = np.flatnonzero((a != b) & ~out)
-    for low in range(0, len(check), 100_000):
-        rows = check[low:low + 100_000]
+    for low in range(0, len(check), 20_000):
+        rows = check[low:low + 20_000]
         sizes = n[rows] + LENGTH - 1
         wrong = data[spans(a[rows], sizes)] != data[spans(b[rows], sizes)]
         if wrong.any():
@@ -221,9 +227,10 @@ def deep_shallow(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.n
     # Multikey quicksort, eight bytes at a time: only groups that are still equal are sorted on.
     order, group = np.arange(len(places)), np.zeros(len(places), np.int64)
     open_ = np.arange(len(places))  # positions in ``order`` of groups with more than one member
-    wide = words_at(data, 8)
     for depth in range(0, SHALLOW, 8):
-        keys = wide[places[order[open_]] + depth]
+        at, keys = places[order[open_]] + depth, np.zeros(len(open_), _U)
+        for k in range(8):
+            keys = (keys << _U(8)) | data[at + k]
         by = np.lexsort((keys, group[open_]))
         order[open_], keys = order[open_[by]], keys[by]
         fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (group[open_][1:] != group[open_][:-1])]) if len(keys) else np.zeros(0, bool)
@@ -236,8 +243,8 @@ def deep_shallow(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.n
         heads = places[order[group[open_]]]
         rest = np.arange(SHALLOW, LENGTH)
         common = np.full(len(open_), LENGTH)
-        for low in range(0, len(open_), 100_000):
-            part = slice(low, low + 100_000)
+        for low in range(0, len(open_), 20_000):
+            part = slice(low, low + 20_000)
             unequal = data[suffixes[part, None] + rest] != data[heads[part, None] + rest]
             common[part] = np.where(unequal.any(axis=1), SHALLOW + unequal.argmax(axis=1), LENGTH)
         cuts = np.flatnonzero(np.concatenate([[True], group[open_][1:] != group[open_][:-1]]))
@@ -266,9 +273,11 @@ def _several(group: np.ndarray, open_: np.ndarray) -> np.ndarray:
 
 def removals(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``(ids, marks, starts, ends)`` of stretches to remove, from all contexts of a partition."""
-    read = [unpacked(blob) for blob in blobs]
+    read = []
+    while blobs:
+        read.append(unpacked(blobs.pop()))
     shift = np.cumsum([0] + [len(r[0]) for r in read])
-    ids, marks = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
+    ids, marks = np.concatenate([np.cumsum(r[0]) for r in read]), np.concatenate([r[1] for r in read])
     many, rel, uses = (np.concatenate([r[k] for r in read]).astype(np.int64) for k in (2, 3, 4))
     document = np.concatenate([r[5].astype(np.int64) + s for r, s in zip(read, shift)])
     within = np.concatenate([r[6] for r in read]).astype(np.int64)
@@ -277,8 +286,18 @@ def removals(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     sizes = many + LENGTH - 1
     at = np.cumsum(sizes) - sizes
     # Equal contexts of different batches become one.
-    sums = arrays.prefix_hashes(data)
-    same = arrays.span_hashes(sums, at, at + sizes) ^ arrays.mixed(rel.astype(_U))
+    # Left and right of the anchor: is what a string holds there in two documents?
+    has_left, has_right = rel >= SIDE, sizes - rel - GRAM >= SIDE
+    same, left, right, gram = (np.zeros(len(at), _U) for _ in range(4))
+    for low in range(0, len(at), 8192):
+        part = slice(low, low + 8192)
+        begin = at[part] - at[low]
+        sums = arrays.prefix_hashes(data[at[low]:at[part][-1] + sizes[part][-1]])
+        anchor = begin + rel[part]
+        same[part] = arrays.span_hashes(sums, begin, begin + sizes[part]) ^ arrays.mixed(rel[part].astype(_U))
+        gram[part] = arrays.span_hashes(sums, anchor, anchor + GRAM)
+        left[part] = arrays.span_hashes(sums, np.maximum(anchor - SIDE, 0), anchor + GRAM)
+        right[part] = arrays.span_hashes(sums, anchor, np.minimum(anchor + GRAM + SIDE, len(sums) - 1))
     _, head, own = np.unique(same, return_index=True, return_inverse=True)
     different = _differ(data, at, at[head[own]], many, many[head[own]])
     if different.any():
@@ -286,20 +305,16 @@ def removals(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         own[extra] = len(head) + np.arange(len(extra))
         head = np.concatenate([head, extra])
     entry = np.repeat(own, uses)
-    many, rel, at = many[head], rel[head], at[head]
+    many, rel, at, gram, left, right, has_left, has_right = (
+        x[head] for x in (many, rel, at, gram, left, right, has_left, has_right))
+    del same, own
     low, high = np.full(len(head), NO_ID), np.full(len(head), -(1 << 63))
     np.minimum.at(low, entry, ids[document])
     np.maximum.at(high, entry, ids[document])
-    # Left and right of the anchor: is it in two documents?
-    anchor = at + rel
-    has_left, has_right = rel >= SIDE, many + LENGTH - 1 - rel - GRAM >= SIDE
-    left = arrays.span_hashes(sums, np.where(has_left, anchor - SIDE, 0), np.where(has_left, anchor + GRAM, 1))
-    right = arrays.span_hashes(sums, np.where(has_right, anchor, 0), np.where(has_right, anchor + GRAM + SIDE, 1))
     left_shared, right_shared = np.zeros(len(head), bool), np.zeros(len(head), bool)
     left_shared[has_left] = shared_by_documents(left[has_left], low[has_left], high[has_left])
     right_shared[has_right] = shared_by_documents(right[has_right], low[has_right], high[has_right])
-    gram = arrays.span_hashes(sums, anchor, anchor + GRAM)
-    del sums, left, right
+    del left, right
     # Strings 0 to many - 1 of a context have their anchor rel, rel - 1, ... bytes in.
     cut = np.clip(rel - SIDE + 1, 0, many)  # the first ``cut`` strings hold SIDE bytes on the left
     begin, end = np.where(left_shared, 0, cut), np.where(right_shared, many, cut)
@@ -352,7 +367,7 @@ def _hit_blobs(partitions: int) -> Callable:
                 fresh = np.concatenate([[True], (ids[own][1:] != ids[own][:-1]) | (marks[own][1:] != marks[own][:-1])])
                 lead = own[fresh]
                 uses = np.diff(np.append(np.flatnonzero(fresh), len(own)))
-                blob = packed(ids[lead], marks[lead], uses.astype(np.uint32), starts[own].astype(np.uint32),
+                blob = packed(steps(ids[lead]), marks[lead], uses.astype(np.uint32), starts[own].astype(np.uint32),
                               (ends - starts)[own].astype(np.uint16))
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())],
                                       names=["part", "kind", "blob"])
@@ -392,6 +407,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[int, int], list] = {}
     for blob in hits:
         ids, marks, uses, starts, sizes = unpacked(blob)
+        ids = np.cumsum(ids)
         starts = starts.astype(np.int64)
         ends, at = starts + sizes, np.concatenate([[0], np.cumsum(uses.astype(np.int64))])
         for i, key in enumerate(zip(ids.tolist(), marks.tolist())):
@@ -422,16 +438,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
 
-def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                   partition_bytes: int = PARTITION) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, spans, kept, kept_sha256``.
 
     ``spans`` are the maximal removed stretches in bytes, ``kept`` the bytes that remain (which need not be valid UTF-8).
     """
+    documents = shipped(documents)
     text = F.coalesce(F.col(text_column), F.lit(""))
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     spark = documents.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
-    own = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("mark"),
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // partition_bytes))
+    # Only where ids repeat do rows need a second mark, from their text, to tell them apart.
+    ids = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"))
+    repeated = not ids.groupBy("id").count().where("count > 1").isEmpty()
+    mark = F.xxhash64(text) if repeated else F.lit(0).cast("long")
+    own = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), mark.alias("mark"),
                            text.alias("text"), F.col(id_column).isNull().alias("none"))
     sent = own.select("id", "mark", "text").mapInArrow(_sent(partitions), "part int, blob binary")
     hits = sent.repartition(partitions, "part").mapInArrow(_hit_blobs(partitions), "part int, kind int, blob binary")
