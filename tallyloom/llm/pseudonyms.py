@@ -10,11 +10,17 @@ values stay different, and whoever has the key can undo it (``inverse=True``). O
 the letters and digits of the local part are permuted among letters and digits; the domain stays.
 
 All work is per row in Arrow batches; nothing is shuffled or gathered. Candidates are found by a scan
-for digits and ``@`` and only there matched in detail.
+for digits and ``@`` and only there matched in detail: from each start every kind and every length (longest first,
+of IBANs the country's own first) until one passes its check, else from the next start.
 
-Defined cases: NULL texts stay NULL and empty ones empty; overlapping candidates go to the one that
-begins first, then to the kind listed first in ``KINDS``; numbers that fail their check are left as they are; a
+Defined cases: NULL texts stay NULL and empty ones empty; overlapping values go to the one that
+begins first, then to the kind listed first in ``KINDS``, but no card or foreign phone ends inside another value, and a
+card that is made up of other values without a rest is those; numbers that fail their check are left as they are; a
 text keeps its number of characters. All other columns are passed through.
+
+Where values stand so close that their pseudonyms would be read as other values, all of that run are permuted again
+until they are not (so equal values differ there), at most ``WALKS`` times; a run of hundreds of numbers for which
+this does not suffice keeps the first pseudonyms, and undoing it may then read it in another way.
 """
 
 from __future__ import annotations
@@ -40,16 +46,26 @@ KINDS = ("email", "iban", "card", "phone", "ip", "ssn", "date")
 EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+\-]+\Z", re.ASCII)
 EMAIL_RIGHT = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", re.ASCII)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII)
-# Where a number of any kind may stand, to be matched in detail by DETAIL.
+IBAN_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){8,31}", re.ASCII)
+IBAN_LENGTHS = {country: int(length) for length, countries in (
+    ("15", "NO"), ("16", "BE BI"), ("18", "DK FI FK FO GL NL SD"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU MN XK"),
+    ("21", "CH HR LI LV"), ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ OM SO TL"),
+    ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"), ("26", "IS TR"), ("27", "BF DJ FR GR IT MC MR SM"),
+    ("28", "AL AZ BY CY DO GT HU LB NI PL SV"), ("29", "BR EG PS QA UA"), ("30", "JO KW MU YE"), ("31", "MT SC"), ("33", "RU"),
+) for country in countries.split()}
+# Where a number of any kind may stand, to be read in detail from each START.
 SPAN = re.compile(r"[+(0-9][0-9 ().:/\-]{5,}[0-9]", re.ASCII)
-DETAIL = re.compile(r"""
-    (?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]))
-  | (?P<phone>(?<![\d.+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)
-            | (?<![\d.])\+[1-9](?:[ .()-]{0,2}\d){7,13}(?!\d))
-  | (?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))
-  | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-  | (?P<date>(?<![\d./-])(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})(?![\d]))
-""", re.VERBOSE | re.ASCII)
+START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}|(?<!\d)\d|[+(]", re.ASCII)
+# One pattern per number of digits, most digits first.
+CARDS = [re.compile(rf"(?<![\d.])\d(?:[ -]?\d){{{n}}}(?!\d)", re.ASCII) for n in range(18, 11, -1)]
+PHONES = [re.compile(r"(?<![\d.+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", re.ASCII),
+          *(re.compile(rf"(?<![\d.])\+[1-9](?:[ .()-]{{0,2}}\d){{{n}}}(?!\d)", re.ASCII) for n in range(13, 6, -1))]
+OTHERS = [("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", re.ASCII)),
+          ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.ASCII)),
+          ("date", re.compile(r"(?<![\d./-])(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})(?![\d])", re.ASCII))]
+WORDY = frozenset(string.ascii_letters + string.digits)
+# How often a run of values is permuted until it is read again as the same values.
+WALKS = 100
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -195,39 +211,148 @@ def pseudonym(permute: Permutation, kind: str, found: str) -> str | None:
     return None
 
 
-def findings(text: str) -> Iterator[tuple[int, int, str]]:
-    """Candidates as ``(start, end, kind)``, not yet checked."""
-    at = text.find("@")
+def emails(text: str) -> dict[int, int]:
+    """Begin and end of each e-mail address."""
+    found, at = {}, text.find("@")
     while at >= 0:
         left = EMAIL_LEFT.search(text, max(0, at - 64), at)
         right = EMAIL_RIGHT.match(text, at + 1)
         if left and right:
-            yield left.start(), right.end(), "email"
+            found.setdefault(left.start(), right.end())
         at = text.find("@", at + 1)
-    for match in IBAN.finditer(text):
-        yield match.start(), match.end(), "iban"
-    for span in SPAN.finditer(text):
-        # ``pos`` and ``endpos`` with one more character keep what the lookarounds see.
-        for match in DETAIL.finditer(text, span.start(), min(span.end() + 1, len(text))):
-            if match.end() <= span.end():
-                yield match.start(), match.end(), match.lastgroup
+    return found
+
+
+def clusters(text: str) -> list[tuple[int, int]]:
+    """Places apart from each other, outside of which no value has a character."""
+    places = sorted([*emails(text).items(), *(m.span() for m in IBAN_RUN.finditer(text)), *(m.span() for m in SPAN.finditer(text))])
+    merged: list[tuple[int, int]] = []
+    for low, high in places:
+        if merged and low <= merged[-1][1]:
+            low, high = merged[-1][0], max(high, merged.pop()[1])
+        merged.append((low, high))
+    return merged
+
+
+class Reader:
+    """Values in one string, each checked where it is found."""
+
+    def __init__(self, text: str, new: Callable[[str, str], str | None]):
+        self.text, self.new, self.emails, self.memo = text, new, emails(text), {}
+
+    def _valid(self, kind: str, start: int, end: int) -> bool:
+        return self.new(kind, self.text[start:end]) is not None
+
+    def _iban(self, start: int) -> int | None:
+        run = IBAN_RUN.match(self.text, start)
+        if not run:
+            return None
+        length = IBAN_LENGTHS.get(self.text[start:start + 2])
+        ends = [e for e in range(run.end(), start + 11, -1) if self.text[e:e + 1] not in WORDY and self.text[e - 1] != " "]
+        # The country's own length first, then any other.
+        ends.sort(key=lambda e: len(self.text[start:e].replace(" ", "")) != length)
+        for end in ends:
+            whole = IBAN.match(self.text, start, end)
+            if whole and whole.end() == end and self._valid("iban", start, end):
+                return end
+        return None
+
+    def _simple(self, start: int) -> tuple[int, str] | None:
+        """The value other than a card that begins here."""
+        if start not in self.memo:
+            self.memo[start] = self._find_simple(start)
+        return self.memo[start]
+
+    def _find_simple(self, start: int) -> tuple[int, str] | None:
+        if start in self.emails:
+            return self.emails[start], "email"
+        end = self._iban(start)
+        if end:
+            return end, "iban"
+        # Of the ends of a phone number of another country, none lies inside of another value.
+        for i, pattern in enumerate(PHONES):
+            match = pattern.match(self.text, start)
+            if match and (i == 0 or not self._cuts(start, match.end())):
+                return match.end(), "phone"
+        for kind, pattern in OTHERS:
+            match = pattern.match(self.text, start)
+            if match and self._valid(kind, start, match.end()):
+                return match.end(), kind
+        return None
+
+    def _starts(self, low: int, high: int) -> list[int]:
+        return sorted({m.start() for m in START.finditer(self.text, low, high)} | {e for e in self.emails if low <= e < high})
+
+    def _cuts(self, start: int, end: int) -> bool:
+        """Whether a value begins in between and goes on behind ``end``."""
+        inner = (self._simple(at) for at in self._starts(start + 1, end))
+        return any(value and value[0] > end for value in inner)
+
+    def _tiled(self, start: int, end: int) -> bool:
+        """Whether other values fill the place without a rest."""
+        while start < end:
+            value = self._simple(start)
+            if not value:
+                return False
+            start = value[0] + (value[0] < end and self.text[value[0]] in " -")
+            if value[0] == end:
+                return True
+        return False
+
+    def at(self, start: int) -> tuple[int, str] | None:
+        """End and kind of the value that begins here."""
+        if start in self.emails:
+            return self.emails[start], "email"
+        for pattern in CARDS:
+            match = pattern.match(self.text, start)
+            if (match and self._valid("card", start, match.end()) and not self._tiled(start, match.end())
+                    and not self._cuts(start, match.end())):
+                return match.end(), "card"
+        return self._simple(start)
+
+    def values(self, low: int, high: int) -> list[tuple[int, int, str]]:
+        found, done = [], low
+        for start in self._starts(low, high):
+            value = self.at(start) if start >= done else None
+            if value:
+                found.append((start, *value))
+                done = value[0]
+        return found
 
 
 def replaced(text: str, permute: Permutation, known: dict[tuple[str, str], str | None]) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
-    out, done, counts = [], 0, {}
-    for start, end, kind in sorted(findings(text), key=lambda f: (f[0], KINDS.index(f[2]))):
-        if start < done:
-            continue
-        found = text[start:end]
+    def new(kind: str, found: str) -> str | None:
         key = (kind, found)
         if key not in known:
             if len(known) > REMEMBERED:
                 known.clear()
             known[key] = pseudonym(permute, kind, found)
-        if known[key] is not None:
-            out += [text[done:start], known[key]]
-            done = end
+        return known[key]
+
+    out, done, counts = [], 0, {}
+    for low, high in clusters(text):
+        # With the neighbours that the patterns look at.
+        base = max(0, low - 1)
+        own = text[base:high + 2]
+        found = Reader(own, new).values(low - base, high - base)
+        if not found:
+            continue
+        first = changed = None
+        for _ in range(WALKS):
+            at, parts = 0, []
+            for start, end, kind in found:
+                parts += [own[at:start], new(kind, (changed or own)[start:end])]
+                at = end
+            changed = "".join([*parts, own[at:]])
+            first = first or changed
+            if Reader(changed, new).values(low - base, high - base) == found:
+                break
+        else:
+            changed = first
+        out += [text[done:low], changed[low - base:high - base]]
+        done = high
+        for _, _, kind in found:
             counts[kind] = counts.get(kind, 0) + 1
     return "".join([*out, text[done:]]), counts
 

@@ -133,6 +133,31 @@ def test_formats_stay_valid_and_come_back():
     assert pseudonyms.replaced(text, pseudonyms.Permutation(b"other"), {})[0] != new
 
 
+def test_values_beside_each_other_are_all_found():
+    """Neighbours that a longest reading takes along: every value counts, and nothing of them stays."""
+    for text, kinds in (
+            ("4111 1111 1111 1111 123", {"card": 1}), ("4111 1111 1111 1111 12/27", {"card": 1}),
+            ("2024-01-15 415-555-2671", {"date": 1, "phone": 1}), ("123-45-6789 415-555-2671", {"ssn": 1, "phone": 1}),
+            ("415-555-2671 415-555-2672", {"phone": 2}), ("1984-02-29 123-45-6789", {"date": 1, "ssn": 1}),
+            ("ES91 2100 0418 4502 0005 1332 EUR", {"iban": 1}), ("ES91 2100 0418 4502 0005 1332 100", {"iban": 1}),
+            ("+49 30 1234567 123-45-6789", {"phone": 1, "ssn": 1}), ("7 4111 1111 1111 1111", {"card": 1})):
+        new, counts = pseudonyms.replaced(text, pseudonyms.Permutation(b"k"), {})
+        assert counts == kinds, text
+        stays = {"123", "12/27", "EUR", "100", "7", "+49"} & set(text.split())
+        assert not ({w for w in text.split() if len(w) > 4} - stays) & set(new.split()) and stays <= set(new.split()) | {"123"}, text
+        assert pseudonyms.replaced(new, pseudonyms.Permutation(b"k", inverse=True), {})[0] == text
+
+
+@given(st.lists(st.sampled_from(["2024-01-15", "415-555-2671", "123-45-6789", "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "123",
+                                 "+44 20 7946 0958", "10.1.22.133", "a.b1@c.org", "1990 1991", "100"]), min_size=1, max_size=5),
+       st.binary(min_size=1, max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_close_values_come_back(values, key):
+    text = " ".join(values)
+    new, _ = pseudonyms.replaced(text, pseudonyms.Permutation(key), {})
+    assert pseudonyms.replaced(new, pseudonyms.Permutation(key, inverse=True), {})[0] == text
+
+
 def test_invalid_numbers_stay():
     text = "4111 1111 1111 1112 and 666-12-1234, 300.1.2.3, 2023-02-30, DE00370400440532013000, v1.2.3, 1234567890"
     assert pseudonyms.replaced(text, pseudonyms.Permutation(b"k"), {}) == (text, {})
