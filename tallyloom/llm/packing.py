@@ -2,12 +2,15 @@
 
 Every document becomes its tokens and one closing id; only longer ones are cut, into full pieces and a
 rest. The histogram of piece lengths (at most ``capacity`` numbers, whatever the data) is all that the
-driver needs. There a configuration linear program is solved: how often to use each way of filling a
+driver needs. There a configuration linear program is treated: how often to use each way of filling a
 sequence, so that all lengths are covered by the fewest sequences. Multiplicative weights hold a price
 per length, which starts at the share of a sequence that the length takes and falls with how much of its
 demand is covered; each round prices configurations with a knapsack dynamic program over the
-capacity and takes whole multiples of near-optimal ones. What is left after this rounding goes, longest
-first, into the sequence with the least room that still fits it.
+capacity and takes a small fractional step over near-optimal ones. The sum of the steps is rounded down, and what is
+left goes, longest first, into the sequence with the least room that still fits it. With few lengths the steps
+cover all demand; with hundreds of lengths the rounds end before that and most pieces are left to best fit, so
+whole multiples of nearly full configurations and best fit alone are tried too, and the plan with the fewest
+sequences is taken.
 
 The plan says for runs of pieces of one length, numbered over all data, which sequences and offsets
 they get. Numbering needs no group in one task: a piece's number is its place within its partition plus
@@ -43,8 +46,10 @@ from tallyloom.session import cut_lineage
 
 # Words that a Python process remembers, some 200 bytes each.
 REMEMBERED = 300_000
-# Pricing rounds, configurations taken per round, how fast prices fall with coverage, and their jitter.
-ROUNDS, PER_ROUND, RATE, JITTER = 60, 500, 1.0, 0.002
+# Least and most pricing rounds, lengths times rounds, and the sum of the rounds' largest gains of coverage.
+ROUNDS, WORK, STEPS = (60, 400), 60_000, 6.0
+# Configurations per round and how near to the best, how fast prices fall with coverage, and their jitter.
+PER_ROUND, NEAR, RATE, JITTER = 500, 0.02, 4.0, 0.002
 
 
 class Words:
@@ -193,24 +198,92 @@ def price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return best, take
 
 
+def fractional(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """A fractional solution of the configuration program, and a lower bound of its optimum.
+
+    ``counts[n]`` pieces have length n. Keys are configurations: sorted pairs of a length and how many pieces of it.
+    """
+    sizes, demand = np.arange(len(counts)), np.maximum(counts, 1)
+    covered, jitter = np.zeros(len(counts)), np.random.RandomState(1)
+    used: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = float((sizes * counts).sum() / capacity)
+    # A round's work grows with the number of lengths; few lengths get more and smaller steps.
+    rounds = int(np.clip(WORK // max(np.count_nonzero(counts), 1), *ROUNDS))
+    step = STEPS / rounds
+    for _ in range(rounds):
+        open_ = np.flatnonzero((counts > 0) & (covered < 1))
+        if not len(open_):
+            break
+        # Without the jitter, lengths with equal coverage tie and every configuration ends in the same few.
+        values = np.zeros(len(counts))
+        values[open_] = open_ / capacity * np.exp(-RATE * covered[open_]) * (1 + JITTER * jitter.random_sample(len(open_)))
+        best, take = price(values, capacity)
+        # Prices under which no configuration is worth more than 1 bound the number of sequences from below.
+        bound = max(bound, float((values * counts).sum() / best[capacity]))
+        # The best configuration with a given length in it; those nearly as good as the best of all are used.
+        worth = values[open_] + best[capacity - open_]
+        order = np.lexsort((-open_, -worth))
+        good = order[worth[order] >= (1 - NEAR) * worth.max()][:PER_ROUND]
+        chosen: dict[tuple[tuple[int, int], ...], float] = {}
+        gain = np.zeros(len(counts))
+        for length in open_[good]:
+            config, room = {int(length): 1}, capacity - int(length)
+            while room > 0:
+                if take[room]:
+                    config[int(take[room])] = config.get(int(take[room]), 0) + 1
+                    room -= int(take[room])
+                else:
+                    room -= 1
+            key = tuple(sorted(config.items()))
+            if key not in chosen:
+                chosen[key] = min(demand[n] / k for n, k in key)
+                for n, k in key:
+                    gain[n] += k * chosen[key] / demand[n]
+        part = step / gain.max()
+        for key, times in chosen.items():
+            used[key] = used.get(key, 0.0) + part * times
+        covered += part * gain
+    return used, bound
+
+
 def configurations(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
     """Configurations (pieces of each length) with how often each is used, and the counts left over.
 
-    ``counts[n]`` pieces have length n.
+    ``counts[n]`` pieces have length n. The fractional solution is rounded down; what a configuration loses is carried
+    on to the next.
     """
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[dict[int, int], int]] = []
+    if not counts.any():
+        return chosen, left
+    used, _ = fractional(counts, capacity)
+    carried = 0.0
+    for key, times in sorted(used.items(), key=lambda u: (-u[1], u[0])):
+        carried += times
+        whole = int(min(carried + 1e-6, *(left[n] // k for n, k in key)))
+        carried = min(carried - whole, 1.0)
+        if whole > 0:
+            for n, k in key:
+                left[n] -= k * whole
+            chosen.append((dict(key), whole))
+    return chosen, left
+
+
+def greedy(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The same by exhausting nearly full configurations one after the other, for histograms of many lengths."""
+    left = counts.astype(np.int64).copy()
+    chosen: list[tuple[dict[int, int], int]] = []
     sizes = np.arange(len(counts))
     demand = np.maximum(counts, 1)
     jitter = np.random.RandomState(1)
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS[0]):
         # A length of which less than one sequence is left is part of what rounding leaves over.
         enough = sizes * left >= capacity
         if not enough.any():
             break
         covered = 1 - left / demand
         # Without the jitter, lengths with equal coverage tie and every configuration ends in the same few.
-        values = np.where(enough, sizes / capacity * np.exp(-RATE * covered) * (1 + JITTER * jitter.random_sample(len(sizes))), 0.0)
+        values = np.where(enough, sizes / capacity * np.exp(-covered) * (1 + JITTER * jitter.random_sample(len(sizes))), 0.0)
         best, take = price(values, capacity)
         # The best configuration with a given length in it; those nearly as good as the best of all are used.
         open_ = np.flatnonzero(enough)
@@ -239,12 +312,17 @@ def configurations(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[i
 
 
 def pack(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Runs of pieces and the number of sequences.
+    """Runs of pieces and the number of sequences: of the rounded program, ``greedy`` and best fit alone what needs fewest.
 
     A run (one row: length, first number, pieces, first sequence, pieces per sequence, offset) says where the
     pieces of one length with these numbers go.
     """
-    chosen, left = configurations(counts, capacity)
+    plans = [configurations(counts, capacity), greedy(counts, capacity), ([], counts.astype(np.int64).copy())]
+    return min((_filled(counts, capacity, *plan) for plan in plans), key=lambda plan: plan[1])
+
+
+def _filled(counts: np.ndarray, capacity: int, chosen: list[tuple[dict[int, int], int]], left: np.ndarray) -> tuple[np.ndarray, int]:
+    """Best fit of what is left into the room of the chosen configurations and into new sequences."""
     # Sequences of equal content: [room, how many, content]; those with room are found by their room.
     groups: dict[int, list[list]] = {}
     rooms: list[int] = []

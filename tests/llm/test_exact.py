@@ -204,6 +204,21 @@ def test_plans_hold_every_piece_once(histogram):
         assert sequences <= 1.25 * best + 2 or sequences <= counts[33:].sum() + best
 
 
+def test_few_lengths_reach_the_program_bound():
+    """No configuration is filled to 99.5 %, and best fit alone needs 1100 sequences."""
+    counts = np.zeros(4097, np.int64)
+    counts[[2070, 1095, 1055, 935]] = 600, 600, 600, 1200
+    used, bound = packing.fractional(counts, 4096)
+    covered = np.zeros(4097)
+    for config, times in used.items():
+        assert sum(n * k for n, k in config) <= 4096
+        for n, k in config:
+            covered[n] += k * times
+    assert (covered >= counts - 1e-6).all() and 899 <= bound <= sum(used.values()) <= 1.01 * bound
+    runs, sequences = packing.pack(counts, 4096)
+    assert bound - 1e-6 <= sequences <= 905 and runs[:, 2].sum() == counts.sum()
+
+
 def test_packed_documents(spark, documents):
     path = tokenizer_file("word_bpe_49k.json")
     rows = odd_rows() + [(1, "again"), (None, "no id"), (99, "word " * 9000)]
