@@ -8,7 +8,7 @@ compiled by Spark; only hits are shuffled, with at most one row per word of a do
 
 The benchmark is broadcast. Its size is the caller's test set, which does not grow with the corpus;
 ``MAX_WINDOWS`` states the bound, and beyond it the windows are joined by a shuffle instead, with equal
-results.
+results; there each place of a document sends its hash and its window of at most ``size`` words.
 
 Defined cases: NULL and empty texts have no words and no hits; an empty benchmark hits nothing; equal
 windows of several items count for each of them; rows that repeat a ``doc_id`` are judged on their own
@@ -49,11 +49,10 @@ def _hash(words: Column, at: Column, length: Column, size: int) -> Column:
 def hits_of(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     """``docs`` has ``doc_id, mark, words``; gives ``doc_id, mark, hits``: sorted places, lengths, items."""
     windows = windows_of(benchmark, size)
-    # At most ``size`` numbers: which lengths there are decides which hashes a document needs.
-    lengths = sorted(row[0] for row in windows.select("length").distinct().collect())
-    if not lengths:
-        lengths = [size]
-    bounded = windows.limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS
+    # At most ``size`` rows: which lengths there are decides which hashes a document needs.
+    counted = {row[0]: row[1] for row in windows.groupBy("length").count().collect()}
+    lengths = sorted(counted) or [size]
+    bounded = sum(counted.values()) <= MAX_WINDOWS
     placed = docs.where(F.size("words") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
     if len(lengths) == 1:
         placed = placed.withColumn("length", F.lit(lengths[0]))
@@ -63,9 +62,15 @@ def hits_of(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
         key = _hash(F.col("words"), F.col("at"), F.col("length"), size)
     placed = placed.where(F.col("at") + F.col("length") <= F.size("words"))
     windows = windows.withColumnRenamed("length", "window_length")
-    same = ((key == F.col("hash")) & (F.col("length") == F.col("window_length"))
-            & (F.slice("words", F.col("at") + 1, F.col("length")) == F.col("window")))
-    found = placed.join(F.broadcast(windows) if bounded else windows, same)
+    here = F.slice("words", F.col("at") + 1, F.col("length"))
+    if bounded:
+        found = placed.join(F.broadcast(windows), (key == F.col("hash")) & (F.col("length") == F.col("window_length"))
+                            & (here == F.col("window")))
+    else:
+        # Only a place's own words are shuffled, not its document's.
+        places = placed.select("doc_id", "mark", "at", "length", key.alias("key"), here.alias("here"))
+        found = places.join(windows, (F.col("key") == F.col("hash")) & (F.col("length") == F.col("window_length"))
+                            & (F.col("here") == F.col("window")))
     return (found.select("doc_id", "mark", F.struct("at", "length", "items").alias("hit"))
             .groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("hit")).alias("hits")))
 

@@ -142,6 +142,21 @@ def test_contamination(spark, documents):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.where("false")).collect())
 
 
+def test_contamination_beyond_the_broadcast(spark, documents, monkeypatch):
+    item = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(7, item), (70, "Short ITEM"), (71, "short item")], "item_id long, text string")
+    docs = documents([(1, f"zero {item} twelve"), (2, "a short item here"), (3, None), (2, "a short item here"), (None, "short item"), (5, "")])
+    small = sorted(map(repr, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 1)
+    assert sorted(map(repr, decontaminate.contamination(docs, bench).collect())) == small
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 5]
+    node = decontaminate.hits_of(decontaminate._marked(docs, "doc_id", "text"), bench, 10)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    sent = node.children().apply(0).output()
+    assert "words" not in {sent.apply(i).name() for i in range(sent.size())}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_their_sql(spark, name):
     from compare import connect, of_spark, of_sql
