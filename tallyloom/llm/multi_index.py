@@ -9,7 +9,8 @@ inner products of the original vectors in double precision.
 
 Centroids come from k-means on a bounded sample (``sample`` vectors, those with the smallest hash of their id); every
 vector is indexed. Cells are grouped into blocks of about ``block`` vectors, a larger cell is split over
-several blocks, and a query goes to each block that holds a cell it visits. So vectors move once, and a block
+several blocks, and a query goes to each block that holds a cell it visits. Queries are dealt into slices of about
+``queries_at_once``, and a task has one block and one slice. So vectors move once per slice, and a block
 sends back at most ``k`` rows per query. On the driver there are the sample, the centroids and one count per cell.
 
 ``share`` decides between work and recall. Vectors without much structure need a large share: on the test
@@ -128,11 +129,11 @@ def _reranked(k: int, width: int) -> Callable:
             ids, cells = rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
             v = _matrix(rows["vector"].combine_chunks(), width)
             places, here = np.unique(cells, return_inverse=True)
-            lists = queries["cells"].to_pylist()
             for lo in range(0, len(asking), 256):
                 about = q[lo:lo + 256] @ v.T
+                lists = queries["cells"].slice(lo, 256).to_pylist()
                 for i, near in enumerate(about, lo):
-                    open_ = np.isin(places, lists[i])[here] & (ids != asking[i])
+                    open_ = np.isin(places, lists[i - lo])[here] & (ids != asking[i])
                     candidates = np.flatnonzero(open_)
                     if len(candidates) > k:
                         # The matrix product picks, with a margin for its rounding.
@@ -157,7 +158,7 @@ def usable(vector: Column) -> Column:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 32, share: float = 0.65,
-           sample: int = 20_000, block: int = 8192, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+           sample: int = 20_000, block: int = 8192, queries_at_once: int = 32_768, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row of which ``is_query`` (on ``vec_id``) holds."""
     spark = vectors.sparkSession
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -194,9 +195,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = 3
     starts, widths = (F.lit([int(x) for x in values]) for values in (first, blocks))
     salt = F.pmod(F.xxhash64("vec_id"), widths[F.col("cell")].cast("long"))
     rows = indexed.withColumn("block", (starts[F.col("cell")] + salt).cast("int"))
-    queries = indexed.where(is_query).select("vec_id", "vector").mapInArrow(
+    asking = indexed.where(is_query).select("vec_id", "vector")
+    # A block meets the queries slice by slice; its vectors are sent once per slice.
+    slices = max(1, -(-asking.count() // queries_at_once))
+    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))) if slices > 1 else F.lit(0))
+    queries = asking.mapInArrow(
         _visits(centres, held, first, blocks, wanted), "query_id long, vector array<double>, block int, cells array<int>")
-    near = queries.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(
+    # With a seed, as blocks are dealt by the plain hash of the same ids.
+    queries = queries.withColumn("slice", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(slices)).cast("int"))
+    near = queries.groupBy("block", "slice").cogroup(rows.groupBy("block", "slice")).applyInArrow(
         _reranked(k, width), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -103,6 +103,26 @@ def test_the_walk_visits_cells_by_distance():
     assert sorted(cells) == list(range(63)) and sums == sorted(sums)
 
 
+def test_query_slices_bound_a_task(spark, monkeypatch):
+    random = np.random.RandomState(5)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(random.standard_normal((400, 8)))], "vec_id long, embedding array<double>")
+    whole = sorted_rows(multi_index.search(vectors, F.col("vec_id") < 300, k=5, centroids=4, block=64))
+    real = multi_index._reranked
+
+    def bounded(k, width):
+        run = real(k, width)
+
+        def checked(queries, rows):
+            if queries.num_rows > 80:
+                raise ValueError(f"{queries.num_rows} queries in one task")
+            return run(queries, rows)
+        return checked
+
+    monkeypatch.setattr(multi_index, "_reranked", bounded)
+    assert sorted_rows(multi_index.search(vectors, F.col("vec_id") < 300, k=5, centroids=4, block=64, queries_at_once=40)) == whole
+    assert len(whole) == 1500
+
+
 # --- pseudonyms --------------------------------------------------------------------------------
 
 def test_permutations_are_bijections():
