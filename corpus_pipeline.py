@@ -24,8 +24,8 @@ TOXIC = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled documents of ``docs``, does not reject."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") < TOXIC).select(docs.columns)
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), score_column="_toxicity")
+    return scored.where(F.col("_toxicity") < TOXIC).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,9 +116,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 20_000, feature
     own = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
            .where(~held_out(F.col("doc_id"))))
     drawn = [own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for label in (0, 1)]
-    drawn = cut_lineage(drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("_drawn"), "toxic"))
+    drawn = cut_lineage(drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("_drawn"), F.col("toxic").alias("_toxic")))
     texts = cut_lineage(documents.join(F.broadcast(drawn), F.col("doc_id") == F.col("_drawn")).select(
-        F.col(text_column).alias("text"), F.col("toxic").cast("long").alias("toxic")))
+        F.col(text_column).alias("text"), F.col("_toxic").cast("long").alias("toxic")))
     sizes = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     weights = np.zeros(1 << BITS, np.float32)
     if not all(sizes):
@@ -167,11 +167,11 @@ def _scores(weights: np.ndarray, intercept: float) -> Callable:
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, text_column: str = "text", keep: list[str] | None = None,
-                   **training) -> DataFrame:
-    """The columns ``keep`` (all by default) of every document with ``score``; see ``train`` for the rest."""
+                   score_column: str = "score", **training) -> DataFrame:
+    """The columns ``keep`` (all by default) of every document with ``score_column``; see ``train`` for the rest."""
     weights, intercept = train(shipped(documents), labels, text_column=text_column, **training)
     keep = documents.columns if keep is None else keep
     own = documents.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.coalesce(text_column, F.lit("")).alias("_text"))
     schema = ", ".join([f"_{i} {own.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["_score double"])
     scored = own.mapInArrow(_scores(weights, intercept), schema)
-    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), F.col("_score").alias("score"))
+    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), F.col("_score").alias(score_column))

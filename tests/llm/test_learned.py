@@ -196,6 +196,19 @@ def test_equal_values_stay_linked(spark, documents):
 
 # --- pipeline ----------------------------------------------------------------------------------
 
+def test_stages_with_columns_of_clashing_names(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(200)
+    docs = docs.withColumns({"score": F.lit("mine"), "toxic": F.lit("own")})
+    docs = spark.createDataFrame(docs.toPandas(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        kept = out.collect()
+        assert kept
+        if name != "packing":
+            assert out.columns == docs.columns and {(r.score, r.toxic) for r in kept} == {("mine", "own")}
+
+
 def test_pipeline_stages(spark):
     import brute
     import corpus_pipeline
