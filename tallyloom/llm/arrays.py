@@ -30,8 +30,8 @@ SOLID = np.ones(256, bool)
 SOLID[[32, *range(9, 14)]] = False
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, bytes, offsets)`` of consecutive rows of about ``CHUNK`` bytes; NULL is empty."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, bytes, offsets)`` of consecutive rows of about ``size`` bytes; NULL is empty."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
@@ -45,7 +45,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data_buffer, np.uint8) if data_buffer is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         stop = min(stop, len(texts))
         yield row, data[offsets[row]:offsets[stop]], offsets[row:stop + 1] - offsets[row]
         row = stop
@@ -90,6 +90,41 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * inverse_powers(len(sums))[starts])
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At every place the eight bytes from there on, as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+_MASKS = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], U64)
+_LENGTH, _PLACE = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans, by their bytes alone.
+
+    Eight bytes at a time are mixed with their place, then summed: strings of at most eight bytes and equal length
+    never collide, and since each summand is mixed first, longer ones do not cancel out as under a polynomial
+    modulo a power of two, where a Thue-Morse word and its complement are equal.
+    """
+    lengths = (ends - starts).astype(np.int64)
+    if not len(lengths):
+        return np.zeros(0, U64)
+    eights = _eights(data)
+    out = mixed(eights[starts] & _MASKS[np.minimum(lengths, 8)])
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) // 8
+        last = np.cumsum(more)
+        place = np.arange(1, last[-1] + 1) - np.repeat(last - more, more)
+        at = np.repeat(starts[long], more) + 8 * place
+        blocks = eights[at] & _MASKS[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        summands = mixed(mixed(blocks) ^ (place.astype(U64) * _PLACE))
+        out[long] += np.add.reduceat(summands, last - more)
+    return mixed(out + lengths.astype(U64) * _LENGTH)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of every document, and the number of words before each document."""
     inside = np.zeros(len(data) + 2, bool)

@@ -65,7 +65,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, lis
     for row, data, offsets in arrays.chunks(texts):
         data = arrays.LOWER[data]
         starts, ends, first = arrays.word_spans(data, offsets, arrays.SOLID)
-        hashes = arrays.span_hashes(arrays.prefix_hashes(data), starts, ends)
+        hashes = arrays.word_hashes(data, starts, ends)
         n = len(hashes)
         rolled = np.zeros(max(n - words + 1, 0), _U)
         for k in range(words):

@@ -72,17 +72,26 @@ def transitions(keeps_spaces: bool) -> tuple[np.ndarray, np.ndarray]:
     return following, begins
 
 
+# Behind an apostrophe: 1 for a letter that ends a contraction, else the letter that has to follow.
+_CONTRACTIONS = np.zeros(128, np.uint32)
+_CONTRACTIONS[[*b"stmd"]] = 1
+_CONTRACTIONS[[*b"rv"]], _CONTRACTIONS[[*b"l"]] = 101, 108
+
+
 def symbols_of(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Symbols of all texts; ``starts`` are the first places of non-empty texts."""
     symbols = kinds()[points]
     after = np.empty_like(points)
     after[:-1], after[-1:] = points[1:], 32
     after[starts[1:] - 1] = 32  # behind the end of a text counts as white space
-    low = np.minimum(points, 127)
-    symbols[points == 39] = APOSTROPHE
-    for letter, then in ((b"stmd", None), (b"rv", 101), (b"l", 108)):
-        hit = np.isin(low, list(letter)) if then is None else np.isin(low, list(letter)) & (after == then)
-        symbols[hit] = C1 if then is None else C2
+    # Only letters right behind an apostrophe can make a contraction; elsewhere they are letters like others.
+    quotes = np.flatnonzero(points == 39)
+    symbols[quotes] = APOSTROPHE
+    behind = quotes[quotes < len(points) - 1] + 1
+    letter, then = points[behind], after[behind]
+    ends = _CONTRACTIONS[np.minimum(letter, 127)]
+    symbols[behind[ends == 1]] = C1
+    symbols[behind[(ends > 1) & (ends == then)]] = C2
     white = symbols == WHITE_WHITE
     before_solid = white & (kinds()[after] != WHITE_WHITE)
     symbols[before_solid] = np.where(points[before_solid] == 32, SPACE_SOLID, WHITE_SOLID)
@@ -139,4 +148,4 @@ def pieces(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.n
     begun = beginnings(symbols_of(points, starts), tables)
     begun = begun if leads is None else leads[begun]
     ends = np.append(begun[1:], len(data))
-    return begun, ends, arrays.span_hashes(arrays.prefix_hashes(data), begun, ends)
+    return begun, ends, arrays.word_hashes(data, begun, ends)
