@@ -79,4 +79,30 @@ select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from w left join covered using (doc_id) left join named using (doc_id)"""
 
-ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op3_decontaminate": OP3}
+_LETTERS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LETTERS} as terms
+  from documents),
+counts as (select lang, source, term, count(*) as n, count(distinct r) as docs
+  from (select r, lang, source, unnest(terms) as term from d) group by all),
+kept as (select lang, term, sum(n) as n from counts group by all having sum(docs) >= 30),
+sizes as (select lang, count(*) as v, sum(n) as total from kept group by 1),
+g as (select distinct lang, source from d),
+filled as (select g.lang, g.source, kept.term, coalesce(counts.n, 0) as n, kept.n as n_lang
+  from g join kept using (lang) left join counts on counts.lang = g.lang and counts.source = g.source and counts.term = kept.term),
+totals as (select lang, source, sum(n) as total from filled group by all),
+shares as (select f.lang, f.source, f.term, f.n, (1 + (1000000000::hugeint * (f.n + 5)) // (t.total + 5 * s.v))::bigint as p,
+  (1 + (1000000000::hugeint * (f.n_lang + 5)) // (s.total + 5 * s.v))::bigint as q
+  from filled f join totals t using (lang, source) join sizes s using (lang)),
+apart as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, p - q as value from shares where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+  from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 50"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op3_decontaminate": OP3, "op13_source_divergence": OP13}

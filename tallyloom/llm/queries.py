@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, licenses, multi_index, near_dups, packing, pseudonyms, suffix_dedup, token_counts, toxicity, url_filter
+from tallyloom.llm import decontaminate, divergence, licenses, multi_index, near_dups, packing, pseudonyms, suffix_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 
@@ -76,6 +76,10 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_toxicity": op9_toxicity,
     "op10_near_dups": op10_near_dups,
+    "op13_source_divergence": op13_source_divergence,
 }
