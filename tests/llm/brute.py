@@ -66,3 +66,43 @@ def repeats_removed(docs, length=50):
         spans = len([1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1])])
         out[doc_id] = (len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def shared_heads(rows, group=100, most=6):
+    """{conv_id: [(role, text), ...]} of the rebuilt conversations; ``rows`` are (conv_id, turn, role, text)."""
+    import zlib
+
+    own = {}
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            own.setdefault(conv_id, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        donor = c - (c % group if c >= 0 else -(-c % group))
+        out[c] = own.get(donor, [])[:h] + turns[h:]
+    return out
+
+
+def prefix_trie(conversations):
+    """Rows (conv_id, depth, parent, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of {conv_id: turns}."""
+    import hashlib
+
+    members, out = {}, []
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children.get(node, [])
+        leaves[node] = sum(leaves[x] for x in below) or 1
+        saved[node] = sum(saved[x] for x in below) + (len(members[node]) - 1) * (len(node[-1][1]) if node else 0)
+        ends = sorted(c for c in members[node] if len(conversations[c]) == len(node))
+        out.append((min(members[node]), len(node), min(members[node[:-1]]) if node else None, len(members[node]), len(below),
+                    leaves[node], saved[node], hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return sorted(out, key=repr)
