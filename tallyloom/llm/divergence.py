@@ -2,15 +2,17 @@
 
 Chunk factorization keeps the number of rows far below the number of words:
 
-1. Documents are brought together by language and source (by range, so that a source with a third of all rows
-   becomes many tasks). Tasks count white-space chunks per document, A-Z lower-cased, and write one row per
-   slice of documents, group and distinct chunk: documents, occurrences, and the documents
-   themselves as long as there are fewer than ``at_least``.
-2. The rows are summed per group and chunk. Each globally distinct chunk is tokenized once, and its terms are joined
-   back. Occurrences of a term are sums over chunks. Its documents lie between the largest and the sum of
-   its chunks' documents in a language; where that does not settle whether they reach ``at_least``, every chunk
-   has fewer, so the documents are at hand: they are joined and counted without repetition.
-3. Terms kept give smoothed shares in billionths, by integer arithmetic. All pairs of sources are compared in tasks
+1. Tasks count white-space chunks per document, A-Z lower-cased, a slice of documents at a time, and write one row per
+   language and distinct chunk of the slice: the number of documents, the documents themselves as long as they are fewer
+   than ``at_least``, and the occurrences in each source.
+2. Rows are brought together by chunk, each globally distinct chunk is tokenized once, and its terms get the
+   chunk's documents per language. A term's documents lie between the largest number of one of its chunks and their
+   sum. Where that does not settle whether there are ``at_least``, every chunk has fewer, so the
+   documents are at hand: they are joined and counted without repetition.
+3. The chunks that hold a kept term (a vocabulary, far smaller than the rows) are joined back to the rows
+   of step 1, which gives occurrences per language, source and term. They are broadcast if a count shows that they are
+   at most ``FEW``, else joined by a shuffle that adaptive execution can split.
+4. Counts become smoothed shares in billionths, by integer arithmetic. All pairs of sources are compared in tasks
    that hold a slice of a language's terms and two blocks of its sources; partial sums are added up.
 
 Tables in between are Parquet in the shared folder, removed once the result is there.
@@ -44,6 +46,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SLICE = 16 << 20
 # Terms and sources that a comparing task holds, and copies of small tables, so that no language is one task.
 TERMS, SOURCES, SALTS = 2048, 256, 16
+# Rows of a vocabulary that are broadcast, some 50 bytes each.
+FEW = 1_000_000
 UNIT, ADDED = 1_000_000_000, 5
 
 
@@ -56,10 +60,11 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
 
 
 def _counted(table: pa.Table, number: int, at_least: int) -> pa.RecordBatch:
-    """Chunks of one slice, per language and source."""
+    """Chunks of one slice, per language."""
     table = table.sort_by([("lang", "ascending"), ("source", "ascending")]).combine_chunks()
     langs, sources, texts = (pa.concat_arrays(table.column(c).chunks) for c in ("lang", "source", "text"))
     codes = langs.dictionary_encode().indices.to_numpy(), sources.dictionary_encode().indices.to_numpy()
+    lang = np.cumsum(np.diff(codes[0], prepend=0) != 0)
     group = np.cumsum((np.diff(codes[0], prepend=0) != 0) | (np.diff(codes[1], prepend=0) != 0))
     (_, data, offsets), = arrays.chunks(texts, 1 << 62)
     data = arrays.LOWER[data]
@@ -68,20 +73,23 @@ def _counted(table: pa.Table, number: int, at_least: int) -> pa.RecordBatch:
     strings = _strings(data, starts[where], ends[where])
     many = len(texts)
     doc = np.repeat(np.arange(many), np.diff(first))
-    # Documents stand in order of their groups, so pairs in order of chunk and document do as well.
+    # Documents stand in order of language and source, so pairs in order of chunk and document do as well.
     pairs, times = np.unique(chunk * many + doc, return_counts=True)
     chunk, doc = pairs // many, pairs % many
-    run = np.flatnonzero((np.diff(chunk, prepend=-1) != 0) | (np.diff(group[doc], prepend=-1) != 0))
+    run = np.flatnonzero((np.diff(chunk, prepend=-1) != 0) | (np.diff(lang[doc], prepend=-1) != 0))
+    part = np.flatnonzero((np.diff(chunk, prepend=-1) != 0) | (np.diff(group[doc], prepend=-1) != 0))
     n_docs = np.diff(np.append(run, len(doc)))
     few = n_docs < at_least
     kept = doc[np.repeat(few, n_docs)]
     ends = np.concatenate([[0], np.cumsum(n_docs * few)])
-    at = pa.array(doc[run])
+    tops = np.append(np.searchsorted(part, run), len(part))
+    counts = np.add.reduceat(times, part) if len(part) else np.zeros(0, np.int64)
     return pa.record_batch([
-        pa.array(np.full(len(run), number, np.int64)), langs.take(at), sources.take(at), strings.take(pa.array(chunk[run])),
-        pa.array(n_docs.astype(np.int64)), pa.array(np.add.reduceat(times, run) if len(run) else np.zeros(0, np.int64)),
-        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept, pa.int32()))],
-        names=["slice", "lang", "source", "chunk", "n_docs", "n", "docs"])
+        pa.array(np.full(len(run), number, np.int64)), langs.take(pa.array(doc[run])), strings.take(pa.array(chunk[run])),
+        pa.array(n_docs.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept, pa.int32())),
+        pa.ListArray.from_arrays(pa.array(tops, pa.int32()), sources.take(pa.array(doc[part]))),
+        pa.ListArray.from_arrays(pa.array(tops, pa.int32()), pa.array(counts, pa.int64()))],
+        names=["slice", "lang", "chunk", "n_docs", "docs", "sources", "counts"])
 
 
 def _slices(at_least: int):
@@ -111,10 +119,16 @@ def _slices(at_least: int):
 
 
 def chunk_counts(documents: DataFrame, at_least: int) -> DataFrame:
-    """``slice, lang, source, chunk, n_docs, n, docs``; ``documents`` is ``lang, source, text``."""
-    together = documents.repartitionByRange("lang", "source", F.monotonically_increasing_id())
-    return together.mapInArrow(
-        _slices(at_least), "slice long, lang string, source string, chunk string, n_docs long, n long, docs array<int>")
+    """``slice, lang, chunk, n_docs, docs, sources, counts``; ``documents`` is ``lang, source, text``."""
+    return documents.mapInArrow(_slices(at_least), "slice long, lang string, chunk string, n_docs long, docs array<int>, "
+                                                   "sources array<string>, counts array<long>")
+
+
+def _joined(rows: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a written vocabulary, which is broadcast only if it is counted to be small."""
+    if vocabulary.count() <= FEW:
+        return rows.join(F.broadcast(vocabulary), keys)
+    return attach(rows, vocabulary, keys, "inner")
 
 
 def _salted(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -228,32 +242,32 @@ def divergence(documents: DataFrame, at_least: int = 30, top: int = 50, text_col
     own = shipped(documents).select(lang.alias("lang"), source.alias("source"), F.col(text_column).alias("text"))
     names = written(own.select("lang", "source").distinct(), "groups")
     counted = written(chunk_counts(own, at_least), "chunks")
-    summed = written(counted.groupBy("lang", "source", "chunk").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")), "summed")
-
-    # Each distinct chunk is tokenized once.
-    terms = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
-    dictionary = written(summed.select("chunk").distinct().select("chunk", F.explode(terms).alias("term")).groupBy("chunk", "term").agg(
-        F.count(F.lit(1)).alias("times")), "dictionary")
-    held = attach(summed, dictionary.groupBy("chunk").agg(F.collect_list(F.struct("term", "times")).alias("held")), ["chunk"], "inner")
-    placed = held.select("lang", "source", "chunk", "n_docs", "n", F.explode("held").alias("t")).select(
-        "lang", "source", "chunk", F.col("t.term").alias("term"), "n_docs", (F.col("n") * F.col("t.times")).alias("n"))
-    placed = written(placed, "placed")
-    counts = placed.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    # By chunk alone, so that all languages of a chunk meet and it is tokenized once.
+    met = counted.select("chunk", "lang", "n_docs").repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n_docs").alias("n_docs"))
+    met = met.groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("langs"))
+    met = met.withColumn("terms", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).select(
+        "chunk", "langs", F.explode(F.array_distinct("terms")).alias("term"), "terms")
+    times = F.size(F.filter("terms", lambda t: t == F.col("term"))).cast("long")
+    placed = written(met.select("chunk", "term", times.alias("times"), F.explode("langs").alias("l")).select(
+        "l.lang", "chunk", "term", "times", "l.n_docs"), "placed")
 
     # Documents per language: settled by bounds, or counted.
-    bounds = placed.groupBy("lang", "term", "chunk").agg(F.sum("n_docs").alias("n_docs")).groupBy("lang", "term").agg(
-        F.max("n_docs").alias("low"), F.sum("n_docs").alias("high"))
-    bounds = written(bounds.where(F.col("high") >= at_least), "bounds")
-    open_ = bounds.where(F.col("low") < at_least).select("lang", "term")
-    wanted = attach(placed.select("lang", "term", "chunk").distinct(), open_, ["lang", "term"], "left_semi")
-    few = counted.where(F.col("n_docs") < at_least).select("lang", "chunk", "slice", "docs")
-    members = attach(few, wanted.groupBy("lang", "chunk").agg(F.collect_list("term").alias("terms")), ["lang", "chunk"], "inner")
+    bounds = placed.groupBy("lang", "term").agg(F.max("n_docs").alias("low"), F.sum("n_docs").alias("high"))
+    bounds = written(bounds.where(F.col("high") >= at_least).select("lang", "term", (F.col("low") < at_least).alias("open")), "bounds")
+    held = F.collect_list(F.struct("term", "times", "open")).alias("held")
+    wanted = written(_joined(placed, bounds, ["lang", "term"]).groupBy("lang", "chunk").agg(held), "wanted")
+    open_ = wanted.where(F.exists("held", lambda t: t["open"]))
+    open_ = written(open_.select("lang", "chunk", F.filter("held", lambda t: t["open"])["term"].alias("terms")), "open")
+    members = _joined(counted.where(F.col("n_docs") < at_least).select("lang", "chunk", "slice", "docs"), open_, ["lang", "chunk"])
     pairs = members.select("lang", "slice", F.explode("terms").alias("term"), "docs").select(
         "lang", "term", "slice", F.explode("docs").alias("doc")).distinct()
     reached = pairs.groupBy("lang", "term").count().where(F.col("count") >= at_least)
-    kept = bounds.where(F.col("low") >= at_least).select("lang", "term").unionByName(reached.select("lang", "term"))
-    kept = written(kept, "kept")
+    kept = written(bounds.where("not open").select("lang", "term").unionByName(reached.select("lang", "term")), "kept")
 
+    found = _joined(counted.select("lang", "chunk", "sources", "counts"), wanted, ["lang", "chunk"])
+    found = found.select("lang", F.explode("held").alias("t"), "sources", "counts").select(
+        "lang", "t.term", "t.times", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
+    counts = found.groupBy("lang", F.col("s.sources").alias("source"), "term").agg(F.sum(F.col("s.counts") * F.col("times")).alias("n"))
     counts = written(attach(counts, kept, ["lang", "term"], "left_semi"), "counts")
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
     by_lang = whole.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_lang").alias("total_lang"))
