@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import conversation_trie, decontaminate, divergence, licenses, multi_index, near_dups, packing, pseudonyms, suffix_dedup, token_counts, toxicity, url_filter
+from tallyloom.llm import conversation_trie, decontaminate, divergence, licenses, multi_index, near_dups, ngram_join, packing, pseudonyms, suffix_dedup, token_counts, toxicity, url_filter
 from tallyloom.llm.columns import table
 from tallyloom.llm.oracle import ORACLE
 from tallyloom.session import cut_lineage
@@ -77,6 +77,10 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, folder, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = cut_lineage(conversation_trie.turn_digests(table(spark, folder, "conversations")))
     return conversation_trie.trie(*conversation_trie.with_shared_heads(turns, group=100, most=6))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_toxicity": op9_toxicity,
     "op10_near_dups": op10_near_dups,
+    "op11_ngram_join": op11_ngram_join,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_source_divergence": op13_source_divergence,
 }

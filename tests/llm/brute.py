@@ -7,12 +7,12 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, size=5, percent=75):
     """{doc_id: (n_shingles, component_id)} for unique ids."""
     sets = {}
     for doc_id, text in docs:
         words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
-        sets[doc_id] = {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else (
+        sets[doc_id] = {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else (
             {tuple(words)} if words else set())
     index = {}
     for doc_id, s in sets.items():
@@ -32,7 +32,7 @@ def near_duplicates(docs):
                 if other < doc_id:
                     shared[other] = shared.get(other, 0) + 1
         for other, n in shared.items():
-            if 100 * n >= 75 * (len(s) + len(sets[other]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[other]) - n):
                 a, b = sorted((root(doc_id), root(other)))
                 parent[b] = a
     return {d: (len(sets[d]), root(d)) for d in sets}
