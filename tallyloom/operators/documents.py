@@ -1,7 +1,8 @@
 """The work of the run steps: validating documents, text of pages, chunks, dataset records.
 
-All of it is built-in column functions. Texts are never shuffled: duplicates are settled on digests,
-counts of chunks come from lengths.
+All of it is built-in column functions. Verdicts belong to rows, not to ids, which may repeat or be missing. Duplicates
+are settled on digests and counts of chunks on lengths; a text is shuffled only where it is, in all likelihood, a
+duplicate to be dropped.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.joins import attach
+from tallyloom.functions.html import title, visible_text
+from tallyloom.operators.joins import attach, without_listed
+from tallyloom.operators.ranking import split_rank
 
 # A document needs this many characters.
 SHORTEST = 50
@@ -28,21 +31,31 @@ def is_blank_text(text: Column) -> Column:
 
 # --- validate_data -----------------------------------------------------------------------------
 
+def _early(text: Column) -> Column:
+    """The verdict that a row gets by itself, if any."""
+    return (F.when(is_blank_text(text), "empty")
+            .when(F.length(text) != F.coalesce("n_chars", F.lit(-1)), "length_mismatch")
+            .when(F.length(text) < SHORTEST, "too_short"))
+
+
+def _judged(documents: DataFrame, **more: Column) -> DataFrame:
+    """One row per document with its ``verdict`` and ``_digest``, and ``more`` columns made of it."""
+    text = F.col("text")
+    judged = documents.select("doc_id", "source", "lang", F.sha2(text, 256).alias("_digest"), _early(text).alias("_early"),
+                              *(column.alias(name) for name, column in more.items()))
+    firsts = judged.groupBy("_digest").agg(F.min("doc_id").alias("_first"))
+    verdict = F.coalesce("_early", F.when(F.col("doc_id") > F.col("_first"), "duplicate").otherwise("ok"))
+    return attach(judged, firsts, ["_digest"], "left").withColumn("verdict", verdict).drop("_early", "_first")
+
+
 def document_verdicts(documents: DataFrame) -> DataFrame:
     """``doc_id, source, lang, verdict``; the first of ``VERDICTS`` that applies.
 
     A duplicate has the text of a document with a smaller id. Digests are folded to their smallest id on the map
     side, so a text that a third of all documents share is one row per task; rows that repeat id and text are
-    judged alike.
+    judged alike, and a row without an id is never a duplicate.
     """
-    text = F.col("text")
-    early = (F.when(is_blank_text(text), "empty")
-             .when(F.length(text) != F.coalesce("n_chars", F.lit(-1)), "length_mismatch")
-             .when(F.length(text) < SHORTEST, "too_short"))
-    judged = documents.select("doc_id", "source", "lang", F.sha2(text, 256).alias("_digest"), early.alias("_early"))
-    firsts = judged.groupBy("_digest").agg(F.min("doc_id").alias("_first"))
-    verdict = F.coalesce("_early", F.when(F.col("doc_id") > F.col("_first"), "duplicate").otherwise("ok"))
-    return attach(judged, firsts, ["_digest"], "left").select("doc_id", "source", "lang", verdict.alias("verdict"))
+    return _judged(documents).select("doc_id", "source", "lang", "verdict")
 
 
 def validation_report(documents: DataFrame) -> DataFrame:
@@ -55,34 +68,14 @@ def validation_report(documents: DataFrame) -> DataFrame:
 
 # --- ocr_extraction ----------------------------------------------------------------------------
 
-# Entities decoded in texts; the ampersand comes last, so that nothing is decoded twice.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&middot;": "·",
-            "&copy;": "©", "&amp;": "&"}
-
-
-def _plain(html: Column) -> Column:
-    """Without comments and tags, entities decoded, white space squeezed."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]+>", " ")
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "))
-
-
-def _without_code(html: Column) -> Column:
-    for tag in ("script", "style"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    return html
-
-
 def page_text(pages: DataFrame) -> DataFrame:
-    """Visible text of each page. Scripts and styles go first, for they may hold what looks like tags."""
-    return pages.select("page_id", _plain(_without_code(F.coalesce("html", F.lit("")))).alias("text"))
+    """Visible text of each page, empty without HTML. See ``functions.html``."""
+    return pages.select("page_id", visible_text(F.coalesce("html", F.lit(""))).alias("text"))
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
     """Title of each page, empty if it has none."""
-    title = F.regexp_extract(_without_code(F.coalesce("html", F.lit(""))), r"(?is)<title\b[^>]*>(.*?)</title", 1)
-    return pages.select("page_id", _plain(title).alias("title"))
+    return pages.select("page_id", title(F.coalesce("html", F.lit(""))).alias("title"))
 
 
 # --- chunk_data --------------------------------------------------------------------------------
@@ -97,14 +90,27 @@ def check_chunking(size: int, overlap: int) -> None:
         raise ValueError(f"overlap must be at least 0 and below size, got size={size}, overlap={overlap}")
 
 
+def _windows(text: Column, size: int, overlap: int) -> tuple[Column, Column]:
+    """All chunks of a text, made of the array ``_blocks``, and that array, in time linear in the text's length.
+
+    A substring by position is counted from the text's start, chunk after chunk; here the text is cut once, into blocks
+    of what a chunk is ahead of the one before, and each chunk is put together from the blocks that it spans.
+    """
+    step = size - overlap
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    spanned = -(-size // step)
+    numbers = F.sequence(F.lit(1), _chunks(F.length(text), size, overlap).cast("int"))
+    return F.transform(numbers, lambda i: F.left(F.array_join(F.slice("_blocks", i, F.lit(spanned)), ""), F.lit(size))), blocks
+
+
 def document_chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, chunk, start, text``: windows of ``size`` characters; blank documents have none."""
     check_chunking(size, overlap)
-    number = F.explode(F.sequence(F.lit(0).cast("bigint"), _chunks(F.length("text"), size, overlap) - 1)).alias("chunk")
-    placed = documents.where(~is_blank_text(F.col("text"))).select("doc_id", "text", number)
-    start = F.col("chunk") * (size - overlap)
-    return placed.select("doc_id", "chunk", start.alias("start"),
-                         F.substr("text", (start + 1).cast("int"), F.lit(size)).alias("text"))
+    windows, blocks = _windows(F.col("text"), size, overlap)
+    cut = documents.where(~is_blank_text(F.col("text"))).select("doc_id", "text", blocks.alias("_blocks"))
+    placed = cut.select("doc_id", F.posexplode(windows).alias("chunk", "text"))
+    chunk = F.col("chunk").cast("bigint")
+    return placed.select("doc_id", chunk.alias("chunk"), (chunk * (size - overlap)).alias("start"), "text")
 
 
 def chunk_stats(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -127,36 +133,44 @@ def split_of(doc_id: Column) -> Column:
 
 
 def _good(documents: DataFrame) -> DataFrame:
-    """Documents with verdict ``ok``. Only ids are joined; the texts are shuffled once, as the side to keep."""
-    good = document_verdicts(documents).where("verdict = 'ok'").select("doc_id").distinct()
-    return attach(documents, good, ["doc_id"], "left_semi")
+    """Rows with verdict ``ok``: those with no verdict of their own, without the duplicates among them."""
+    duplicates = _judged(documents).where("verdict = 'duplicate'").select("_digest", "doc_id")
+    left = documents.where(_early(F.col("text")).isNull()).withColumn("_digest", F.sha2("text", 256))
+    return without_listed(left, duplicates, ["_digest", "doc_id"]).select(*documents.columns)
 
 
 def dataset_records(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """``record_id, doc_id, chunk, split, text``: the chunks of good documents."""
+    """``record_id, doc_id, chunk, split, text``: the chunks of good documents.
+
+    A row without an id has records without one, for training; rows that repeat an id have their own records each.
+    """
     records = document_chunks(_good(documents), size, overlap)
-    return records.select(F.concat_ws("-", "doc_id", "chunk").alias("record_id"), "doc_id", "chunk",
-                          split_of(F.col("doc_id")).alias("split"), "text")
+    return records.select(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("chunk").cast("string")).alias("record_id"),
+                          "doc_id", "chunk", split_of(F.col("doc_id")).alias("split"), "text")
 
 
 def min_samples_gate(documents: DataFrame, min_samples: int, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Per source the records that its good documents give, and whether they are enough."""
-    verdicts = document_verdicts(documents).where("verdict = 'ok'").select("doc_id").distinct()
-    counted = documents.select("doc_id", "source", _chunks(F.length("text"), size, overlap).alias("n"))
-    totals = (attach(counted, verdicts.withColumn("_ok", F.lit(True)), ["doc_id"], "left").groupBy("source")
-              .agg(F.coalesce(F.sum(F.when(F.col("_ok"), F.col("n"))), F.lit(0)).alias("n_records")))
+    check_chunking(size, overlap)
+    judged = _judged(documents, _n=_chunks(F.length("text"), size, overlap))
+    totals = judged.groupBy("source").agg(
+        F.coalesce(F.sum(F.when(F.col("verdict") == "ok", F.col("_n"))), F.lit(0)).alias("n_records"))
     return totals.withColumn("result", F.when(F.col("n_records") >= min_samples, "ok").otherwise("insufficient"))
 
 
 def chat_samples(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     """``conv_id, part, n_turns, sample``: the turns of a conversation in order, as JSON.
 
-    A record holds the turns with numbers from ``part * turns`` on, so that no conversation, however long,
-    becomes one row; all parts together hold every turn.
+    Turns are numbered before they are dealt to records, in order of ``turn``, role and text with NULL first, so a record
+    never holds more than ``turns`` of them, whatever their values; no conversation, however long, is one
+    row or one task; all parts together hold every turn.
     """
     if turns < 1:
         raise ValueError(f"turns must be at least 1, got {turns}")
-    part = F.expr(f"turn div {turns}").alias("part")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return conversations.groupBy("conv_id", part).agg(
+    numbered = split_rank(conversations.select("conv_id", "turn", "role", "text"), ["conv_id"],
+                          {"turn": False, "role": False, "text": False}, "_n")
+    part = F.expr(f"(_n - 1) div {turns}").alias("part")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_n", "turn", "role", "text"))), lambda t: F.struct(
+        t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+    return numbered.groupBy("conv_id", part).agg(
         F.count(F.lit(1)).alias("n_turns"), F.to_json(ordered, {"ignoreNullFields": "false"}).alias("sample"))

@@ -23,6 +23,30 @@ def attach(many: DataFrame, one: DataFrame, keys: list[str], how: str) -> DataFr
     return joined.drop("_spread")
 
 
+# Bits of the bitmap by which ``without_listed`` tells rows apart, and bits in one row of it: 2048 rows of 4 kB,
+# whatever the data.
+BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
+def without_listed(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """Anti-join that leaves wide rows where they are: only those that may be listed are shuffled.
+
+    The listed keys are hashed into a bitmap of fixed size, which is broadcast. Rows whose bit is not set are
+    not listed and pass; the others are the listed ones and a share of accidental hits (listed keys over ``BITS``), and
+    settled by a join. As in any anti-join, a row with a NULL key is not listed.
+    """
+    spot = F.pmod(F.xxhash64(*keys), F.lit(BITS)).cast("int")
+    bitmap = listed.select(spot.alias("_spot")).groupBy(F.expr(f"_spot div {ROW_BITS}").alias("_row")).agg(
+        F.bitmap_construct_agg(F.col("_spot") % ROW_BITS).alias("_bits"))
+    at = F.col("_spot") % ROW_BITS
+    byte = F.conv(F.hex(F.substr("_bits", F.expr(f"_spot % {ROW_BITS} div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_spot", spot).withColumn("_row", F.expr(f"_spot div {ROW_BITS}")).join(
+        F.broadcast(bitmap), "_row", "left").withColumn("_maybe", F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    passed = marked.where(~F.col("_maybe")).select(*rows.columns)
+    doubtful = marked.where("_maybe").select(*rows.columns)
+    return passed.unionByName(attach(doubtful, listed.select(*keys).distinct(), keys, "left_anti"))
+
+
 def keep_parents(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Left join of parents with unique ``key`` to any number of children per key.
 

@@ -340,7 +340,7 @@ def delete_manifest(listing: DataFrame, requests: DataFrame, batch_size: int = 1
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"), "key")
     asked = requests.select("user_id", "project_id").distinct()
     below = attach(parted, asked, ["user_id", "project_id"], "left_semi")
-    ranked = split_rank(below, ["user_id", "project_id"], {"key": False}, like=parted)
+    ranked = split_rank(below, ["user_id", "project_id"], {"key": False})
     return ranked.select("user_id", "project_id", F.expr(f"(rn - 1) div {batch_size}").alias("batch"), "key")
 
 

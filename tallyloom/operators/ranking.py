@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut_lineage
+
 # Rows drawn per shuffle partition, and drawn rows per piece of a group: with them, a piece holds about as many
 # rows as a shuffle partition does, and there are at most as many cut points as shuffle partitions.
 DRAWN = 100
@@ -18,8 +20,9 @@ def sort_columns(order: Mapping[str, bool]) -> list[Column]:
     return [F.col(c).desc_nulls_first() if down else F.col(c).asc_nulls_first() for c, down in order.items()]
 
 
-def cut_points(rows: DataFrame, keys: Sequence[str], order: Mapping[str, bool]) -> DataFrame:
-    """``keys`` of large groups with ``_cuts``, values of the sort columns at which to cut them, in order.
+def cut_points(rows: DataFrame, keys: Sequence[str], order: Mapping[str, bool]) -> tuple[DataFrame, int]:
+    """``keys`` of large groups with ``_cuts``, values of the sort columns at which to cut them, in order, and the
+    largest number of cuts of a group.
 
     They come from a sample, are collected (at most one per shuffle partition) and come back as values,
     so that every use sees the same ones.
@@ -32,7 +35,8 @@ def cut_points(rows: DataFrame, keys: Sequence[str], order: Mapping[str, bool])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_columns(order)))
     at = drawn.withColumn("_at", place).where(F.col("_at") % DRAWN == 0)
     cuts = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", *order))).alias("_cuts"))
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
+    found = cuts.collect()
+    return spark.createDataFrame(found, cuts.schema), max((len(row["_cuts"]) for row in found), default=0)
 
 
 def _before(cut: Column, order: Mapping[str, bool]) -> Column:
@@ -46,30 +50,48 @@ def _before(cut: Column, order: Mapping[str, bool]) -> Column:
     return out
 
 
-def split_rank(rows: DataFrame, keys: Sequence[str], order: Mapping[str, bool], name: str = "rn",
-               like: DataFrame | None = None) -> DataFrame:
+def _pieces_before(order: Mapping[str, bool], most: int) -> Column:
+    """How many of the sorted ``_cuts`` come before the row, by bisection."""
+    state = F.struct(F.lit(0).alias("low"), F.size("_cuts").alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        cut = F.get("_cuts", middle)
+        open_ = at["low"] < at["high"]
+        ahead = open_ & _before(cut, order)
+        return F.struct(F.when(ahead, middle + 1).otherwise(at["low"]).alias("low"),
+                        F.when(open_ & ~ahead, middle).otherwise(at["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.lit(most.bit_length()))
+    return F.aggregate(steps, state, halve, lambda at: at["low"])
+
+
+def split_rank(rows: DataFrame, keys: Sequence[str], order: Mapping[str, bool], name: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` with no task per group.
 
     A window puts a whole group into one task, so a group with a third of all rows would decide
     the run time. Here large groups are cut into pieces at points of the sort order, and a row's number is its
-    number within group and piece plus the rows of the group's earlier pieces. Any cut points give the same numbers;
-    they are drawn from ``like``, a frame that is cheaper to read and holds ``rows``, or from ``rows``.
+    number within group and piece plus the rows of the group's earlier pieces. Any cut points give the same numbers.
 
-    The rows are shuffled once, by group and piece. The counts of the pieces of cut groups are combined
-    on the map side and, like the cut points, at most as many as shuffle partitions plus groups cut.
+    ``rows`` are computed once, into the shared folder; what is drawn, counted and numbered is read from there. They are
+    shuffled once, by group and piece, and find their piece by bisection. The counts of the pieces of cut
+    groups are combined on the map side and, like the cut points, at most as many as shuffle partitions plus groups cut.
     """
-    cuts = cut_points(like if like is not None else rows, keys, order)
+    rows = cut_lineage(rows)
+    cuts, most = cut_points(rows, keys, order)
+    at = [*keys, "_piece"]
+    window = Window.partitionBy(*at).orderBy(*sort_columns(order))
+    if not most:
+        numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_columns(order))).cast("bigint"))
+        return numbered.select(*rows.columns, name)
     joined = rows.join(F.broadcast(_primed(cuts, keys)), _same(keys), "left")
-    piece = F.coalesce(F.size(F.filter(F.col("_cuts"), lambda cut: _before(cut, order))), F.lit(0))
-    placed = joined.withColumn("_piece", F.when(F.col("_cuts").isNotNull(), piece).otherwise(0)).withColumn(
-        "_split", F.col("_cuts").isNotNull()).select(*rows.columns, "_piece", "_split")
+    piece = F.when(F.col("_cuts").isNotNull(), _pieces_before(order, most))
+    placed = joined.withColumn("_piece", piece).select(*rows.columns, "_piece")
 
-    sizes = placed.where("_split").groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = placed.where("_piece is not null").groupBy(*at).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sizes.select(*keys, "_piece", F.sum("_rows").over(earlier).alias("_earlier"))
-    at = [*keys, "_piece"]
-    within = F.row_number().over(Window.partitionBy(*at).orderBy(*sort_columns(order)))
-    numbered = placed.withColumn("_within", within).join(F.broadcast(_primed(carried, at)), _same(at), "left")
+    carried = sizes.select(*at, F.sum("_rows").over(earlier).alias("_earlier"))
+    numbered = placed.withColumn("_within", F.row_number().over(window)).join(F.broadcast(_primed(carried, at)), _same(at), "left")
     number = F.col("_within") + F.coalesce("_earlier", F.lit(0))
     return numbered.select(*rows.columns, number.cast("bigint").alias(name))
 

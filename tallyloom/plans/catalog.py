@@ -180,5 +180,11 @@ QUERIES: dict[str, Query] = {
     "dataset_records": _on(lambda t: documents.dataset_records(t.documents)),
     "min_samples_gate": _on(lambda t: documents.min_samples_gate(t.documents, MIN_SAMPLES)),
     "chat_samples": _on(lambda t: documents.chat_samples(t.conversations)),
+    "raw_page_text": _on(lambda t: documents.page_text(t.raw_pages)),
+    "raw_page_titles": _on(lambda t: documents.page_titles(t.raw_pages)),
+    "submitted_verdicts": _on(lambda t: documents.document_verdicts(t.raw_documents)),
+    "submitted_records": _on(lambda t: documents.dataset_records(t.raw_documents)),
+    "submitted_gate": _on(lambda t: documents.min_samples_gate(t.raw_documents, MIN_SAMPLES)),
+    "logged_chat_samples": _on(lambda t: documents.chat_samples(t.raw_turns)),
 }
 

@@ -260,7 +260,57 @@ select 1000000000000 + c_custkey as seq, 'u' || lpad(cast(c_custkey as string),
 from {customer}
 """
 
+# Documents as submitted: rows that repeat an id (too short, the same again, another text), that lack one, or that have
+# the text of a document with a smaller id.
+RAW_DOCUMENTS = """
+select doc_id, text, lang, source, n_chars from {documents}
+union all
+select doc_id, 'short' as text, lang, source, cast(5 as bigint) as n_chars from {documents} where doc_id % 7 = 0
+union all
+select doc_id, text, lang, source, n_chars from {documents} where doc_id % 13 = 0
+union all
+select doc_id, text || ' again' as text, lang, source, n_chars + 6 as n_chars from {documents} where doc_id % 19 = 0
+union all
+select cast(null as bigint) as doc_id, text || ' unnamed' as text, lang, source, n_chars + 8 as n_chars
+from {documents} where doc_id % 11 = 0
+union all
+select 1000000000000 + doc_id as doc_id, text, lang, source, n_chars from {documents} where doc_id % 17 = 0
+"""
+
+# Conversations as logged: turns without number, with negative ones, and repeated ones.
+RAW_TURNS = """
+select conv_id, turn, role, text from {conversations}
+union all
+select conv_id, cast(null as bigint) as turn, role, text from {conversations} where turn < 3 and conv_id % 3 = 0
+union all
+select conv_id, turn - 4 as turn, role, text || ' (before)' as text from {conversations} where conv_id % 4 = 1
+union all
+select conv_id, turn, role, text from {conversations} where conv_id % 5 < 2
+union all
+select conv_id, cast(1 as bigint) as turn, cast(null as string) as role, text || ' (once more)' as text
+from {conversations} where conv_id % 6 = 0
+"""
+
+# Pages with what the crawled ones lack: references of every kind, raw elements with odd end tags or none, quoted
+# angle brackets, comments in odd shapes, titles in comments.
+RAW_PAGES = """
+select page_id, html from {pages}
+union all
+select 1000000000000 + page_id as page_id, '<!-- <title>no</title> --><TITLE lang="de">F&uuml;r &#8222;' || cast(page_id as string)
+  || '&#x201C;</TITLE >caf&#233; &eacute;&Eacute; &#X41;&#146; &NotEqualTilde; &bogus; &amp;lt; &#0; &#55296; &copy 1 < 2' as html
+from {pages} where page_id % 3 = 0
+union all
+select 2000000000000 + page_id as page_id, '<script>var a = "<b>&amp;</scripts>";</script x>one<style>p {{}}</style
+ y><i title="a>b" alt=''<''>two</i><!--> three <!-- four --!> five</p><br/>' || html as html
+from {pages} where page_id % 3 = 1
+union all
+select 3000000000000 + page_id as page_id, '<p>shown</p><!doctype x><?php y ?>' || case when page_id % 2 = 0 then '<script>' else '<!-- ' end || html as html
+from {pages} where page_id % 3 = 2
+"""
+
 STATEMENTS = {
+    "raw_pages": RAW_PAGES,
+    "raw_documents": RAW_DOCUMENTS, "raw_turns": RAW_TURNS,
     "users": USERS, "projects": PROJECTS, "files": FILES, "objects": OBJECTS, "nested_objects": NESTED_OBJECTS, "results": RESULTS,
     "claims": CLAIMS, "tokens": TOKENS, "project_requests": PROJECT_REQUESTS,
     "folder_requests": FOLDER_REQUESTS, "uploads": UPLOADS,

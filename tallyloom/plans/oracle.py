@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from tallyloom.plans.catalog import AS_OF, BATCH_SIZE, DEEP_LIMIT, DEEP_SKIP, LIMIT, MIN_SAMPLES, ONE_OWNER, SKIP
 from tallyloom.plans.fixtures import with_fixtures as q
 
@@ -173,11 +175,15 @@ where nth = 1)"""
 STEP_ORDER = """list_position(['validate_data', 'ocr_extraction', 'chunk_data',
   'generate_dataset', 'fine_tune', 'deploy_model'], step)"""
 
-VERDICTS = r"""(
+def _verdicts(documents: str) -> str:
+    return rf"""(
 select *, case when not coalesce(regexp_matches(text, '[^\x09-\x0D\x20]'), false) then 'empty'
   when length(text) <> coalesce(n_chars, -1) then 'length_mismatch' when length(text) < 50 then 'too_short'
   when doc_id > min(doc_id) over (partition by sha256(text)) then 'duplicate' else 'ok' end as verdict
-from documents)"""
+from {documents})"""
+
+
+VERDICTS = _verdicts("documents")
 
 FILLED = r"(select *, ceil(greatest(length(text) - 100, 1) / 400)::bigint as n from documents where regexp_matches(text, '[^\x09-\x0D\x20]'))"
 
@@ -188,18 +194,66 @@ select doc_id, chunk, chunk * 400 as start, substring(text, chunk * 400 + 1, 500
 from (select doc_id, text, unnest(generate_series(0, n - 1)) as chunk from {documents}))"""
 
 
+SCRIPTS = "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?(?:</{t}(?:[\s/][^>]*)?>|\z)" for t in ("script", "style"))
+COMMENTS = r"<!--(?:-?>|.*?(?:--!?>|\z))"
+TAGS = r"""</?[A-Za-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[!?/][^>]*>|</?[A-Za-z][^>]*>"""
+TITLES = r"<title(?:[\s/][^>]*)?>(.*?)(?:</title(?:[\s/][^>]*)?>|\z)"
+ENTITIES = "map {{{}}}".format(", ".join("'{}': '{}'".format(n[:-1], c.replace("'", "''")) for n, c in sorted(html5.items()) if n[-1] == ";"))
+OLD_NUMBERS = "map {{{}}}".format(", ".join(f"{n}: '{bytes([n]).decode('cp1252')}'" for n in range(128, 160) if n not in (129, 141, 143, 144, 157)))
+
+
+def _number(digits: str) -> str:
+    return f"""case when map_contains({OLD_NUMBERS}, {digits}) then {OLD_NUMBERS}[{digits}]
+  when {digits} > 0 and {digits} < 1114112 and not {digits} between 55296 and 57343 then chr({digits}) else '�' end"""
+
+
 def _plain(html: str) -> str:
-    text = f"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
-    for entity, character in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                              ("&apos;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]:
-        text = f"replace({text}, '{entity}', '{character}')"
-    return rf"trim(regexp_replace({text}, '[\x09-\x0D\x20]+', ' ', 'g'))"
+    """Markup goes in one scan, then each reference is decoded once."""
+    bare = rf"regexp_replace({html}, '(?is){SCRIPTS}|{COMMENTS}|{TAGS}', ' ', 'g')"
+    tokens = rf"regexp_extract_all({bare}, '(?s)&(?:#[0-9]{{1,7}}|#[xX][0-9A-Fa-f]{{1,6}}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&')"
+    decoded = f"""array_to_string(list_transform({tokens}, lambda t: case when not (starts_with(t, '&') and ends_with(t, ';')) then t
+  when lower(t[1:3]) = '&#x' then {_number("('0x' || t[4:-2])::integer")}
+  when t[1:2] = '&#' then {_number("t[3:-2]::integer")}
+  else coalesce({ENTITIES}[t[2:-2]], t) end), '')"""
+    return rf"trim(regexp_replace(coalesce({decoded}, ''), '[\x09-\x0D\x20\x{{A0}}]+', ' ', 'g'))"
+
+
+def _texts(pages: str) -> str:
+    return f"select page_id, {_plain("coalesce(html, '')")} as text from {pages}"
+
+
+def _titles(pages: str) -> str:
+    return rf"""
+select page_id, {_plain(f"coalesce(regexp_extract(found, '(?is)^{TITLES}', 1), '')")} as title
+from (select page_id, list_filter(regexp_extract_all(coalesce(html, ''), '(?is){SCRIPTS}|{COMMENTS}|{TITLES}|{TAGS}'),
+  lambda t: lower(t[1:6]) = '<title')[1] as found from {pages})"""
+
 
+def _good(documents: str) -> str:
+    return f"(select *, ceil(greatest(length(text) - 100, 1) / 400)::bigint as n from {_verdicts(documents)} where verdict = 'ok')"
 
-CODE_FREE = r"""regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'),
-  '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g')"""
 
-GOOD = f"(select * from {FILLED} where doc_id in (select doc_id from {VERDICTS} where verdict = 'ok'))"
+def _records(documents: str) -> str:
+    return f"""
+select doc_id || '-' || chunk as record_id, doc_id, chunk,
+  case when substring(md5(doc_id::varchar), 1, 2) < '1a' then 'val' else 'train' end as split, text
+from {_chunked(_good(documents))}"""
+
+
+def _gate(documents: str) -> str:
+    return f"""
+select source, coalesce(sum(n) filter (where verdict = 'ok'), 0)::bigint as n_records,
+  case when coalesce(sum(n) filter (where verdict = 'ok'), 0) >= {MIN_SAMPLES} then 'ok' else 'insufficient' end as result
+from (select *, ceil(greatest(length(text) - 100, 1) / 400)::bigint as n from {_verdicts(documents)}) group by source"""
+
+
+def _chats(turns: str) -> str:
+    return f"""
+select conv_id, (rn - 1) // 8 as part, count(*) as n_turns,
+  to_json(list({{'turn': turn, 'role': role, 'text': text}} order by rn))::varchar as sample
+from (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as rn
+  from {turns}) group by conv_id, (rn - 1) // 8"""
+
 
 ORACLE: dict[str, str] = {
     "project_lookup": q(["project_requests", "projects"], _lookup(
@@ -406,24 +460,19 @@ select source, lang, count(*) as n_documents, count(*) filter (where verdict = '
   count(*) filter (where verdict = 'duplicate') as n_duplicate, count(*) filter (where verdict = 'ok') as n_ok,
   count(*) filter (where verdict = 'ok') / count(*) as pass_rate
 from {VERDICTS} group by source, lang""",
-    "page_text": f"select page_id, {_plain(CODE_FREE)} as text from pages",
-    "page_titles": rf"""
-select page_id, {_plain("title")} as title
-from (select page_id, regexp_extract({CODE_FREE}, '(?is)<title\b[^>]*>(.*?)</title', 1) as title from pages)""",
+    "page_text": _texts("pages"),
+    "page_titles": _titles("pages"),
+    "raw_page_text": q(["raw_pages"], _texts("raw_pages")),
+    "raw_page_titles": q(["raw_pages"], _titles("raw_pages")),
     "document_chunks": f"select * from {_chunked(FILLED)}",
     "chunk_stats": f"""
 select doc_id, count(*) as n_chunks, sum(length(text))::bigint as total_chars, avg(length(text)) as mean_chars
 from {_chunked(FILLED)} group by doc_id""",
-    "dataset_records": f"""
-select doc_id || '-' || chunk as record_id, doc_id, chunk,
-  case when substring(md5(doc_id::varchar), 1, 2) < '1a' then 'val' else 'train' end as split, text
-from {_chunked(GOOD)}""",
-    "min_samples_gate": f"""
-select source, coalesce(sum(n), 0)::bigint as n_records,
-  case when coalesce(sum(n), 0) >= {MIN_SAMPLES} then 'ok' else 'insufficient' end as result
-from documents d left join (select doc_id, n from {GOOD}) using (doc_id) group by source""",
-    "chat_samples": """
-select conv_id, turn // 8 as part, count(*) as n_turns,
-  to_json(list({'turn': turn, 'role': role, 'text': text} order by turn, role, text))::varchar as sample
-from conversations group by conv_id, turn // 8""",
+    "dataset_records": _records("documents"),
+    "min_samples_gate": _gate("documents"),
+    "chat_samples": _chats("conversations"),
+    "submitted_verdicts": q(["raw_documents"], f"select doc_id, source, lang, verdict from {_verdicts('raw_documents')}"),
+    "submitted_records": q(["raw_documents"], _records("raw_documents")),
+    "submitted_gate": q(["raw_documents"], _gate("raw_documents")),
+    "logged_chat_samples": q(["raw_turns"], _chats("raw_turns")),
 }

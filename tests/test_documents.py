@@ -4,10 +4,13 @@ import json
 
 import pytest
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallyloom.functions.html import decode_references
 from tallyloom.operators import documents as D
-from tallyloom.operators import merges
+from tallyloom.operators import joins, merges
 from tallyloom.plans.catalog import MIN_SAMPLES
 from tallyloom.schemas import PROJECTS
 from tallyloom.sources.tables import read_dataset, write_dataset
@@ -80,6 +83,66 @@ def test_splits_share_no_document(spark, table, tmp_path):
     assert gate.agg(F.sum("n_records")).first()[0] == records.count()
 
 
+def test_verdicts_belong_to_rows(spark):
+    good, other = "x" * 60, "y" * 60
+    frame = docs(spark, [(1, good, 60), (1, "short", 5), (None, other, 60), (2, good, 60), (3, "z" * 60, 59), (1, good, 60), (None, good, 60)])
+    records = rows(D.dataset_records(frame), "record_id", "doc_id", "split", "text")
+    assert records == sorted([("1-0", 1, "train", good), ("1-0", 1, "train", good), (None, None, "train", other), (None, None, "train", good)], key=repr)
+    assert rows(D.min_samples_gate(frame, 4)) == [("s", 4, "ok")]
+    assert rows(D.document_verdicts(frame), "doc_id", "verdict") == sorted([
+        (1, "ok"), (1, "too_short"), (None, "ok"), (2, "duplicate"), (3, "length_mismatch"), (1, "ok"), (None, "ok")], key=repr)
+
+
+def test_listed_rows_go_as_in_an_anti_join(spark, monkeypatch):
+    frame = spark.range(3000).selectExpr("nullif(id % 700, 3) as k", "'t' || id % 5 as t", "id", "id as _spot", "1 as _row")
+    listed = spark.range(0, 500, 3).selectExpr("id as k", "'t' || id % 5 as t").unionByName(spark.createDataFrame([(None, "t3")], "k long, t string"))
+    for bits in (joins.BITS, 1 << 15, 8):  # few bits: many rows are doubtful
+        monkeypatch.setattr(joins, "BITS", bits)
+        left = joins.without_listed(frame.drop("_spot", "_row"), listed, ["k", "t"])
+        assert rows(left) == rows(frame.drop("_spot", "_row").join(listed, ["k", "t"], "left_anti").select("k", "t", "id"))
+
+
+def test_texts_of_good_rows_are_not_shuffled(spark, table):
+    """Of the two branches over the texts, the one whose rows pass has no exchange but the bitmap's."""
+    plan = D._good(table)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if line.startswith(":- "))
+    passing = [line for line in plan[at:] if line.startswith(":")]
+    narrow = next(i for i, line in enumerate(passing) if "bitmap_construct_agg" in line)
+    assert any("FileScan" in line and "text" in line for line in passing[:narrow])
+    assert not any("Exchange" in line or "SortMergeJoin" in line for line in passing[:narrow])
+
+
+@pytest.mark.parametrize("size, overlap", [(10, 2), (10, 0), (7, 6), (9, 5), (1, 0)])
+def test_chunks_equal_substrings(spark, size, overlap):
+    texts = ["é\U0001f642b\n" * 13, "a" * 50, "ab\u0301" * 9 + "\r\n", "xy", "z" * size, "z" * (size + 1)]
+    got = {(r.doc_id, r.chunk): (r.start, r.text) for r in D.document_chunks(docs(spark, [(i, t, 0) for i, t in enumerate(texts)]), size, overlap).collect()}
+    step = size - overlap
+    assert got == {(i, k): (k * step, t[k * step:k * step + size]) for i, t in enumerate(texts)
+                   for k in range(-(-max(len(t) - overlap, 1) // step))}
+
+
+@given(st.lists(st.sampled_from(["a", " ", "&", ";", "&amp;", "&lt", "&eacute;", "&Eacute;", "&NotEqualTilde;", "&bogus;", "&#233;", "&#x41;", "&#X1F642;",
+                                 "&#150;", "&#0;", "&#xD800;", "&#1114112;", "&#;", "&;", "é"]), max_size=12).map("".join))
+@settings(max_examples=25, deadline=None)
+def test_references_equal_the_library(spark, text):
+    import html
+    import re
+    want = re.sub(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);",
+                  lambda m: m[0] if m[0][1] != "#" and m[0][1:] not in html.entities.html5 else html.unescape(m[0]), text)
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(decode_references(F.col("t"))).first()[0] == want
+
+
+def test_chat_samples_of_odd_turns(spark):
+    turns = [(1, None, "u", f"n{k}") for k in range(20)] + [(1, k, "u", f"t{k}") for k in range(-7, 5)] + [(1, 2, "u", "t2")] * 9 + [(None, 1, None, None)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    samples = sorted((r for r in D.chat_samples(frame).collect() if r.conv_id), key=lambda r: r.part)
+    assert [r.n_turns for r in samples] == [8, 8, 8, 8, 8, 1] and [r.part for r in samples] == list(range(6))
+    said = [(x["turn"], x["text"]) for r in samples for x in json.loads(r.sample)]
+    assert [t for t, _ in said] == [None] * 20 + sorted(t for _, t, _, _ in turns[20:-1])
+    assert sorted(map(repr, said)) == sorted(repr((t, x)) for _, t, _, x in turns[:-1])
+
+
 def test_chat_samples_keep_every_turn(spark):
     turns = [(1, t, "user" if t % 2 == 0 else "bot", f"say {t}") for t in range(19)] + [(2, 0, "user", None), (2, 0, "user", 'q"')]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
