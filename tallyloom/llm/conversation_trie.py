@@ -46,7 +46,7 @@ def turn_digests(conversations: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256)
     bare = conversations.where("conv_id is not null").select(
         "conv_id", "turn", digest.alias("digest"), F.char_length(text).cast("long").alias("points"))
-    return split_rank(cut_lineage(bare), ["conv_id"], {"turn": False, "digest": False}, "n").select("conv_id", "n", "digest", "points")
+    return split_rank(bare, ["conv_id"], {"turn": False, "digest": False}, "n").select("conv_id", "n", "digest", "points")
 
 
 def with_shared_heads(turns: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
