@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from tallyloom.llm import arrays
 from tallyloom.llm.components import components
 from tallyloom.llm.near_dups import shingle_sets
 from tallyloom.llm.shipping import shipped
-from tallyloom.operators.joins import attach
+from tallyloom.operators.joins import attach, may_be_listed
 from tallyloom.session import cut_lineage
 
 WORDS, PERCENT = 4, 85
@@ -49,6 +50,8 @@ WORDS, PERCENT = 4, 85
 DEALT = 2
 # Bytes of text per part of the dealt shingles, shingles per slice, and sets and shingles per trie.
 PART, SLICE, BLOCK, TOKENS = 24 << 20, 1 << 21, 512, 1 << 21
+# Stands for the documents of a shingle that a slice has more than once.
+NOBODY = (1 << 32) - 1
 _U = np.uint64
 
 
@@ -68,35 +71,36 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealing(parts: int):
-    """Shingles by part: ``part, docs, runs, hashes``; what a slice of documents repeats is settled there (part -1)."""
+    """Shingles by part: ``part, slice, ids, docs, counts, hashes``. Part -1 holds a slice's document ids, and how many
+    of each document's shingles the slice has more than once."""
 
-    def work(ids: list[np.ndarray], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def work(number: int, ids: list[np.ndarray], held: list[np.ndarray]) -> pa.RecordBatch:
         doc_ids, sizes = np.concatenate(ids), np.array([len(s) for s in held], np.int64)
         hashes, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
         order = np.argsort(hashes)
         hashes, owner = hashes[order], owner[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        alone = new & np.concatenate([new[1:], [True]])
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])[:len(hashes)]
+        alone = new & np.concatenate([new[1:], [True]])[:len(hashes)]
         here = np.bincount(owner[~alone], minlength=len(held))
         some = np.flatnonzero(here)
-        # A repeated shingle goes out once, without a document to count it for.
-        hashes, owner = hashes[new], np.where(alone[new], owner[new], -1)
+        # A repeated shingle goes out once, for no document.
+        hashes, owner = hashes[new], np.where(alone[new], owner[new], NOBODY)
         part = ((hashes >> _U(32)) % _U(parts)).astype(np.int64)
         order = np.lexsort((owner, part))
         part, owner, low = part[order], owner[order], (hashes[order] & _U(0xFFFFFFFF)).astype("<u4")
-        run = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(owner, prepend=-2) != 0))
+        run = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
         lengths = np.diff(np.append(run, len(owner))).astype("<u4")
-        docs = np.where(owner[run] < 0, np.iinfo(np.int64).min, doc_ids[owner[run]])
+        docs = owner[run].astype("<u4")
         cuts = np.flatnonzero(np.diff(part[run], prepend=-1))
-        ends = np.append(cuts[1:], len(run))
-        tops = np.append(run, len(owner))
-        rows = [(int(part[run[a]]), docs[a:b].tobytes(), lengths[a:b].tobytes(), low[tops[a]:tops[b]].tobytes()) for a, b in zip(cuts, ends)]
-        rows.append((-1, doc_ids[some].tobytes(), here[some].astype("<u4").tobytes(), b""))
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                              names=["part", "docs", "runs", "hashes"])
+        ends, tops = np.append(cuts[1:], len(run)), np.append(run, len(owner))
+        rows = [(int(part[run[a]]), number, b"", docs[a:b].tobytes(), lengths[a:b].tobytes(), low[tops[a]:tops[b]].tobytes())
+                for a, b in zip(cuts, ends)]
+        rows.append((-1, number, doc_ids.tobytes(), some.astype("<u4").tobytes(), here[some].astype("<u4").tobytes(), b""))
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))],
+                               names=["part", "slice", "ids", "docs", "counts", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = [], [], 0
+        number, ids, held, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_numpy()
             for row, sets in shingle_sets(batch.column(1), WORDS):
@@ -105,49 +109,86 @@ def _dealing(parts: int):
                 held += own
                 size += sum(map(len, own))
                 if size >= SLICE:
-                    yield from work(ids, held)
-                    ids, held, size = [], [], 0
+                    yield work(number, ids, held)
+                    number, ids, held, size = number + 1, [], [], 0
         if size:
-            yield from work(ids, held)
+            yield work(number, ids, held)
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part: how many of each document's shingles stand in another slice, too."""
-
-    def work(part: int, rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        docs = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-        runs = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64)
-        if part < 0:
-            return pa.record_batch([pa.array(docs), pa.array(runs)], names=["doc_id", "shared"])
-        hashes = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
-        owner = np.repeat(np.arange(len(docs)), runs)
+    """Rows come sorted by part: how many of each document's shingles stand in another slice, too; a row per slice."""
+
+    def work(rows: list[tuple]) -> pa.RecordBatch:
+        hashes = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows])
         order = np.argsort(hashes, kind="stable")
         same = hashes[order][1:] == hashes[order][:-1]
-        many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        counts = np.bincount(owner[order[many]], minlength=len(docs))
-        some = np.flatnonzero((counts > 0) & (docs != np.iinfo(np.int64).min))
-        return pa.record_batch([pa.array(docs[some]), pa.array(counts[some].astype(np.int64))], names=["doc_id", "shared"])
+        many = np.zeros(len(hashes), bool)
+        many[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        out, at = [], 0
+        for number, _, docs, counts, own in rows:
+            docs, counts = np.frombuffer(docs, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
+            held = np.add.reduceat(many[at:at + len(own) // 4].astype(np.int64), np.cumsum(counts) - counts)
+            at += len(own) // 4
+            some = (held > 0) & (docs != NOBODY)
+            if some.any():
+                out.append((number, b"", docs[some].tobytes(), held[some].astype("<u4").tobytes()))
+        return made(out)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * 4
+        return pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), *[pa.binary()] * 3))],
+                               names=["slice", "ids", "docs", "counts"])
 
     held, rows = None, []
     for batch in batches:
         for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if part != held or part < 0 and len(rows) > 1000:
-                if rows:
-                    yield work(held, rows)
-                held, rows = part, []
+            if part < 0:
+                yield made([row[:4]])
+                continue
+            if part != held and rows:
+                yield work(rows)
+                rows = []
+            held = part
+            rows.append(row)
+    if rows:
+        yield work(rows)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by slice: what all parts found of its documents."""
+
+    def work(rows: list[tuple]) -> pa.RecordBatch:
+        ids = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
+        total = np.zeros(len(ids), np.int64)
+        for _, docs, counts in rows:
+            np.add.at(total, np.frombuffer(docs, "<u4"), np.frombuffer(counts, "<u4"))
+        some = np.flatnonzero(total)
+        return pa.record_batch([pa.array(ids[some]), pa.array(total[some])], names=["doc_id", "shared"])
+
+    held, rows = None, []
+    for batch in batches:
+        for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != held and rows:
+                yield work(rows)
+                rows = []
+            held = number
             rows.append(row)
     if rows:
-        yield work(held, rows)
+        yield work(rows)
 
 
 def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, shared``: of its dealt shingles those that another document may have; none are left out as 0."""
-    dealt = docs.mapInArrow(_dealing(parts), "part int, docs binary, runs binary, hashes binary")
-    # What is settled within a slice needs no common task.
-    spread = F.when(F.col("part") < 0, F.rand(1)).otherwise(0)
-    together = dealt.repartition("part", spread).sortWithinPartitions("part")
-    return together.mapInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    """``doc_id, shared``: of its dealt shingles those that another document may have; none are left out as 0.
+
+    A row per slice and part goes to the part and back to the slice."""
+    dealt = docs.mapInArrow(_dealing(parts), "part int, slice long, ids binary, docs binary, counts binary, hashes binary")
+    # What a slice says of itself needs no common task.
+    spread = F.when(F.col("part") < 0, F.col("slice")).otherwise(0)
+    found = dealt.repartition("part", spread).sortWithinPartitions("part").mapInArrow(
+        _shared, "slice long, ids binary, docs binary, counts binary")
+    return found.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, "doc_id long, shared long").groupBy(
+        "doc_id").agg(F.sum("shared").alias("shared"))
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,8 +393,9 @@ def similar_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
     open_ = nodes.join(counts.withColumnRenamed("doc_id", "node"), "node", "left").where(
         F.coalesce("shared", F.lit(0)) > F.col("spare")).select("node")
     open_ = cut_lineage(open_)
-    packed = known.mapInArrow(_compressed, "doc_id long, text binary")
-    wanted = packed.join(open_.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
+    open_ = open_.withColumnRenamed("node", "doc_id")
+    packed = may_be_listed(known, open_, ["doc_id"]).mapInArrow(_compressed, "doc_id long, text binary")
+    wanted = packed.join(open_.hint("merge"), "doc_id", "left_semi")
     sets = wanted.select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>").where(F.size("shingles") > 0)
     sets = cut_lineage(sets.withColumn("n", F.size("shingles").cast("long"))).withColumn("sid", F.monotonically_increasing_id())
 
