@@ -5,13 +5,13 @@ Chunk factorization keeps the number of rows far below the number of words:
 1. Tasks count white-space chunks per document, A-Z lower-cased, a slice of documents at a time, and write one row per
    language and distinct chunk of the slice: the number of documents, the documents themselves as long as they are fewer
    than ``at_least``, and the occurrences in each source.
-2. Rows are shuffled by chunk once, into a bucketed table. Each globally distinct chunk is tokenized once, and its terms
-   get the chunk's documents per language. A term's documents lie between the largest number of one of its chunks and their
+2. Rows are brought together by chunk, each globally distinct chunk is tokenized once, and its terms get the
+   chunk's documents per language. A term's documents lie between the largest number of one of its chunks and their
    sum. Where that does not settle whether there are ``at_least``, every chunk has fewer, so the
    documents are at hand: they are joined and counted without repetition.
-3. The chunks that hold a kept term (a vocabulary, far smaller than the rows) are joined back to the bucketed rows,
-   which stay where they are, and give occurrences per language, source and term. A chunk has at most one row per
-   slice and language, so none is too much for its bucket.
+3. The chunks that hold a kept term are joined back to the rows of step 1, which gives occurrences per
+   language, source and term. A bitmap of fixed size first drops the rows of other chunks where they are; what is left is
+   summed per language, source and chunk before the join.
 4. Counts become smoothed shares in billionths, by integer arithmetic. All pairs of sources are compared in tasks
    that hold a slice of a language's terms and two blocks of its sources; partial sums are added up.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import arrays
 from tallyloom.llm.shipping import shipped
-from tallyloom.operators.joins import attach
+from tallyloom.operators.joins import attach, may_be_listed
 from tallyloom.session import cut_lineage, remove_folder, shared_folder
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -232,13 +232,10 @@ def divergence(documents: DataFrame, at_least: int = 30, top: int = 50, text_col
     lang, source = (F.coalesce(F.col(c), F.lit("")) for c in (lang_column, source_column))
     own = shipped(documents).select(lang.alias("lang"), source.alias("source"), F.col(text_column).alias("text"))
     names = written(own.select("lang", "source").distinct(), "groups")
-    # Bucketed by chunk alone: all rows of a chunk, of all languages, are in one bucket.
-    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"chunks_{uuid.uuid4().hex}"
-    chunk_counts(own, at_least).repartition(parts, "chunk").write.option("path", os.path.join(folder, "chunks")).bucketBy(
-        parts, "chunk").saveAsTable(name)
-    counted = spark.table(name)
+    counted = written(chunk_counts(own, at_least), "chunks")
 
-    met = counted.groupBy("chunk", "lang").agg(F.sum("n_docs").alias("n_docs"))
+    # By chunk alone, so that all languages of a chunk meet and it is tokenized once.
+    met = counted.select("chunk", "lang", "n_docs").repartition("chunk").groupBy("chunk", "lang").agg(F.sum("n_docs").alias("n_docs"))
     met = met.groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("langs"))
     met = met.withColumn("terms", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).select(
         "chunk", "langs", F.explode(F.array_distinct("terms")).alias("term"), "terms")
@@ -249,19 +246,20 @@ def divergence(documents: DataFrame, at_least: int = 30, top: int = 50, text_col
     # Documents per language: settled by bounds, or counted.
     bounds = placed.groupBy("lang", "term").agg(F.max("n_docs").alias("low"), F.sum("n_docs").alias("high"))
     bounds = written(bounds.where(F.col("high") >= at_least).select("lang", "term", (F.col("low") < at_least).alias("open")), "bounds")
-    held = F.collect_list(F.struct("lang", "term", "times", "open")).alias("held")
-    wanted = written(attach(placed, bounds, ["lang", "term"], "inner").groupBy("chunk").agg(held), "wanted")
-    open_ = wanted.select("chunk", F.filter("held", lambda t: t["open"]).alias("held")).where(F.size("held") > 0)
-    members = counted.where(F.col("n_docs") < at_least).select("lang", "chunk", "slice", "docs").join(open_, "chunk")
-    pairs = members.select("lang", "slice", F.explode("held").alias("t"), "docs").where(F.col("t.lang") == F.col("lang")).select(
-        "lang", "t.term", "slice", F.explode("docs").alias("doc")).distinct()
+    key, held = ["lang", "chunk"], F.collect_list(F.struct("term", "times", "open")).alias("held")
+    wanted = written(attach(placed, bounds, ["lang", "term"], "inner").groupBy(*key).agg(held), "wanted")
+    open_ = wanted.select(*key, F.filter("held", lambda t: t["open"])["term"].alias("terms")).where(F.size("terms") > 0)
+    few = may_be_listed(counted.where(F.col("n_docs") < at_least).select(*key, "slice", "docs"), open_, key)
+    pairs = attach(few, open_, key, "inner").select("lang", "slice", F.explode("terms").alias("term"), "docs").select(
+        "lang", "term", "slice", F.explode("docs").alias("doc")).distinct()
     reached = pairs.groupBy("lang", "term").count().where(F.col("count") >= at_least)
     kept = written(bounds.where("not open").select("lang", "term").unionByName(reached.select("lang", "term")), "kept")
 
-    found = counted.select("lang", "chunk", "sources", "counts").join(wanted, "chunk")
-    found = found.select("lang", F.explode("held").alias("t"), "sources", "counts").where(F.col("t.lang") == F.col("lang")).select(
-        "lang", "t.term", "t.times", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
-    counts = found.groupBy("lang", F.col("s.sources").alias("source"), "term").agg(F.sum(F.col("s.counts") * F.col("times")).alias("n"))
+    found = may_be_listed(counted.select(*key, "sources", "counts"), wanted, key).select(
+        *key, F.explode(F.arrays_zip("sources", "counts")).alias("s"))
+    found = found.groupBy(*key, F.col("s.sources").alias("source")).agg(F.sum("s.counts").alias("n"))
+    counts = attach(found, wanted, key, "inner").select("lang", "source", "n", F.explode("held").alias("t")).groupBy(
+        "lang", "source", F.col("t.term").alias("term")).agg(F.sum(F.col("n") * F.col("t.times")).alias("n"))
     counts = written(attach(counts, kept, ["lang", "term"], "left_semi"), "counts")
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
     by_lang = whole.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_lang").alias("total_lang"))
@@ -281,7 +279,6 @@ def divergence(documents: DataFrame, at_least: int = 30, top: int = 50, text_col
                                           (F.col("p") - F.col("q")).alias("value"))
     marked = marked.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     result = cut_lineage(far.unionByName(marked))
-    spark.sql(f"drop table {name}")
     remove_folder(spark, folder)
     return result
 
