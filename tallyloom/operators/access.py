@@ -9,17 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import tokens as T
+from tallyloom.operators.joins import attach
+from tallyloom.operators.lookup import AMBIGUOUS, counted
 
 
 def _resolve(claims: DataFrame, users: DataFrame, early: Column, late: Column) -> DataFrame:
-    """``early`` decides without the user or is NULL; only the undecided rows are joined.
+    """``early`` decides without the user or is NULL; only the undecided rows are joined. A ``sub`` that several
+    users have is a 500.
 
     So rows without ``sub`` do not meet in one partition on a NULL key.
     """
     judged = claims.withColumn("_early", early)
     decided = judged.where("_early is not null").select(*claims.columns, F.col("_early").alias("code"))
-    known = users.select(F.col("id").alias("sub"), F.coalesce("is_active", F.lit(False)).alias("_active"))
-    asked = judged.where("_early is null").drop("_early").join(known, "sub", "left")
+    known = counted(users.select(F.col("id").alias("sub"), F.coalesce("is_active", F.lit(False)).alias("_flag")), ["sub"], {"_flag": "_active"})
+    asked = attach(judged.where("_early is null").drop("_early"), known, ["sub"], "left")
+    late = F.when(F.col("_n") > 1, AMBIGUOUS).otherwise(late)
     return decided.unionByName(asked.select(*claims.columns, late.alias("code"))).withColumn(
         "code", F.col("code").cast("bigint"))
 

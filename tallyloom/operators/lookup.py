@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
@@ -33,6 +33,20 @@ def lookup_at_most_one(requests: DataFrame, table: DataFrame, on: Sequence[str],
     return _answers(attach(requests, hits, list(on), "left"), requests, fields)
 
 
+def counted(table: DataFrame, on: Sequence[str], fields: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per key with ``_n``, how many rows of the table have it, and some of their fields under other names."""
+    return table.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(name) for c, name in (fields or {}).items()))
+
+
+# Fixed value: the code of a request that names several rows where one is meant.
+AMBIGUOUS = 500
+
+
+def guarded(missing: int, found: Column) -> Column:
+    """Status code of a request attached to ``counted``: what names no row, several, or one."""
+    return F.when(F.col("_n").isNull(), missing).when(F.col("_n") > 1, AMBIGUOUS).otherwise(found).cast("bigint")
+
+
 def project_lookup(requests: DataFrame, projects: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Projects by id and owner. A foreign project looks the same as a missing one."""
     return lookup_at_most_one(requests, projects.withColumnRenamed("id", "project_id"), ["project_id", "user_id"], fields)
@@ -89,15 +103,14 @@ UPLOAD_SECONDS = 3600
 def upload_keys(requests: DataFrame, projects: DataFrame) -> DataFrame:
     """Key and status code per upload request (project_id, user_id, folder, filename).
 
-    404 unless the user owns the project; signing the address is left to the caller.
+    404 unless the user owns the project, 500 if several rows have its id; signing the address is left to the caller.
     """
-    owned = projects.select(F.col("id").alias("project_id"), "user_id").withColumn("_owned", F.lit(True))
-    hit = F.col("_owned").isNotNull()
+    pair = ["project_id", "user_id"]
+    hit = F.col("_n") == 1
     key = K.object_key(F.col("user_id"), F.col("project_id"), F.col("folder"), F.col("filename"))
-    return requests.join(owned, ["project_id", "user_id"], "left").select(
+    return attach(requests, counted(projects.withColumnRenamed("id", "project_id"), pair), pair, "left").select(
         *requests.columns, F.when(hit, key).alias("r2_key"),
-        F.when(hit, F.lit(UPLOAD_SECONDS)).cast("bigint").alias("expires_in"),
-        F.when(hit, 200).otherwise(404).cast("bigint").alias("code"))
+        F.when(hit, F.lit(UPLOAD_SECONDS)).cast("bigint").alias("expires_in"), guarded(404, F.lit(200)).alias("code"))
 
 
 def object_key_parts(listing: DataFrame, key: str = "key") -> DataFrame:
@@ -111,15 +124,14 @@ def object_key_parts(listing: DataFrame, key: str = "key") -> DataFrame:
 
 
 def download_key_audit(requests: DataFrame, projects: DataFrame) -> DataFrame:
-    """Status code per download request (project_id, user_id, r2_key): 404 before 403 before 200.
+    """Status code per download request (project_id, user_id, r2_key): 404 before 500 (several rows) before 403 before 200.
 
     The ids must occur somewhere in the key; a prefix is not asked for.
     """
-    owned = projects.select(F.col("id").alias("project_id"), "user_id").withColumn("_owned", F.lit(True))
+    pair = ["project_id", "user_id"]
     inside = F.col("r2_key").contains(F.col("user_id")) & F.col("r2_key").contains(F.col("project_id"))
-    code = F.when(F.col("_owned").isNull(), 404).when(~inside, 403).otherwise(200)
-    return (requests.join(owned, ["project_id", "user_id"], "left")
-            .select(*requests.columns, code.cast("bigint").alias("code")))
+    return attach(requests, counted(projects.withColumnRenamed("id", "project_id"), pair), pair, "left").select(
+        *requests.columns, guarded(404, F.when(~inside, 403).otherwise(200)).alias("code"))
 
 
 def object_listing_outcomes(requests: DataFrame, projects: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import keys as K
 from tallyloom.functions import rules as R
 from tallyloom.operators.joins import attach
+from tallyloom.operators.lookup import counted, guarded
 from tallyloom.operators.ranking import split_rank
 from tallyloom.schemas import MAX_LENGTH
 from tallyloom.session import cut_lineage
@@ -27,7 +28,7 @@ from tallyloom.session import cut_lineage
 CODES = {
     "created": 201, "ok": 200, "noop": 200, "deleted": 204, "not_found": 404, "unprocessable": 422,
     "error_null_metadata": 500, "error_not_null": 500, "error_too_long": 500, "email_conflict": 500,
-    "incomplete": 400, "inserted": 200, "updated": 200, "superseded": 200,
+    "ambiguous": 500, "incomplete": 400, "inserted": 200, "updated": 200, "superseded": 200,
 }
 
 
@@ -58,6 +59,11 @@ def invalid(code: Column) -> Column:
     return F.concat(F.lit("invalid:"), code)
 
 
+def _meant(requests: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct targets of requests that name exactly one row."""
+    return requests.select(*keys).distinct().join(known.where("_n = 1").select(*keys), keys)
+
+
 # --- creating projects -------------------------------------------------------------------------
 
 def project_create(projects: DataFrame, requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -89,30 +95,74 @@ def project_create(projects: DataFrame, requests: DataFrame, as_of: Column) -> t
 
 def _judge_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profiles with what can be told about each alone (``_verdict``, NULL if it may apply)."""
-    known = users.select(
-        F.col("google_id").alias("sub"), F.lit(True).alias("_known"),
-        F.col("email").alias("_email"), F.col("full_name").alias("_name"), F.col("avatar_url").alias("_avatar"))
-    # An email is held by somebody else if its smallest or its largest holder is not oneself.
-    holders = users.groupBy("email").agg(
-        F.min("google_id").alias("_holder"), F.max("google_id").alias("_last_holder"))
-    own = F.col("_known").isNotNull()
-    kept_email = own & F.col("email").eqNullSafe(F.col("_email"))
-    taken = (F.col("_holder") != F.col("sub")) | (F.col("_last_holder") != F.col("sub"))
+    known = counted(users.withColumnRenamed("google_id", "sub"), ["sub"], {
+        "email": "_email", "full_name": "_name", "avatar_url": "_avatar"})
+    own = F.col("_n").isNotNull()
     incomplete = R.is_blank(F.col("sub")) | R.is_blank(F.col("email"))
     verdict = (F.when(incomplete, "incomplete")
+               .when(F.col("_n") > 1, "ambiguous")
                .when(F.col("name").isNull(), "error_not_null")
-               .when(too_long("users", {"google_id": "sub", "email": "email", "full_name": "name"}), "error_too_long")
-               .when(~kept_email & F.coalesce(taken, F.lit(False)), "email_conflict"))
-    judged = (attach(profiles.join(known, "sub", "left"), holders, ["email"], "left")
-              .withColumn("_own", own).withColumn("_kept_email", kept_email)
-              .withColumn("_verdict", verdict)
-              .select(*profiles.columns, "_own", "_kept_email", "_email", "_name", "_avatar", "_verdict"))
-    # A new email goes to the account that brings it first; before anything is folded, the others clash.
-    claims = (judged.where("_verdict is null and not _kept_email").groupBy("email")
-              .agg(F.min(F.struct("seq", "sub")).alias("_claim")))
-    clash = F.col("_verdict").isNull() & ~F.col("_kept_email") & (F.col("_claim.sub") != F.col("sub"))
-    return (attach(judged, claims, ["email"], "left")
-            .withColumn("_verdict", F.when(clash, "email_conflict").otherwise(F.col("_verdict"))).select(*judged.columns))
+               .when(too_long("users", {"google_id": "sub", "email": "email", "full_name": "name"}), "error_too_long"))
+    judged = attach(profiles, known, ["sub"], "left").withColumn("_own", own).withColumn("_verdict", verdict).select(
+        *profiles.columns, "_own", "_email", "_name", "_avatar", "_verdict")
+    return judged
+
+
+# When a holder from before the batch came to its email, and when one that keeps it will leave it.
+ALWAYS, NEVER = -1 << 62, 1 << 62
+
+
+def _email_conflicts(users: DataFrame, judged: DataFrame) -> DataFrame:
+    """``seq, sub, email`` of profiles whose email another account holds when their turn comes.
+
+    Emails are taken and released in order of ``seq``. Only emails that several accounts bring or hold are looked at, and
+    they all at once, in rounds. A round knows of each email its holder and since when, and finds the
+    holder's first later profile with another email that is not refused. Other accounts' profiles before that
+    are refused, the holder's own are accepted; if that profile is accepted, the email is free from then on and goes to
+    the first profile after it. What comes behind an undecided profile waits. The earliest undecided profile is
+    decided in every round, so the rounds end; as many are needed as an email changes hands in a chain.
+    """
+    claims = judged.where("_verdict is null").select("seq", "sub", "email")
+    held = users.where("email is not null").select("email", F.col("google_id").alias("sub"))
+    both = claims.select("email", "sub").unionByName(held).groupBy("email").agg(
+        F.min("sub").alias("_one"), F.max("sub").alias("_other")).where("_one <> _other").select("email")
+    owners = attach(held, both, ["email"], "left_semi").groupBy("email").agg(
+        F.min("sub").alias("holder"), F.max("sub").alias("_last"))
+    # An email that several accounts had before the batch is nobody's to take.
+    shared = owners.where("holder <> _last").select("email", F.lit(True).alias("_shared"))
+    contested = attach(claims, both, ["email"], "left_semi")
+    open_ = attach(contested, shared, ["email"], "left")
+    refused = open_.where("_shared").join(held.withColumnRenamed("email", "_own"), "sub", "left").where(
+        ~F.col("email").eqNullSafe(F.col("_own"))).select("seq", "sub", "email")
+    open_ = cut_lineage(open_.where("_shared is null").select("seq", "sub", "email", F.lit(None).cast("boolean").alias("ok")))
+    if open_.isEmpty():
+        return refused
+    # All other profiles of the accounts that take part: they release emails, and are accepted.
+    involved = open_.select("sub").unionByName(owners.select(F.col("holder").alias("sub"))).distinct()
+    others = attach(claims, involved, ["sub"], "left_semi").join(open_.select("seq"), "seq", "left_anti").join(
+        refused.select("seq"), "seq", "left_anti")
+    moves = cut_lineage(open_.unionByName(others.withColumn("ok", F.lit(True))))
+    state = cut_lineage(open_.select("email").distinct().join(owners.where("holder = _last").drop("_last"), "email", "left")
+                        .withColumn("since", F.lit(ALWAYS)))
+    while not moves.where("ok is null").isEmpty():
+        later = moves.where("coalesce(ok, true)").withColumnRenamed("email", "_to").join(
+            state.where("holder is not null").withColumnRenamed("holder", "sub"), "sub")
+        leaves = later.where("seq > since and _to <> email").groupBy("email").agg(F.min(F.struct("seq", "ok")).alias("_leave"))
+        now = state.join(leaves, "email", "left").withColumn("until", F.coalesce("_leave.seq", F.lit(NEVER))).withColumn(
+            "freed", F.col("holder").isNull() | F.coalesce("_leave.ok", F.lit(False)))
+        seen = attach(moves.where("ok is null"), now.select("email", "holder", "until", "freed", "since"), ["email"], "inner")
+        before = F.col("holder").isNotNull() & (F.col("seq") < F.col("until"))
+        seen = cut_lineage(seen.withColumn("ok", F.when(before, F.col("sub") == F.col("holder"))))
+        first = seen.where("ok is null and freed").groupBy("email").agg(F.min(F.struct("seq", "sub")).alias("_first"))
+        freed_at = F.when(F.col("holder").isNull(), F.col("since")).otherwise(F.col("until"))
+        state = cut_lineage(now.join(first, "email", "left").select(
+            "email", F.when(~F.col("freed"), F.col("holder")).otherwise(F.col("_first.sub")).alias("holder"),
+            F.when(~F.col("freed"), F.col("since")).otherwise(F.coalesce("_first.seq", freed_at)).alias("since")))
+        taken = first.select(F.col("_first.seq").alias("seq"), F.lit(True).alias("_taken"))
+        decided = seen.select("seq", "ok").join(taken, "seq", "left").select("seq", F.coalesce("_taken", "ok").alias("_ok"))
+        moves = cut_lineage(moves.join(decided, "seq", "left").select(
+            "seq", "sub", "email", F.coalesce("ok", "_ok").alias("ok")))
+    return refused.unionByName(moves.where("not ok").select("seq", "sub", "email"))
 
 
 def _settle_profiles(judged: DataFrame) -> DataFrame:
@@ -131,10 +181,13 @@ def user_upsert(users: DataFrame, profiles: DataFrame, as_of: Column) -> tuple[D
 
     A known user takes email, name and avatar (even NULL) from the profile and is not
     reactivated; an unchanged one keeps ``updated_at``. Profiles that would break the unique
-    email are left out. Emails are compared with those held before the batch.
+    email when their turn comes are left out: an email that its holder left earlier in the batch is free.
+    ``seq`` is unique.
     """
     # The new table and the outcomes both start from the judged profiles.
-    judged = cut_lineage(_judge_profiles(users, profiles))
+    alone = cut_lineage(_judge_profiles(users, profiles))
+    clashes = _email_conflicts(users, alone).select("seq", F.lit("email_conflict").alias("_clash"))
+    judged = cut_lineage(alone.join(clashes, "seq", "left").withColumn("_verdict", F.coalesce("_verdict", "_clash")).drop("_clash"))
     settled = _settle_profiles(judged)
 
     change = settled.where("outcome = 'updated'").select(
@@ -300,16 +353,15 @@ def project_delete(projects: DataFrame, files: DataFrame, requests: DataFrame
 
 
 def user_deactivate(users: DataFrame, requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Requests: seq, user_id. The row stays, inactive; an unknown user is a 400."""
-    asked = requests.select(F.col("user_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
+    """Requests: seq, user_id. The row stays, inactive; an unknown user is a 400, an id of several users a 500."""
+    known = counted(users.withColumnRenamed("id", "user_id"), ["user_id"])
+    asked = _meant(requests, known, ["user_id"]).withColumnRenamed("user_id", "id").withColumn("_hit", F.lit(True))
     hit = F.col("_hit").isNotNull()
     changed = hit & ~F.col("is_active").eqNullSafe(F.lit(False))
     table = _replace(users.join(asked, "id", "left"), users.columns, {
         "is_active": F.when(hit, F.lit(False)).otherwise(F.col("is_active")),
         "updated_at": F.when(changed, as_of).otherwise(F.col("updated_at"))})
-    known = users.select(F.col("id").alias("user_id")).withColumn("_known", F.lit(True))
-    code = F.when(F.col("_known").isNull(), 400).otherwise(204)
-    outcomes = requests.join(known, "user_id", "left").select("seq", "user_id", code.cast("bigint").alias("code"))
+    outcomes = attach(requests, known, ["user_id"], "left").select("seq", "user_id", guarded(400, F.lit(204)).alias("code"))
     return table, outcomes
 
 
@@ -347,16 +399,15 @@ def delete_manifest(listing: DataFrame, requests: DataFrame, batch_size: int = 1
 # --- starting runs -----------------------------------------------------------------------------
 
 def run_transition(projects: DataFrame, requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Requests: seq, project_id, user_id. Owned projects become ``processing``, whatever they were."""
+    """Requests: seq, project_id, user_id. Owned projects become ``processing``, whatever they were; a request that
+    names several rows is a 500 and changes none."""
     keys = ["project_id", "user_id"]
-    asked = (requests.select(F.col("project_id").alias("id"), "user_id").distinct()
-             .withColumn("_hit", F.lit(True)))
+    known = counted(projects.withColumnRenamed("id", "project_id"), keys)
+    asked = _meant(requests, known, keys).withColumnRenamed("project_id", "id").withColumn("_hit", F.lit(True))
     hit = F.col("_hit").isNotNull()
     changed = hit & ~F.col("status").eqNullSafe(F.lit("processing"))
     table = _replace(projects.join(asked, ["id", "user_id"], "left"), projects.columns, {
         "status": F.when(hit, F.lit("processing")).otherwise(F.col("status")),
         "updated_at": F.when(changed, as_of).otherwise(F.col("updated_at"))})
-    known = projects.select(F.col("id").alias("project_id"), "user_id").withColumn("_known", F.lit(True))
-    code = F.when(F.col("_known").isNull(), 404).otherwise(200)
-    outcomes = requests.join(known, keys, "left").select("seq", *keys, code.cast("bigint").alias("code"))
+    outcomes = attach(requests, known, keys, "left").select("seq", *keys, guarded(404, F.lit(200)).alias("code"))
     return table, outcomes

@@ -32,8 +32,8 @@ def list_folder(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Listing (key, size, last_modified) of the files below ``root/prefix``.
 
     Contents are not read. The driver plans the listing, and Spark's file sources pass over empty
-    files and names that start with ``_`` or ``.``, so this is for a look at one prefix; for whole
-    stores and for deleting use ``read_inventory``, which is complete and read by tasks.
+    files and names that start with ``_`` or ``.``, so this is for a look at one prefix; ``listing.list_prefixes`` is
+    complete and done by tasks, and ``read_inventory`` reads what a store lists itself.
     """
     root = root.removeprefix("file://").rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root + prefix)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyloom.schemas import STEP_RESULTS, TABLES
 
@@ -26,19 +29,60 @@ def write_table(frame: DataFrame, path: str, partition_by: list[str] | None = No
     writer.parquet(path)
 
 
-def write_dataset(records: DataFrame, path: str) -> None:
-    """Generated records, one folder per split, so that a reader of one split sees no file of the other."""
-    write_table(records, path, partition_by=["split"])
+# Records per file of a dataset.
+RECORDS = 1_000_000
+FORMATS = ("parquet", "json")
+
 
+def write_dataset(records: DataFrame, path: str, formats: Sequence[str] = FORMATS, records_per_file: int = RECORDS) -> None:
+    """Generated records as Parquet and JSON lines, in ``<path>/<format>/split=<split>``.
 
-def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    Adaptive execution deals the rows so that a task holds rows of one split, as many as make a good file, and cuts a
+    split that is larger; so files follow the number of records, not that of the tasks that made them. The records are
+    computed once: further formats are written from the first.
+    """
+    unknown = [f for f in formats if f not in FORMATS]
+    if unknown or not formats or records_per_file < 1:
+        raise ValueError(f"formats must be of {FORMATS} and records_per_file at least 1, got {list(formats)}, {records_per_file}")
+    for number, kind in enumerate(formats):
+        own = records if number == 0 else read_dataset(records.sparkSession, path, schema=records.schema, kind=formats[0])
+        writer = own.hint("rebalance", F.col("split")).write.mode("errorifexists").partitionBy("split").option(
+            "maxRecordsPerFile", records_per_file)
+        if kind == "json":
+            # NULL fields stay, so that every line has every field.
+            writer = writer.option("ignoreNullFields", "false")
+        writer.format(kind).save(f"{path}/{kind}")
+
+
+def read_dataset(spark: SparkSession, path: str, split: str | None = None, kind: str = "parquet",
+                 schema: StructType | None = None) -> DataFrame:
     """All records, or those of one split, whose folder alone is read."""
-    records = spark.read.parquet(path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    records = reader.format(kind).load(f"{path}/{kind}")
     return records if split is None else records.where(F.col("split") == split)
 
 
-def read_step_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STEP_RESULTS).json(path)
+def parse_step_results(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Step results and rejects from ``value``, one JSON text per row; other columns go along with the rejects.
+
+    Each row is in exactly one of both. Rejected are texts that are no JSON object, or whose fields have no value of their
+    type: nothing becomes a NULL result without a word. A field that is absent or null is NULL.
+    """
+    wanted = StructType([*STEP_RESULTS.fields, StructField("_rejected", StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected"}
+    parsed = lines.withColumn("_parsed", F.from_json("value", wanted, options))
+    # The parser ignores what follows a value. It cannot be both in an array and in an object if more than a value is there.
+    listed, named = (F.try_parse_json(F.concat(F.lit(a), "value", F.lit(b))) for a, b in ("[]", ('{"v":', "}")))
+    whole = (F.schema_of_variant(F.try_variant_get(listed, "$[0]", "variant")).startswith("OBJECT")
+             & F.try_variant_get(listed, "$[1]", "variant").isNull() & named.isNotNull())
+    good = F.coalesce(whole & F.col("_parsed").isNotNull() & F.col("_parsed._rejected").isNull(), F.lit(False))
+    return (parsed.where(good).select(*(F.col(f"_parsed.{f.name}").alias(f.name) for f in STEP_RESULTS.fields)),
+            parsed.where(~good).select(*lines.columns))
+
+
+def read_step_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Step results and rejects (``value``, and the ``file`` it is from) of JSON lines."""
+    return parse_step_results(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
 
 
 def write_step_results(results: DataFrame, path: str) -> None:

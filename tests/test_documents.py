@@ -75,7 +75,7 @@ def test_splits_share_no_document(spark, table, tmp_path):
     assert records.groupBy("doc_id").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
     assert records.select("record_id").distinct().count() == records.count()
     write_dataset(records, f"{tmp_path}/set")
-    assert sorted(p.name for p in (tmp_path / "set").iterdir() if p.is_dir()) == ["split=train", "split=val"]
+    assert sorted(p.name for p in (tmp_path / "set" / "parquet").iterdir() if p.is_dir()) == ["split=train", "split=val"]
     val = read_dataset(spark, f"{tmp_path}/set", "val")
     assert val.count() == records.where("split = 'val'").count() > 0
     assert read_dataset(spark, f"{tmp_path}/set").count() == records.count()

@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 
 from tallyloom import schemas, session
-from tallyloom.sources import objects, tables
+from tallyloom.sources import listing, objects, tables
 
 
 def test_create_and_drop_tables(spark, tmp_path):
@@ -40,12 +40,78 @@ def test_step_results_as_json(spark, tmp_path):
         [("p1", "chunk_data", "success", dt.datetime(2024, 1, 1, 10)), ("p2", "fine_tune", None, None)], schemas.STEP_RESULTS)
     tables.write_step_results(results, f"{tmp_path}/r")
     tables.write_step_results(results, f"{tmp_path}/r")
-    back = tables.read_step_results(spark, f"{tmp_path}/r")
+    back, rejects = tables.read_step_results(spark, f"{tmp_path}/r")
+    assert rejects.isEmpty()
     assert back.schema.fieldNames() == schemas.STEP_RESULTS.fieldNames()
     assert rows(back.distinct()) == rows(results)
     assert back.count() == 4
 
 
+def test_every_line_is_a_result_or_a_reject(spark, tmp_path):
+    good = ['{"project_id":"p1","step":"s","status":"success","ts":"2024-01-01T10:00:00Z"}', '{"step":null,"extra":[1]}', "{}", ' {"step":"a\\nb"} ']
+    bad = ["", "  ", "null", "5", '"x"', "[]", '[{"step":"s"}]', '{"step":"s"', '{"step":"s"} tail', '{"ts":"no time"}', '{"ts":{"a":1}}', "no json", '{}] x', '{}} x', "{}, {}", '{},"w":{}']
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text("\n".join(good + bad) + "\n")
+    (tmp_path / "lines" / "b.json").write_text("\n".join(good[:1] + bad[-1:]))
+    results, rejects = tables.read_step_results(spark, f"{tmp_path}/lines")
+    assert sorted(r.value for r in rejects.collect()) == sorted(bad + bad[-1:])
+    assert {r.file.rsplit("/", 1)[1] for r in rejects.collect()} == {"a.json", "b.json"}
+    assert sorted(map(repr, (tuple(r)[:3] for r in results.collect()))) == sorted(map(repr, [
+        ("p1", "s", "success"), ("p1", "s", "success"), (None, None, None), (None, None, None), (None, "a\nb", None)]))
+
+
+def test_dataset_in_both_formats(spark, tmp_path):
+    records = spark.range(0, 5000, 1, 16).selectExpr(
+        "concat(id, '-0') as record_id", "id as doc_id", "id % 3 as chunk", "if(id % 10 = 0, 'val', 'train') as split",
+        "if(id % 7 = 0, null, 'é ' || id) as text")
+    tables.write_dataset(records, f"{tmp_path}/set", records_per_file=1000)
+    for kind in tables.FORMATS:
+        back = tables.read_dataset(spark, f"{tmp_path}/set", kind=kind, schema=records.schema)
+        assert rows(back, *records.columns) == rows(records)
+        assert tables.read_dataset(spark, f"{tmp_path}/set", "val", kind, records.schema).count() == 500
+        files = {split: len(list((tmp_path / "set" / kind / f"split={split}").glob("part-*"))) for split in ("train", "val")}
+        assert files == {"train": 5, "val": 1}
+    lines = "".join(p.read_text() for p in (tmp_path / "set" / "json").rglob("part-*")).splitlines()
+    assert len(lines) == 5000 and all('"text":' in line for line in lines)
+    with pytest.raises(ValueError, match="formats"):
+        tables.write_dataset(records, f"{tmp_path}/other", formats=["csv"])
+
+
+def made_tree(folder):
+    for name, text in [("u1/projects/p1/Data/a b.txt", "12345"), ("u1/projects/p1/Data/_hidden", "1"), ("u1/projects/p1/Data/.dot/x", "12"),
+                       ("u1/projects/p1/Data/empty", ""), ("u1/projects/p10/Data/é", "ü"), ("u2/projects/p2/Data/sub/deep/d", "1"), ("top", "")]:
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    return sorted((str(p.relative_to(folder)), p.stat().st_size) for p in folder.rglob("*") if p.is_file())
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_listing_by_tasks_equals_a_walk(spark, tmp_path, scheme):
+    every = made_tree(tmp_path)
+    root = f"{scheme}{tmp_path}"
+    whole = listing.list_prefixes(spark, root)
+    assert rows(whole, "key", "size") == every
+    assert whole.where("last_modified is null or last_modified > current_timestamp()").isEmpty()
+    prefixes = ["u1/projects/p1", "u1/projects/p1/Data/", "u2/", "none/", "to"]
+    some = listing.list_prefixes(spark, root, prefixes)
+    assert rows(some, "key", "size") == [x for x in every if x[0].startswith(tuple(prefixes))]
+    assert some.rdd.getNumPartitions() == 4  # the inner prefix is listed with the outer one
+    requests = spark.createDataFrame([("u1", "p1", None), ("u1", "p1", "Data"), ("u2", "p2", "Data"), ("u2", None, "x"), ("u3", "p", "q")],
+                                     "user_id string, project_id string, folder string")
+    found = listing.list_requested(requests, root)
+    assert rows(found, "key", "size") == [x for x in every if x[0].startswith(("u1/projects/p1/Data/", "u2/"))]
+
+
+def test_the_driver_lists_nothing(spark, tmp_path):
+    """A root that does not exist yet: planning does not look at it, reading does."""
+    listed = listing.list_prefixes(spark, f"{tmp_path}/later")
+    assert listed.schema.simpleString() == "struct<key:string,size:bigint,last_modified:timestamp>"
+    (tmp_path / "later").mkdir()
+    every = made_tree(tmp_path / "later")
+    assert rows(listed, "key", "size") == every
+
+
 @pytest.mark.parametrize("parts", [1, 2, 7, 16])
 def test_uuid_ranges_cover_every_row_once(spark, parts):
     ids = spark.range(500).selectExpr("lower(concat(left(md5(cast(id as string)), 8), '-aaaa-4aaa-8aaa-', left(md5(cast(id as string)), 12))) as id")

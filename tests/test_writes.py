@@ -1,12 +1,13 @@
 """Merges on hand-written rows."""
 
 import datetime as dt
+from random import Random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tallyloom.operators import audits, merges
+from tallyloom.operators import access, audits, lookup, merges
 from tallyloom.schemas import PROJECT_FILES, PROJECTS, USERS
 
 OLD, NEW = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
@@ -240,3 +241,68 @@ def test_delete_manifest(spark):
     assert manifest.where("batch = 1").agg(F.min("key")).first()[0].endswith("/01000")
     with pytest.raises(ValueError):
         merges.delete_manifest(listing, asked, 0)
+
+
+def in_turn(users, profiles):
+    """Emails and refused profiles if profiles are taken one after the other."""
+    held, refused = dict(users), set()
+    for seq, sub, email in sorted(profiles):
+        if any(other != sub and own == email for other, own in held.items()):
+            refused.add(seq)
+        else:
+            held[sub] = email
+    return held, refused
+
+
+@pytest.mark.parametrize("seed, many", [(0, 4), (1, 9), (2, 25), (3, 40)])
+def test_emails_change_hands_as_in_turn(spark, seed, many):
+    random = Random(seed)
+    known = [(f"g{i}", f"e{i}") for i in range(4)]
+    profiles = [(k, f"g{random.randrange(7)}", f"e{random.randrange(6)}") for k in range(many)]
+    if seed == 0:  # a chain of releases
+        profiles = [(0, "g0", "new"), (1, "g1", "e0"), (2, "g2", "e1"), (3, "g3", "e2"), (4, "g9", "e3"), (5, "g0", "e3"), (6, "g8", "new")]
+    users = spark.createDataFrame([(f"u{g}", e, "n", None, g, True, None, None) for g, e in known], USERS)
+    frame = spark.createDataFrame([(k, g, e, "n", None, f"n{g}") for k, g, e in profiles],
+                                  "seq long, sub string, email string, name string, picture string, new_id string")
+    table, outcomes = merges.user_upsert(users, frame, F.lit("2024-02-01").cast("timestamp_ntz"))
+    held, refused = in_turn(known, profiles)
+    assert {r.google_id: r.email for r in table.collect()} == held
+    assert {r.seq for r in outcomes.where("outcome = 'email_conflict'").collect()} == refused
+
+
+def test_an_email_that_was_shared_before_goes_to_nobody(spark):
+    users = spark.createDataFrame([("u1", "e", "n", None, "g1", True, None, None), ("u2", "e", "n", None, "g2", True, None, None)], USERS)
+    frame = spark.createDataFrame([(1, "g1", "e", "x", None, None), (2, "g3", "e", "x", None, "u3"), (3, "g2", "f", "x", None, None)],
+                                  "seq long, sub string, email string, name string, picture string, new_id string")
+    table, outcomes = merges.user_upsert(users, frame, F.lit("2024-02-01").cast("timestamp_ntz"))
+    assert rows(outcomes, "seq", "outcome") == [(1, "updated"), (2, "email_conflict"), (3, "updated")]
+    assert rows(table, "google_id", "email") == [("g1", "e"), ("g2", "f")]
+
+
+def test_repeated_ids_are_ambiguous_once(spark):
+    """Requests that name several rows get one outcome each and change nothing."""
+    users = spark.createDataFrame([user(1), user(1), user(2), user(3, active=False)], USERS)
+    twice = spark.createDataFrame([project(1), project(1), project(2)], PROJECTS)
+    requests = spark.createDataFrame([(1, "p1", "u1"), (2, "p2", "u1"), (3, "p1", "u9"), (4, "p1", "u1")], "seq long, project_id string, user_id string")
+    table, outcomes = merges.run_transition(twice, requests, as_of())
+    assert rows(outcomes, "seq", "code") == [(1, 500), (2, 200), (3, 404), (4, 500)]
+    assert rows(table, "id", "status") == [("p1", "created"), ("p1", "created"), ("p2", "processing")]
+    gone = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u9")], "seq long, user_id string")
+    table, outcomes = merges.user_deactivate(users, gone, as_of())
+    assert rows(outcomes, "seq", "code") == [(1, 500), (2, 204), (3, 400)]
+    assert rows(table, "id", "is_active") == [("u1", True), ("u1", True), ("u2", False), ("u3", False)]
+    files = requests.selectExpr("project_id", "user_id", "'Data' as folder", "'f' as filename", "concat(user_id, '/', project_id) as r2_key")
+    uploads = lookup.upload_keys(files.drop("r2_key"), twice)
+    assert [r.code for r in uploads.orderBy("project_id", "user_id").collect()] == [500, 500, 404, 200]
+    assert uploads.where("code <> 200 and r2_key is not null").isEmpty()
+    assert [r.code for r in lookup.download_key_audit(files, twice).orderBy("project_id", "user_id").collect()] == [500, 500, 404, 200]
+    claims = spark.createDataFrame([(1, "u1", "access", False), (2, "u2", "access", False), (3, "u3", "access", False), (4, "u4", "access", False)],
+                                   "event_id long, sub string, token_type string, expired boolean")
+    assert rows(access.access_outcomes(claims, users), "event_id", "code") == [(1, 500), (2, 200), (3, 400), (4, 401)]
+    refresh = claims.withColumn("token_type", F.lit("refresh"))
+    assert rows(access.refresh_outcomes(refresh, users), "event_id", "code") == [(1, 500), (2, 200), (3, 401), (4, 401)]
+    profiles = spark.createDataFrame([(1, "g1", "new", "n", None, None), (2, "g2", "m2", "n", None, None)],
+                                     "seq long, sub string, email string, name string, picture string, new_id string")
+    table, outcomes = merges.user_upsert(users, profiles, as_of())
+    assert rows(outcomes, "seq", "outcome", "code") == [(1, "ambiguous", 500), (2, "updated", 200)]
+    assert table.count() == 4
