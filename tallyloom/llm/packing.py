@@ -2,15 +2,18 @@
 
 Every document becomes its tokens and one closing id; only longer ones are cut, into full pieces and a
 rest. The histogram of piece lengths (at most ``capacity`` numbers, whatever the data) is all that the
-driver needs. There a configuration linear program is treated: how often to use each way of filling a
-sequence, so that all lengths are covered by the fewest sequences. Multiplicative weights hold a price
-per length, which starts at the share of a sequence that the length takes and falls with how much of its
-demand is covered; each round prices configurations with a knapsack dynamic program over the
-capacity and takes a small fractional step over near-optimal ones. The sum of the steps is rounded down, and what is
-left goes, longest first, into the sequence with the least room that still fits it. With few lengths the steps
-cover all demand; with hundreds of lengths the rounds end before that and most pieces are left to best fit, so
-whole multiples of nearly full configurations and best fit alone are tried too, and the plan with the fewest
-sequences is taken.
+driver needs. There a configuration linear program is solved: how often to use each way of filling a
+sequence, so that all lengths are covered by the fewest sequences.
+
+* More than ``GROUPS`` lengths are grouped: the smallest pieces, with ``FILL`` of the tokens, are set aside, the others form
+  groups of about equal ratio, and each counts as long as the longest of its group.
+* Multiplicative weights hold a price per group, which starts at the share of a sequence that it takes and falls with how
+  much of its demand is covered. Each round prices configurations with a knapsack dynamic program over the
+  capacity and takes a small fractional step over near-optimal ones, until all demand is covered. The sum of
+  the steps is the fractional solution; prices also bound the optimum from below.
+* It is rounded down; what that leaves is solved and rounded again, while that places pieces.
+* Real pieces go into the slots of their group, longest first. What room that leaves, and what is left of the demand, is the
+  matter of best fit: the pieces set aside, longest first, into the sequence with the least room that still fits them.
 
 The plan says for runs of pieces of one length, numbered over all data, which sequences and offsets
 they get. Numbering needs no group in one task: a piece's number is its place within its partition plus
@@ -44,12 +47,15 @@ from tallyloom.llm.shipping import shipped
 from tallyloom.llm.token_counts import holding
 from tallyloom.session import cut_lineage
 
-# Words that a Python process remembers, some 200 bytes each.
-REMEMBERED = 300_000
-# Least and most pricing rounds, lengths times rounds, and the sum of the rounds' largest gains of coverage.
-ROUNDS, WORK, STEPS = (60, 400), 60_000, 6.0
-# Configurations per round and how near to the best, how fast prices fall with coverage, and their jitter.
-PER_ROUND, NEAR, RATE, JITTER = 500, 0.02, 4.0, 0.002
+# Words that a Python process remembers, some 50 bytes each, and the places of the table that finds them.
+REMEMBERED, TABLE = 300_000, 1 << 21
+# Lengths that the program has, and the share of tokens, in the smallest pieces, that is set aside where there are more.
+GROUPS, FILL = 192, 0.042
+# The largest gain of coverage of a round; how near to the best its configurations are, how fast prices fall with
+# coverage, and their jitter.
+STEP, NEAR, RATE, JITTER = 0.05, 0.02, 4.0, 0.002
+# Solutions and roundings of what the one before left, and the largest gain of a round after the first.
+REPEATS, LATER = 8, 0.2
 
 
 class Words:
@@ -70,29 +76,52 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        # An open table of hashes: a word stands at its hash or soon behind.
+        self.keys, self.held = np.zeros(TABLE, np.uint64), np.full(TABLE, -1, np.int64)
+        self.many = 0
         self.flat, self.first, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
         self.sizes = np.zeros(0, np.int64)
 
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots, -1 for hashes that are not in the table."""
+        at = (hashes & np.uint64(TABLE - 1)).astype(np.int64)
+        slots = np.where(self.keys[at] == hashes, self.held[at], -1)
+        open_ = np.flatnonzero((slots < 0) & (self.held[at] >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (TABLE - 1)
+            here = at[open_]
+            same = self.keys[here] == hashes[open_]
+            slots[open_[same]] = self.held[here[same]]
+            open_ = open_[~same & (self.held[here] >= 0)]
+        return slots
+
     def look_up(self, hashes: np.ndarray, word: Callable[[int], bytes]) -> np.ndarray:
-        """Slots of distinct hashes; ``word(i)`` gives the bytes of the i-th."""
-        if len(self.slots) > REMEMBERED:
+        """Slots of words' hashes; ``word(i)`` gives the bytes of the i-th."""
+        if self.many > REMEMBERED:
             self.clear()
-        slots = [self.slots.get(h, -1) for h in hashes.tolist()]
-        new = [i for i, slot in enumerate(slots) if slot < 0]
-        if new:
-            lists = [e.ids for e in self.tokenizer.encode_batch([word(i).decode("utf-8") for i in new], add_special_tokens=False)]
-            for i, _ in zip(new, lists):
-                slots[i] = self.slots[int(hashes[i])] = len(self.slots)
-            sizes = np.array([len(x) for x in lists], np.int64)
-            ids = np.fromiter((x for ids in lists for x in ids), np.uint32, int(sizes.sum()))
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.first = np.concatenate([[0], np.cumsum(self.sizes)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-        return np.array(slots, np.int64)
+        slots = self._known(hashes)
+        new = np.flatnonzero(slots < 0)
+        if not len(new):
+            return slots
+        fresh, where, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+        # A chunk brings fewer new words than the table has room for.
+        lists = [e.ids for e in self.tokenizer.encode_batch([word(i).decode("utf-8") for i in new[where].tolist()], add_special_tokens=False)]
+        for number, hash_ in enumerate(fresh.tolist(), self.many):
+            at = hash_ & (TABLE - 1)
+            while self.held[at] >= 0:
+                at = (at + 1) & (TABLE - 1)
+            self.keys[at], self.held[at] = hash_, number
+        slots[new] = self.many + inverse
+        self.many += len(fresh)
+        sizes = np.array([len(x) for x in lists], np.int64)
+        ids = np.fromiter((x for ids in lists for x in ids), np.uint32, int(sizes.sum()))
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        return slots
 
     def ids_of(self, slots: np.ndarray) -> np.ndarray:
         """The ids of a sequence of words."""
@@ -124,8 +153,7 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.
         starts, ends, hashes = pretokens.pieces(data, offsets, words.tables)
         solid = pretokens.kinds()[_first_points(data, starts)] != pretokens.WHITE_WHITE
         starts, ends, hashes = starts[solid], ends[solid], hashes[solid]
-        known, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = words.look_up(known, lambda i: data[starts[where[i]]:ends[where[i]]].tobytes())[inverse]
+        slots = words.look_up(hashes, lambda i: data[starts[i]:ends[i]].tobytes())
         ids = words.ids_of(slots)
         sums = np.concatenate([[0], np.cumsum(words.sizes[slots])])
         places = sums[np.searchsorted(starts, offsets)]
@@ -179,146 +207,162 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int, closing: int = 1,
                           f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack over all capacities: the best value, and the length to take there (0: leave one place empty).
+class Knapsack:
+    """The most valuable filling of every capacity, each size as often as it fits."""
 
-    ``values[n]`` is the price of length n; only lengths with a price above 0 are taken.
-    """
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    sizes = np.flatnonzero(values > 0)
-    prices = values[sizes]
-    for room in range(1, capacity + 1):
-        fits = np.searchsorted(sizes, room, "right")
-        best[room] = best[room - 1]
-        if fits:
-            worth = best[room - sizes[:fits]] + prices[:fits]
-            i = int(worth.argmax())
-            if worth[i] > best[room]:
-                best[room], take[room] = worth[i], sizes[i]
-    return best, take
-
-
-def fractional(counts: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
-    """A fractional solution of the configuration program, and a lower bound of its optimum.
+    def __init__(self, sizes: np.ndarray, prices: np.ndarray, capacity: int):
+        self.sizes, self.best = sizes, np.zeros(capacity + 1)
+        # A size one, two, four times and so on makes every number of times.
+        self.items = [(j, 1 << k) for j, size in enumerate(sizes.tolist()) for k in range((capacity // size).bit_length())
+                      if size << k <= capacity]
+        self.taken = np.zeros((len(self.items), capacity + 1), bool)
+        for i, (j, times) in enumerate(self.items):
+            size = int(sizes[j]) * times
+            other = self.best[:-size] + prices[j] * times
+            np.greater(other, self.best[size:], out=self.taken[i, size:])
+            self.best = np.concatenate([self.best[:size], np.maximum(other, self.best[size:])])
+
+    def filling(self, room: int) -> dict[int, int]:
+        """How many of each size (by position) fill the room best."""
+        out: dict[int, int] = {}
+        above = len(self.items)
+        while above:
+            held = np.flatnonzero(self.taken[:above, room])
+            if not len(held):
+                break
+            above = int(held[-1])
+            j, times = self.items[above]
+            out[j] = out.get(j, 0) + times
+            room -= int(self.sizes[j]) * times
+        return out
+
+
+Configuration = tuple[tuple[int, int], ...]
+
+
+def fractional(counts: np.ndarray, capacity: int, step: float = STEP) -> tuple[dict[Configuration, float], float]:
+    """A fractional solution of the configuration program that covers all demand, and a lower bound of the optimum.
 
     ``counts[n]`` pieces have length n. Keys are configurations: sorted pairs of a length and how many pieces of it.
     """
-    sizes, demand = np.arange(len(counts)), np.maximum(counts, 1)
-    covered, jitter = np.zeros(len(counts)), np.random.RandomState(1)
-    used: dict[tuple[tuple[int, int], ...], float] = {}
-    bound = float((sizes * counts).sum() / capacity)
-    # A round's work grows with the number of lengths; few lengths get more and smaller steps.
-    rounds = int(np.clip(WORK // max(np.count_nonzero(counts), 1), *ROUNDS))
-    step = STEPS / rounds
-    for _ in range(rounds):
-        open_ = np.flatnonzero((counts > 0) & (covered < 1))
-        if not len(open_):
-            break
+    sizes = np.flatnonzero(counts)
+    sizes = sizes[sizes > 0]
+    demand, covered, jitter = counts[sizes].astype(np.float64), np.zeros(len(sizes)), np.random.RandomState(1)
+    used: dict[Configuration, float] = {}
+    bound = float((sizes * demand).sum() / capacity)
+    while (covered < 1 - 1e-9).any():
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
         # Without the jitter, lengths with equal coverage tie and every configuration ends in the same few.
-        values = np.zeros(len(counts))
-        values[open_] = open_ / capacity * np.exp(-RATE * covered[open_]) * (1 + JITTER * jitter.random_sample(len(open_)))
-        best, take = price(values, capacity)
+        prices = sizes[open_] / capacity * np.exp(-RATE * covered[open_]) * (1 + JITTER * jitter.random_sample(len(open_)))
+        sack = Knapsack(sizes[open_], prices, capacity)
         # Prices under which no configuration is worth more than 1 bound the number of sequences from below.
-        bound = max(bound, float((values * counts).sum() / best[capacity]))
-        # The best configuration with a given length in it; those nearly as good as the best of all are used.
-        worth = values[open_] + best[capacity - open_]
-        order = np.lexsort((-open_, -worth))
-        good = order[worth[order] >= (1 - NEAR) * worth.max()][:PER_ROUND]
-        chosen: dict[tuple[tuple[int, int], ...], float] = {}
-        gain = np.zeros(len(counts))
-        for length in open_[good]:
-            config, room = {int(length): 1}, capacity - int(length)
-            while room > 0:
-                if take[room]:
-                    config[int(take[room])] = config.get(int(take[room]), 0) + 1
-                    room -= int(take[room])
-                else:
-                    room -= 1
-            key = tuple(sorted(config.items()))
-            if key not in chosen:
-                chosen[key] = min(demand[n] / k for n, k in key)
-                for n, k in key:
-                    gain[n] += k * chosen[key] / demand[n]
-        part = step / gain.max()
-        for key, times in chosen.items():
-            used[key] = used.get(key, 0.0) + part * times
-        covered += part * gain
+        bound = max(bound, float((prices * demand[open_]).sum() / sack.best[capacity]))
+        # The best configuration with a given length in it. Those nearly as good as the best of all are used, best first, as
+        # far as no length gains more than a step.
+        worth = prices + sack.best[capacity - sizes[open_]]
+        gain, most = np.zeros(len(open_)), np.minimum(step, 1 - covered[open_])
+        near = np.flatnonzero(worth >= (1 - NEAR) * worth.max())
+        for own in near[np.argsort(-worth[near], kind="stable")].tolist():
+            if gain[own] >= most[own]:
+                continue
+            config = sack.filling(capacity - int(sizes[open_[own]]))
+            config[own] = config.get(own, 0) + 1
+            times = min((most[j] - gain[j]) * demand[open_[j]] / k for j, k in config.items())
+            if times <= 0:
+                continue
+            for j, k in config.items():
+                gain[j] += k * times / demand[open_[j]]
+            real = tuple(sorted((int(sizes[open_[j]]), k) for j, k in config.items()))
+            used[real] = used.get(real, 0.0) + times
+        covered[open_] += gain
     return used, bound
 
 
-def configurations(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """Configurations (pieces of each length) with how often each is used, and the counts left over.
+def rounded(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Configurations with how often each is used, a whole number, and the counts left over.
 
-    ``counts[n]`` pieces have length n. The fractional solution is rounded down; what a configuration loses is carried
-    on to the next.
+    The fractional solution is rounded down; what a configuration loses is carried on to the next. What is left then is
+    a smaller program.
     """
-    left = counts.astype(np.int64).copy()
-    chosen: list[tuple[dict[int, int], int]] = []
-    if not counts.any():
-        return chosen, left
-    used, _ = fractional(counts, capacity)
-    carried = 0.0
-    for key, times in sorted(used.items(), key=lambda u: (-u[1], u[0])):
-        carried += times
-        whole = int(min(carried + 1e-6, *(left[n] // k for n, k in key)))
-        carried = min(carried - whole, 1.0)
-        if whole > 0:
-            for n, k in key:
-                left[n] -= k * whole
-            chosen.append((dict(key), whole))
+    left, chosen = counts.astype(np.int64).copy(), []
+    for repeat in range(REPEATS):
+        if not left.any():
+            break
+        carried, placed = 0.0, 0
+        used, _ = fractional(left, capacity, LATER if repeat else STEP)
+        for key, times in sorted(used.items(), key=lambda u: (-u[1], u[0])):
+            carried += times
+            whole = int(min(carried + 1e-6, *(left[n] // k for n, k in key)))
+            carried = min(carried - whole, 1.0)
+            if whole > 0:
+                for n, k in key:
+                    left[n] -= k * whole
+                chosen.append((dict(key), whole))
+                placed += whole
+        if not placed:
+            break
     return chosen, left
 
 
-def greedy(counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """The same by exhausting nearly full configurations one after the other, for histograms of many lengths."""
+def grouped(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every length the one that it counts as, 0 if it is set aside; and the counts by that."""
+    lengths = np.flatnonzero(counts)
+    stands = np.zeros(len(counts), np.int64)
+    if len(lengths) <= GROUPS:
+        stands[lengths] = lengths
+    else:
+        tokens = np.cumsum(lengths * counts[lengths])
+        lengths = lengths[tokens > FILL * tokens[-1]]
+        ratio = (lengths[-1] / lengths[0]) ** (1 / GROUPS)
+        top = lengths[-1]
+        for length in lengths[::-1]:
+            if length * ratio < top:
+                top = length
+            stands[length] = top
+    return stands, np.bincount(stands, counts, len(counts)).astype(np.int64) * (np.arange(len(counts)) > 0)
+
+
+def _slots(chosen: list[tuple[dict[int, int], int]], counts: np.ndarray, stands: np.ndarray
+           ) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """The configurations with real lengths in place of their groups' longest, and the counts left over."""
     left = counts.astype(np.int64).copy()
-    chosen: list[tuple[dict[int, int], int]] = []
-    sizes = np.arange(len(counts))
-    demand = np.maximum(counts, 1)
-    jitter = np.random.RandomState(1)
-    for _ in range(ROUNDS[0]):
-        # A length of which less than one sequence is left is part of what rounding leaves over.
-        enough = sizes * left >= capacity
-        if not enough.any():
-            break
-        covered = 1 - left / demand
-        # Without the jitter, lengths with equal coverage tie and every configuration ends in the same few.
-        values = np.where(enough, sizes / capacity * np.exp(-covered) * (1 + JITTER * jitter.random_sample(len(sizes))), 0.0)
-        best, take = price(values, capacity)
-        # The best configuration with a given length in it; those nearly as good as the best of all are used.
-        open_ = np.flatnonzero(enough)
-        worth = values[open_] + best[capacity - open_]
-        order = np.lexsort((-open_, -worth))
-        good = order[worth[order] >= 0.95 * worth.max()][:PER_ROUND]
-        used = 0
-        for length in open_[good]:
-            config, room = {int(length): 1}, capacity - int(length)
-            while room > 0:
-                if take[room]:
-                    config[int(take[room])] = config.get(int(take[room]), 0) + 1
-                    room -= int(take[room])
-                else:
-                    room -= 1
-            times = min(left[n] // k for n, k in config.items())
-            filled = sum(n * k for n, k in config.items())
-            if times and filled >= 0.995 * capacity:
-                for n, k in config.items():
-                    left[n] -= k * times
-                chosen.append((config, int(times)))
-                used += 1
-        if not used:
-            break
-    return chosen, left
+    waiting = {int(top): [int(n) for n in np.flatnonzero((stands == top) & (counts > 0))] for top in np.unique(stands[stands > 0])}
+    out = []
+    for config, times in chosen:
+        slots = [top for top, k in config.items() for _ in range(k)]
+        while times:
+            # As many sequences as can have the same lengths in all their slots.
+            content: dict[int, int] = {}
+            taken = {}
+            for top in slots:
+                own = waiting[top]
+                at = len(own) - 1
+                while left[own[at]] - taken.get(own[at], 0) <= 0:
+                    at -= 1
+                taken[own[at]] = taken.get(own[at], 0) + 1
+                content[own[at]] = content.get(own[at], 0) + 1
+            many = min([times, *(int(left[n]) // k for n, k in content.items())])
+            for n, k in content.items():
+                left[n] -= k * many
+            for top in set(slots):
+                while waiting[top] and not left[waiting[top][-1]]:
+                    waiting[top].pop()
+            out.append((content, many))
+            times -= many
+    return out, left
 
 
 def pack(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Runs of pieces and the number of sequences: of the rounded program, ``greedy`` and best fit alone what needs fewest.
+    """Runs of pieces and the number of sequences.
 
     A run (one row: length, first number, pieces, first sequence, pieces per sequence, offset) says where the
     pieces of one length with these numbers go.
     """
-    plans = [configurations(counts, capacity), greedy(counts, capacity), ([], counts.astype(np.int64).copy())]
-    return min((_filled(counts, capacity, *plan) for plan in plans), key=lambda plan: plan[1])
+    counts = counts.astype(np.int64).copy()
+    counts[0] = 0
+    stands, demand = grouped(counts)
+    chosen, left = _slots(rounded(demand, capacity)[0], counts, stands)
+    return _filled(counts, capacity, chosen, left)
 
 
 def _filled(counts: np.ndarray, capacity: int, chosen: list[tuple[dict[int, int], int]], left: np.ndarray) -> tuple[np.ndarray, int]:

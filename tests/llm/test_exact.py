@@ -234,6 +234,60 @@ def test_few_lengths_reach_the_program_bound():
     assert bound - 1e-6 <= sequences <= 905 and runs[:, 2].sum() == counts.sum()
 
 
+def test_many_lengths_are_covered_by_the_program():
+    """A real histogram: the fractional solution covers all, and best fit gets at most a twentieth of the tokens."""
+    random = np.random.RandomState(2)
+    counts = np.bincount(np.clip(random.lognormal(5.5, 1.1, 8000).astype(int), 1, 4096), minlength=4097)
+    stands, demand = packing.grouped(counts)
+    assert np.count_nonzero(demand) <= packing.GROUPS + 1 and (stands[stands > 0] >= np.flatnonzero(stands)).all()
+    used, bound = packing.fractional(demand, 4096)
+    covered = np.zeros(4097)
+    for config, times in used.items():
+        for n, k in config:
+            covered[n] += k * times
+    assert (covered >= demand - 1e-6).all() and sum(used.values()) <= 1.01 * bound
+    chosen, left = packing._slots(packing.rounded(demand, 4096)[0], counts, stands)
+    tokens = (counts * np.arange(4097)).sum()
+    assert (left * np.arange(4097)).sum() <= 0.06 * tokens
+    assert packing.pack(counts, 4096)[1] <= 1.01 * -(-tokens // 4096)
+
+
+@given(st.lists(st.tuples(st.integers(1, 30), st.floats(0.01, 1)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.integers(0, 40))
+@settings(max_examples=40, deadline=None)
+def test_knapsack_equals_plain_recursion(items, room):
+    sizes, prices = np.array([i[0] for i in items]), np.array([i[1] for i in items])
+    best = [0.0] * 41
+    for r in range(1, 41):
+        best[r] = max([best[r - 1], *(best[r - s] + p for s, p in items if s <= r)])
+    sack = packing.Knapsack(sizes, prices, 40)
+    content = sack.filling(room)
+    assert sum(int(sizes[j]) * k for j, k in content.items()) <= room
+    assert abs(sum(prices[j] * k for j, k in content.items()) - best[room]) < 1e-9
+
+
+def thue_morse(length):
+    text = "a"
+    while len(text) < length:
+        text += text.translate({97: 98, 98: 97})
+    return text, text.translate({97: 98, 98: 97})
+
+
+def test_texts_that_collide_under_polynomial_hashes(spark, documents):
+    """Words, and sequences of words, for which a polynomial modulo a power of two has equal hashes."""
+    from tokenizers import Tokenizer
+    texts = [t for n in (1024, 2048) for t in thue_morse(n)]
+    texts += [" ".join({"a": "yes", "b": "no"}[c] for c in t) for t in thue_morse(1024)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        want = [e.ids for e in Tokenizer.from_file(tokenizer_file(name)).encode_batch(texts, add_special_tokens=False)]
+        if name.startswith("byte"):
+            assert [n for _, _, c in token_counts.counts_of(pa.array(texts), tokenizer_file(name)) for n in c] == [len(w) for w in want]
+        else:
+            assert [ids[a:b].tolist() for _, ids, at in packing.token_ids(pa.array(texts), tokenizer_file(name)) for a, b in zip(at[:-1], at[1:])] == want
+    padded = [f"one two three four {t}" for t in texts[:4]]
+    for _, sets in near_dups.shingle_sets(pa.array(padded + texts[:4])):
+        assert len({s.tobytes() for s in sets}) == len(sets)
+
+
 def test_packed_documents(spark, documents):
     path = tokenizer_file("word_bpe_49k.json")
     rows = odd_rows() + [(1, "again"), (None, "no id"), (99, "word " * 9000)]
