@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, near_dups, packing, pseudonyms, toxicity
 from tallyloom.llm.columns import table
-from tallyloom.llm.queries import PII_KEY, tokenizer_file
+from tallyloom.llm.queries import pii_key, tokenizer_file
 from tallyloom.session import shared_folder
 
 # Documents with at least this probability of being toxic go.
@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts; a text keeps its number of characters."""
-    return pseudonyms.pseudonymise(docs, PII_KEY)
+    return pseudonyms.pseudonymise(docs, pii_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,15 +28,17 @@ def attach(many: DataFrame, one: DataFrame, keys: list[str], how: str) -> DataFr
 BITS, ROW_BITS = 1 << 26, 1 << 15
 
 
-def _doubtful(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``_maybe``: whether their keys hash to a bit that a listed key sets."""
-    spot = F.pmod(F.xxhash64(*keys), F.lit(BITS)).cast("int")
-    bitmap = listed.select(spot.alias("_spot")).groupBy(F.expr(f"_spot div {ROW_BITS}").alias("_row")).agg(
-        F.bitmap_construct_agg(F.col("_spot") % ROW_BITS).alias("_bits"))
-    byte = F.conv(F.hex(F.substr("_bits", F.expr(f"_spot % {ROW_BITS} div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.bit_get(byte, (F.col("_spot") % 8).cast("int"))
-    return rows.withColumn("_spot", spot).withColumn("_row", F.expr(f"_spot div {ROW_BITS}")).join(
-        F.broadcast(bitmap), "_row", "left").withColumn("_maybe", F.coalesce(bit == 1, F.lit(False)))
+def _doubtful(rows: DataFrame, listed: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """``rows`` with one more column, and its name: whether their keys hash to a bit that a listed key sets."""
+    apart = "_" * (1 + max(map(len, rows.columns)))  # no column of the rows
+    spot, row, bits, maybe = (f"{name}{apart}" for name in ("spot", "row", "bits", "maybe"))
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(BITS)).cast("int").alias(spot)
+    above, at = F.call_function("div", F.col(spot), F.lit(ROW_BITS)), F.col(spot) % ROW_BITS
+    bitmap = listed.select(hashed).groupBy(above.alias(row)).agg(F.bitmap_construct_agg(at).alias(bits))
+    byte = F.conv(F.hex(F.substr(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.bit_get(byte, (at % 8).cast("int"))
+    marked = rows.select("*", hashed).withColumn(row, above).join(F.broadcast(bitmap), row, "left")
+    return marked.withColumn(maybe, F.coalesce(bit == 1, F.lit(False))), maybe
 
 
 def without_listed(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,15 +48,16 @@ def without_listed(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataF
     not listed and pass; the others are the listed ones and a share of accidental hits (listed keys over ``BITS``), and
     settled by a join. As in any anti-join, a row with a NULL key is not listed.
     """
-    marked = _doubtful(rows, listed, keys)
-    passed = marked.where(~F.col("_maybe")).select(*rows.columns)
-    doubtful = marked.where("_maybe").select(*rows.columns)
+    marked, maybe = _doubtful(rows, listed, keys)
+    passed = marked.where(~F.col(maybe)).select(*rows.columns)
+    doubtful = marked.where(F.col(maybe)).select(*rows.columns)
     return passed.unionByName(attach(doubtful, listed.select(*keys).distinct(), keys, "left_anti"))
 
 
 def may_be_listed(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are listed and, rarely, others: what a semi-join need not shuffle is gone. See ``without_listed``."""
-    return _doubtful(rows, listed, keys).where("_maybe").select(*rows.columns)
+    marked, maybe = _doubtful(rows, listed, keys)
+    return marked.where(F.col(maybe)).select(*rows.columns)
 
 
 def keep_parents(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
