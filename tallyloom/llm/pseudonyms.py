@@ -9,18 +9,18 @@ anew. So every value has one pseudonym under a key, equal values stay linked acr
 values stay different, and whoever has the key can undo it (``inverse=True``). Of an e-mail address
 the letters and digits of the local part are permuted among letters and digits; the domain stays.
 
-All work is per row in Arrow batches; nothing is shuffled or gathered. Candidates are found by a scan
-for digits and ``@`` and only there matched in detail: from each start every kind and every length (longest first,
-of IBANs the country's own first) until one passes its check, else from the next start.
-
-Defined cases: NULL texts stay NULL and empty ones empty; overlapping values go to the one that
-begins first, then to the kind listed first in ``KINDS``, but no card or foreign phone ends inside another value, and a
-card that is made up of other values without a rest is those; numbers that fail their check are left as they are; a
-text keeps its number of characters. All other columns are passed through.
-
-Where values stand so close that their pseudonyms would be read as other values, all of that run are permuted again
-until they are not (so equal values differ there), at most ``WALKS`` times; a run of hundreds of numbers for which
-this does not suffice keeps the first pseudonyms, and undoing it may then read it in another way.
+All work is per row in Arrow batches; nothing is shuffled or gathered. Candidates are found by a scan for digits and ``@``:
+from each start every kind and length that passes its check (card numbers by prefix sums of the digits, so a
+line of numbers takes time in proportion to its length). Where candidates overlap, those are read that together cover
+most: a digit or letter counts eight, in a card of unusual form (length and first digits, grouping) one; a card has spaces or
+hyphens, not both; at equal cover other kinds go before cards. So a number that is only by chance a card, made of parts of its neighbours, does not
+take their place. A value's pseudonym depends on the value and the key alone, so equal values stay linked whatever is beside them.
+
+Defined cases: NULL texts stay NULL and empty ones empty; numbers that fail their check are left as they are; a text
+keeps its number of characters, and texts of any length are read in linear time; rows are independent, so repeated rows
+and ids, ties and empty tables need no rule. All other columns are passed through, whatever their names. Undoing reads
+the pseudonyms anew; where, in rare cases, their digits and numbers beside them form another value by chance, it
+may read that.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import datetime
 import hashlib
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,7 +44,6 @@ REMEMBERED = 200_000
 
 KINDS = ("email", "iban", "card", "phone", "ip", "ssn", "date")
 
-EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+\-]+\Z", re.ASCII)
 EMAIL_RIGHT = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", re.ASCII)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII)
 IBAN_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){8,31}", re.ASCII)
@@ -56,16 +56,20 @@ IBAN_LENGTHS = {country: int(length) for length, countries in (
 # Where a number of any kind may stand, to be read in detail from each START.
 SPAN = re.compile(r"[+(0-9][0-9 ().:/\-]{5,}[0-9]", re.ASCII)
 START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}|(?<!\d)\d|[+(]", re.ASCII)
-# One pattern per number of digits, most digits first.
-CARDS = [re.compile(rf"(?<![\d.])\d(?:[ -]?\d){{{n}}}(?!\d)", re.ASCII) for n in range(18, 11, -1)]
-PHONES = [re.compile(r"(?<![\d.+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", re.ASCII),
-          *(re.compile(rf"(?<![\d.])\+[1-9](?:[ .()-]{{0,2}}\d){{{n}}}(?!\d)", re.ASCII) for n in range(13, 6, -1))]
+NUMBER = re.compile(r"\d+", re.ASCII)
+# How cards of common issuers begin, how many digits they have, and how these are grouped.
+ISSUED = [("34 37", 15), ("30 36 38 39", 14), ("2 4 5 6 35", 16)]
+GROUPINGS = {(16,), (15,), (14,), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+# One pattern per number of digits.
+PHONE = re.compile(r"(?<![\d.+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", re.ASCII)
+FOREIGN = [re.compile(rf"(?<![\d.])\+[1-9](?:[ .()-]{{0,2}}\d){{{n}}}(?!\d)", re.ASCII) for n in range(13, 6, -1)]
 OTHERS = [("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)", re.ASCII)),
           ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.ASCII)),
           ("date", re.compile(r"(?<![\d./-])(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})(?![\d])", re.ASCII))]
 WORDY = frozenset(string.ascii_letters + string.digits)
-# How often a run of values is permuted until it is read again as the same values.
-WALKS = 100
+LOCAL = WORDY | set("._%+-")
+# What a digit of a value counts against one of an unusual card: two such cards do not outweigh a date.
+FULL = 8
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -77,8 +81,12 @@ class Permutation:
         self.key, self.inverse = key[:64], inverse
 
     def _round(self, label: str, turn: int, half: int, mask: int) -> int:
-        data = f"{label}|{turn}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=16).digest(), "big") & mask
+        data = f"{label}|{turn}|{half:x}".encode()
+        first = hashlib.blake2b(data, key=self.key, digest_size=64).digest()
+        # As many bits as a half has, however long the value.
+        more = (hashlib.blake2b(first + bytes([i % 256, i // 256 % 256, i // 65536]), key=self.key, digest_size=64).digest()
+                for i in range(mask.bit_length() // 512))
+        return int.from_bytes(first + b"".join(more), "big") & mask
 
     def _once(self, label: str, value: int, bits: int) -> int:
         mask = (1 << bits) - 1
@@ -213,12 +221,15 @@ def pseudonym(permute: Permutation, kind: str, found: str) -> str | None:
 
 def emails(text: str) -> dict[int, int]:
     """Begin and end of each e-mail address."""
-    found, at = {}, text.find("@")
+    found, at, done = {}, text.find("@"), 0
     while at >= 0:
-        left = EMAIL_LEFT.search(text, max(0, at - 64), at)
-        right = EMAIL_RIGHT.match(text, at + 1)
-        if left and right:
-            found.setdefault(left.start(), right.end())
+        left = at
+        while left > done and text[left - 1] in LOCAL:
+            left -= 1
+        right = EMAIL_RIGHT.match(text, at + 1) if left < at else None
+        if right:
+            found[left] = right.end()
+        done = at + 1
         at = text.find("@", at + 1)
     return found
 
@@ -234,11 +245,17 @@ def clusters(text: str) -> list[tuple[int, int]]:
     return merged
 
 
+def usual_card(digits: str, groups: list[int]) -> bool:
+    """Whether a card number has the form of a common issuer's."""
+    return tuple(groups) in GROUPINGS and any(
+        len(digits) == length and digits.startswith(tuple(first.split())) for first, length in ISSUED)
+
+
 class Reader:
     """Values in one string, each checked where it is found."""
 
     def __init__(self, text: str, new: Callable[[str, str], str | None]):
-        self.text, self.new, self.emails, self.memo = text, new, emails(text), {}
+        self.text, self.new, self.emails = text, new, emails(text)
 
     def _valid(self, kind: str, start: int, end: int) -> bool:
         return self.new(kind, self.text[start:end]) is not None
@@ -257,67 +274,83 @@ class Reader:
                 return end
         return None
 
-    def _simple(self, start: int) -> tuple[int, str] | None:
-        """The value other than a card that begins here."""
-        if start not in self.memo:
-            self.memo[start] = self._find_simple(start)
-        return self.memo[start]
-
-    def _find_simple(self, start: int) -> tuple[int, str] | None:
-        if start in self.emails:
-            return self.emails[start], "email"
-        end = self._iban(start)
-        if end:
-            return end, "iban"
-        # Of the ends of a phone number of another country, none lies inside of another value.
-        for i, pattern in enumerate(PHONES):
-            match = pattern.match(self.text, start)
-            if match and (i == 0 or not self._cuts(start, match.end())):
-                return match.end(), "phone"
-        for kind, pattern in OTHERS:
-            match = pattern.match(self.text, start)
-            if match and self._valid(kind, start, match.end()):
-                return match.end(), kind
-        return None
-
-    def _starts(self, low: int, high: int) -> list[int]:
-        return sorted({m.start() for m in START.finditer(self.text, low, high)} | {e for e in self.emails if low <= e < high})
-
-    def _cuts(self, start: int, end: int) -> bool:
-        """Whether a value begins in between and goes on behind ``end``."""
-        inner = (self._simple(at) for at in self._starts(start + 1, end))
-        return any(value and value[0] > end for value in inner)
-
-    def _tiled(self, start: int, end: int) -> bool:
-        """Whether other values fill the place without a rest."""
-        while start < end:
-            value = self._simple(start)
-            if not value:
-                return False
-            start = value[0] + (value[0] < end and self.text[value[0]] in " -")
-            if value[0] == end:
-                return True
-        return False
-
-    def at(self, start: int) -> tuple[int, str] | None:
-        """End and kind of the value that begins here."""
+    def _cards(self, low: int, high: int) -> Iterator[tuple[int, int, str, int]]:
+        """Cards of 13 to 19 digits with at most one space, or one hyphen, between two; from a start that has a usual one, only that."""
+        text = self.text
+        numbers = [m.span() for m in NUMBER.finditer(text, low, high)]
+        digits = "".join(text[a:b] for a, b in numbers)
+        # Digits up to a place with every second one doubled, counted from the front, for either parity.
+        sums = [[0], [0]]
+        for i, d in enumerate(map(int, digits)):
+            twice = 2 * d - 9 * (d > 4)
+            sums[0].append(sums[0][-1] + (twice if i % 2 else d))
+            sums[1].append(sums[1][-1] + (d if i % 2 else twice))
+        at = [0]
+        for a, b in numbers:
+            at.append(at[-1] + b - a)
+        for g, (start, _) in enumerate(numbers):
+            if start and text[start - 1] == ".":
+                continue
+            found, groups, between, h = [], [], None, g
+            while True:
+                groups.append(at[h + 1] - at[h])
+                many = at[h + 1] - at[g]
+                if many > 19:
+                    break
+                if many >= 13:
+                    total = sums[(at[h + 1] - 1) % 2]
+                    own = digits[at[g]:at[h + 1]]
+                    if (total[at[h + 1]] - total[at[g]]) % 10 == 0 and own.strip("0"):
+                        usual = usual_card(own, groups)
+                        found.append((usual, start, numbers[h][1], many))
+                if h + 1 == len(numbers) or numbers[h + 1][0] - numbers[h][1] != 1 or text[numbers[h][1]] not in (between or " -"):
+                    break
+                between = text[numbers[h][1]]
+                h += 1
+            for usual, low_, high_, many in found:
+                if usual or not any(f[0] for f in found):
+                    yield low_, high_, "card", many * (FULL if usual else 1)
+
+    def _others(self, start: int) -> Iterator[tuple[int, int, str, int]]:
+        text = self.text
         if start in self.emails:
-            return self.emails[start], "email"
-        for pattern in CARDS:
-            match = pattern.match(self.text, start)
-            if (match and self._valid("card", start, match.end()) and not self._tiled(start, match.end())
-                    and not self._cuts(start, match.end())):
-                return match.end(), "card"
-        return self._simple(start)
+            yield start, self.emails[start], "email", FULL * (self.emails[start] - start)
+        if text[start].isalpha():
+            end = self._iban(start)
+            if end:
+                yield start, end, "iban", FULL * sum(c in WORDY for c in text[start:end])
+            return
+        found = [("phone", PHONE.match(text, start))]
+        if text[start] == "+":
+            found += [("phone", pattern.match(text, start)) for pattern in FOREIGN]
+        elif text[start] != "(":
+            found += [(kind, match) for kind, pattern in OTHERS if (match := pattern.match(text, start)) and self._valid(kind, start, match.end())]
+        for kind, match in found:
+            if match:
+                yield start, match.end(), kind, FULL * sum(c in string.digits for c in match[0])
+
+    def candidates(self, low: int, high: int) -> list[tuple[int, int, str, int]]:
+        """``(start, end, kind, weight)`` of all that passes its check, whether or not they overlap."""
+        starts = {m.start() for m in START.finditer(self.text, low, high)} | {e for e in self.emails if low <= e < high}
+        return [*self._cards(low, high), *(c for start in starts for c in self._others(start))]
 
     def values(self, low: int, high: int) -> list[tuple[int, int, str]]:
-        found, done = [], low
-        for start in self._starts(low, high):
-            value = self.at(start) if start >= done else None
-            if value:
-                found.append((start, *value))
-                done = value[0]
-        return found
+        """The candidates that together weigh most, without overlap; then with fewest cards, then fewest values."""
+        found = sorted(self.candidates(low, high), key=lambda c: (c[1], c[0], c[2]))
+        ends, best, last = [low], [(0, 0, 0)], [None]
+        for candidate in found:
+            start, end, kind, weight = candidate
+            before = bisect_right(ends, start) - 1
+            total = (best[before][0] + weight, best[before][1] - (kind == "card"), best[before][2] - 1)
+            if total > best[-1]:
+                ends.append(end)
+                best.append(total)
+                last.append((before, candidate))
+        chosen, at = [], len(ends) - 1
+        while last[at]:
+            at, candidate = last[at]
+            chosen.append(candidate[:3])
+        return chosen[::-1]
 
 
 def replaced(text: str, permute: Permutation, known: dict[tuple[str, str], str | None]) -> tuple[str, dict[str, int]]:
@@ -335,24 +368,9 @@ def replaced(text: str, permute: Permutation, known: dict[tuple[str, str], str |
         # With the neighbours that the patterns look at.
         base = max(0, low - 1)
         own = text[base:high + 2]
-        found = Reader(own, new).values(low - base, high - base)
-        if not found:
-            continue
-        first = changed = None
-        for _ in range(WALKS):
-            at, parts = 0, []
-            for start, end, kind in found:
-                parts += [own[at:start], new(kind, (changed or own)[start:end])]
-                at = end
-            changed = "".join([*parts, own[at:]])
-            first = first or changed
-            if Reader(changed, new).values(low - base, high - base) == found:
-                break
-        else:
-            changed = first
-        out += [text[done:low], changed[low - base:high - base]]
-        done = high
-        for _, _, kind in found:
+        for start, end, kind in Reader(own, new).values(low - base, high - base):
+            out += [text[done:base + start], new(kind, own[start:end])]
+            done = base + end
             counts[kind] = counts.get(kind, 0) + 1
     return "".join([*out, text[done:]]), counts
 

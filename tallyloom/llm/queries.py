@@ -58,12 +58,17 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
-# The query's key; a real run takes a secret from its caller.
+# The key of a session that names none: public, for the given tables only.
 PII_KEY = b"key of the registered query"
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret of ``spark.tallyloom.pii.key``."""
+    return spark.conf.get("spark.tallyloom.pii.key", PII_KEY.decode()).encode()
+
+
 def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    done = pseudonyms.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"), PII_KEY, counts=True)
+    done = pseudonyms.pseudonymise(table(spark, folder, "documents").select("doc_id", "text"), pii_key(spark), counts=True)
     return done.withColumn("n_replaced", sum((F.col(f"n_{kind}") for kind in pseudonyms.KINDS), F.lit(0)))
 
 

@@ -106,3 +106,46 @@ def prefix_trie(conversations):
         out.append((min(members[node]), len(node), min(members[node[:-1]]) if node else None, len(members[node]), len(below),
                     leaves[node], saved[node], hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
     return sorted(out, key=repr)
+
+
+def pii_values(text):
+    """Best weight of values in a short text, over all substrings and all ways to choose among them."""
+    import datetime
+
+    from tallyloom.llm.pseudonyms import luhn, usual_card
+
+    def weight(a, b):
+        part, before, after = text[a:b], text[a - 1:a], text[b:b + 1]
+        digits = "".join(c for c in part if c.isdigit())
+        most = 0
+        if after.isdigit():
+            return 0
+        if re.fullmatch(r"\d+(?:([ -])\d+(?:\1\d+)*)?", part) and 13 <= len(digits) <= 19 and not re.match(r"[\d.]", before) and digits.strip("0"):
+            if luhn(digits[:-1]) == int(digits[-1]):
+                usual = usual_card(digits, [len(x) for x in re.split("[ -]", part)])
+                most = len(digits) * (8 if usual else 1)
+        if re.fullmatch(r"(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}", part) and not re.match(r"[\d.+]", before):
+            most = max(most, 80)
+        if re.fullmatch(r"1[ .-](?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}", part) and not re.match(r"[\d.+]", before):
+            most = max(most, 88)
+        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", part) and not re.match(r"[\d-]", before) and after != "-":
+            if 0 < int(part[:3]) < 900 and part[:3] != "666" and part[4:6] != "00" and part[7:] != "0000":
+                most = max(most, 72)
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", part) and not re.match(r"[\d./-]", before):
+            try:
+                most = max(most, 64 if 1900 <= datetime.date.fromisoformat(part).year < 2100 else 0)
+            except ValueError:
+                pass
+        return most
+
+    usual = {a for a in range(len(text)) for b in range(a + 13, min(len(text), a + 20) + 1)
+             if re.fullmatch(r"\d+(?:([ -])\d+(?:\1\d+)*)?", text[a:b]) and weight(a, b) >= 104 and len(re.findall(r"\d", text[a:b])) in (14, 15, 16)}
+    best = [0] * (len(text) + 1)
+    for b in range(1, len(text) + 1):
+        best[b] = best[b - 1]
+        for a in range(max(0, b - 40), b):
+            own = weight(a, b)
+            # From a start that has a usual card only that is read.
+            if own and not (a in usual and own in range(13, 20) and own == len(re.findall(r"\d", text[a:b]))):
+                best[b] = max(best[b], best[a] + own)
+    return best[-1]

@@ -1,9 +1,13 @@
 """Operators that learn or permute: URL models, toxicity, nearest neighbours, pseudonyms; and the pipeline."""
 
+import itertools
 import re
+import time
 
+import brute
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import rows as sorted_rows
 from given_rows import documents  # noqa: F401
 from hypothesis import given, settings
@@ -178,6 +182,61 @@ def test_close_values_come_back(values, key):
     assert pseudonyms.replaced(new, pseudonyms.Permutation(key, inverse=True), {})[0] == text
 
 
+def some_value(random, kind):
+    number = lambda low, high: int(random.randint(low, high + 1))
+    if kind == "card":
+        body = str(random.choice([4, 5, 6])) + "".join(str(number(0, 9)) for _ in range(14))
+        digits, between = body + str(pseudonyms.luhn(body)), random.choice(["", " ", "-"])
+        return between.join(digits[i:i + 4] for i in range(0, 16, 4))
+    if kind == "iban":
+        rest = "".join(str(number(0, 9)) for _ in range(18))
+        digits = "DE" + pseudonyms.iban_check("DE", rest) + rest
+        return " ".join(digits[i:i + 4] for i in range(0, 22, 4))
+    return {"phone": f"{number(200, 999)}-{number(200, 999)}-{number(0, 9999):04d}", "ssn": f"{number(1, 665):03d}-{number(1, 99):02d}-{number(1, 9999):04d}",
+            "date": f"{number(1950, 2030)}-{number(1, 12):02d}-{number(1, 28):02d}", "ip": ".".join(str(number(10, 255)) for _ in range(4)),
+            "foreign": f"+44 20 {number(1000, 9999)} {number(1000, 9999)}", "email": f"{'x' * number(1, 100)}{number(0, 99)}@ex.org"}[kind]
+
+
+@pytest.mark.parametrize("many, times", [(2, 12), (3, 2)])
+def test_neighbours_do_not_change_a_pseudonym(many, times):
+    """Every ordered pair and triple of kinds: each value is replaced as it is alone, and all come back."""
+    random = np.random.RandomState(many)
+    there, back = pseudonyms.Permutation(b"k"), pseudonyms.Permutation(b"k", inverse=True)
+    for kinds in itertools.product(("card", "phone", "ssn", "date", "ip", "iban", "email", "foreign"), repeat=many):
+        for _ in range(times):
+            values = [some_value(random, kind) for kind in kinds]
+            new, counts = pseudonyms.replaced(" ".join(values), there, {})
+            assert new == " ".join(pseudonyms.replaced(v, there, {})[0] for v in values) and sum(counts.values()) == many
+            assert not any(v in new for v in values)
+            assert pseudonyms.replaced(new, back, {})[0] == " ".join(values)
+
+
+@given(st.lists(st.sampled_from(["2024-01-15", "415-555-2671", "123-45-6789", "4111 1111 1111 1111", "378282246310005", "4417", "7763", "1706", "6904",
+                                 "337", "12", "4111-1111 1111 1111", "1 ", "666-12-1234", "2023-02-30", ".", "x"]), min_size=1, max_size=5),
+       st.sampled_from([" ", "-", ""]))
+@settings(max_examples=120, deadline=None)
+def test_reader_equals_brute_force(parts, between):
+    text = between.join(parts)
+    kept = pseudonyms.Permutation(b"k")
+    reader = pseudonyms.Reader(text, lambda kind, found: pseudonyms.pseudonym(kept, kind, found))
+    weights = {c[:3]: c[3] for c in reader.candidates(0, len(text))}
+    assert sum(weights[v] for v in reader.values(0, len(text))) == brute.pii_values(text)
+
+
+def test_long_local_parts_and_tables_of_numbers():
+    kept = pseudonyms.Permutation(b"k")
+    new, counts = pseudonyms.replaced("a" * 500 + "7@ex.org", kept, {})
+    assert counts == {"email": 1} and "aaaa" not in new and new.endswith("@ex.org") and len(new) == 508
+    random = np.random.RandomState(1)
+    lines = [" ".join(map(str, random.randint(0, 10**6, many))) for many in (20_000, 40_000)]
+    seconds = []
+    for line in lines:
+        start = time.process_time()
+        pseudonyms.replaced(line, kept, {})
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 3 * seconds[0] + 0.5 and seconds[1] < 10
+
+
 def test_invalid_numbers_stay():
     text = "4111 1111 1111 1112 and 666-12-1234, 300.1.2.3, 2023-02-30, DE00370400440532013000, v1.2.3, 1234567890"
     assert pseudonyms.replaced(text, pseudonyms.Permutation(b"k"), {}) == (text, {})
