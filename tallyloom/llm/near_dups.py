@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import arrays
 from tallyloom.llm.components import components, parts_of
 from tallyloom.llm.shipping import shipped
-from tallyloom.operators.joins import attach
+from tallyloom.operators.joins import attach, may_be_listed, without_listed
 from tallyloom.session import cut_lineage
 
 WORDS = 5
@@ -169,10 +169,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, n_shingles, shingles, registers`` of the documents whose id is in ``nodes`` (column ``node``).
 
-    Texts are compressed before they are shuffled.
+    Texts of other documents stay where they are, the others are compressed before they are shuffled.
     """
-    packed = docs.where("doc_id is not null").mapInArrow(_compressed, "doc_id long, text binary")
-    wanted = packed.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
+    nodes = cut_lineage(nodes.withColumnRenamed("node", "doc_id"))
+    packed = may_be_listed(docs, nodes, ["doc_id"]).mapInArrow(_compressed, "doc_id long, text binary")
+    wanted = packed.join(nodes.hint("merge"), "doc_id", "left_semi")
     return wanted.select("doc_id", "text").mapInArrow(_sets, "node long, n_shingles long, shingles binary, registers binary")
 
 
@@ -296,7 +297,9 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
         if turn and placed.isEmpty():
             break
         found = verified(sets, cut_lineage(_meetings(placed, turn, parts)))
-        links = cut_lineage((found if links is None else links.unionByName(found)).coalesce(parts))
+        # Comparisons keep the partitions of their join; only the links found are put together.
+        found = cut_lineage(found).coalesce(parts)
+        links = found if links is None else links.unionByName(found)
         labels = components(links)
         placed = cut_lineage(_relabelled(placed, labels, parts))
         if turn == 0:
@@ -314,7 +317,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
 def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without near copies of a document with a smaller id. All columns stay; of rows that
-    repeat an id and all else, each stays."""
+    repeat an id and all else, each stays, and so do rows without an id. Texts that stay are not shuffled."""
     gone = near_duplicates(documents, id_column, text_column).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents[id_column].cast("long") == gone["_gone"], "left_anti")
+    mark = "_gone" + "_" * max(len(c) for c in documents.columns)  # no column of the documents
+    gone = cut_lineage(gone.select(F.col("doc_id").alias(mark)).distinct())
+    return without_listed(documents.withColumn(mark, F.col(id_column).cast("long")), gone, [mark]).drop(mark)
