@@ -2,8 +2,8 @@
 
 Chunk factorization keeps the number of rows far below the number of words:
 
-1. Tasks count white-space chunks per document, A-Z lower-cased, a slice of documents at a time, and write one row per
-   language and distinct chunk of the slice: the number of documents, the documents themselves as long as they are fewer
+1. Tasks count white-space chunks per document, A-Z lower-cased and without what cannot be part of a term at either
+   end, a slice of documents at a time, and write one row per language and distinct chunk of the slice: the number of documents, the documents themselves as long as they are fewer
    than ``at_least``, and the occurrences in each source.
 2. Rows are brought together by chunk, each globally distinct chunk is tokenized once, and its terms get the
    chunk's documents per language. A term's documents lie between the largest number of one of its chunks and their
@@ -57,6 +57,26 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(gathered)]).cast(pa.string())
 
 
+_IN_TERM = np.zeros(256, bool)
+_IN_TERM[[*range(97, 123), *range(128, 256)]] = True
+
+
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without bytes of no term at either end; empty if there are no others."""
+    starts, ends = starts.copy(), ends.copy()
+    for turn in range(4):
+        front = np.flatnonzero((starts < ends) & ~_IN_TERM[data[np.minimum(starts, len(data) - 1)]])
+        starts[front] += 1
+        back = np.flatnonzero((starts < ends) & ~_IN_TERM[data[ends - 1]])
+        ends[back] -= 1
+    # Long runs of them are passed over at once.
+    left = np.flatnonzero((starts < ends) & ~(_IN_TERM[data[np.minimum(starts, len(data) - 1)]] & _IN_TERM[data[ends - 1]]))
+    for i in left.tolist():
+        inside = np.flatnonzero(_IN_TERM[data[starts[i]:ends[i]]])
+        starts[i], ends[i] = (starts[i] + inside[0], starts[i] + inside[-1] + 1) if len(inside) else (ends[i], ends[i])
+    return starts, ends
+
+
 def _counted(table: pa.Table, number: int, at_least: int) -> pa.RecordBatch:
     """Chunks of one slice, per language."""
     table = table.sort_by([("lang", "ascending"), ("source", "ascending")]).combine_chunks()
@@ -67,10 +87,13 @@ def _counted(table: pa.Table, number: int, at_least: int) -> pa.RecordBatch:
     (_, data, offsets), = arrays.chunks(texts, 1 << 62)
     data = arrays.LOWER[data]
     starts, ends, first = arrays.word_spans(data, offsets, arrays.SOLID)
-    _, where, chunk = np.unique(arrays.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    strings = _strings(data, starts[where], ends[where])
     many = len(texts)
     doc = np.repeat(np.arange(many), np.diff(first))
+    starts, ends = _trimmed(data, starts, ends)
+    some = starts < ends
+    starts, ends, doc = starts[some], ends[some], doc[some]
+    _, where, chunk = np.unique(arrays.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    strings = _strings(data, starts[where], ends[where])
     # Documents stand in order of language and source, so pairs in order of chunk and document do as well.
     pairs, times = np.unique(chunk * many + doc, return_counts=True)
     chunk, doc = pairs // many, pairs % many
