@@ -149,3 +149,33 @@ def pii_values(text):
             if own and not (a in usual and own in range(13, 20) and own == len(re.findall(r"\d", text[a:b]))):
                 best[b] = max(best[b], best[a] + own)
     return best[-1]
+
+
+def divergence(docs, at_least, top):
+    """Rows (lang, source, part, item, value, rank) of (text, lang, source)."""
+    counts, spread, groups = {}, {}, set()
+    for text, lang, source in docs:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered(text))
+        for term in terms:
+            counts[lang, source, term] = counts.get((lang, source, term), 0) + 1
+        for term in set(terms):
+            spread[lang, term] = spread.get((lang, term), 0) + 1
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [t for (own, t), many in spread.items() if own == lang and many >= at_least]
+        sources = sorted(s for own, s in groups if own == lang)
+
+        def shares(held):
+            total = sum(held(t) for t in kept)
+            return {t: 1 + 10**9 * (held(t) + 5) // (total + 5 * len(kept)) for t in kept}
+
+        q = shares(lambda t: sum(counts.get((lang, s, t), 0) for s in sources))
+        p = {s: shares(lambda t, s=s: counts.get((lang, s, t), 0)) for s in sources}
+        for s in sources:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(q[t] - p[s][t], t.encode(), t) for t in kept if counts.get((lang, s, t), 0) and p[s][t] > q[t]]
+            out += [(lang, s, "pair", o, -v, i) for i, (v, _, o) in enumerate(sorted(pairs), 1)]
+            out += [(lang, s, "term", t, -v, i) for i, (v, _, t) in enumerate(sorted(terms)[:top], 1)]
+    return out
