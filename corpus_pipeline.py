@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import decontaminate, near_dups, packing, pseudonyms, toxicity
 from tallyloom.llm.columns import table
 from tallyloom.llm.queries import pii_key, tokenizer_file
-from tallyloom.session import shared_folder
+from tallyloom.session import remove_folder, shared_folder
 
 # Documents with at least this probability of being toxic go.
 TOXIC = 0.5
@@ -63,8 +63,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = os.path.join(shared_folder(spark), f"corpus-pipeline-{uuid.uuid4().hex}")
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = os.path.join(folder, f"{number}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # Nothing goes back further than the rows just written.
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs
