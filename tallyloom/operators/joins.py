@@ -27,12 +27,15 @@ def attach(many: DataFrame, one: DataFrame, keys: list[str], how: str) -> DataFr
 # whatever the data.
 BITS, ROW_BITS = 1 << 26, 1 << 15
 
+# Bits for lists that grow with tables of narrow rows, where tens of millions of keys are listed: at most 32 MB.
+MANY_BITS = 1 << 28
 
-def _doubtful(rows: DataFrame, listed: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+
+def _doubtful(rows: DataFrame, listed: DataFrame, keys: list[str], bits_in_all: int | None) -> tuple[DataFrame, str]:
     """``rows`` with one more column, and its name: whether their keys hash to a bit that a listed key sets."""
     apart = "_" * (1 + max(map(len, rows.columns)))  # no column of the rows
     spot, row, bits, maybe = (f"{name}{apart}" for name in ("spot", "row", "bits", "maybe"))
-    hashed = F.pmod(F.xxhash64(*keys), F.lit(BITS)).cast("int").alias(spot)
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(bits_in_all or BITS)).cast("int").alias(spot)
     above, at = F.call_function("div", F.col(spot), F.lit(ROW_BITS)), F.col(spot) % ROW_BITS
     bitmap = listed.select(hashed).groupBy(above.alias(row)).agg(F.bitmap_construct_agg(at).alias(bits))
     byte = F.conv(F.hex(F.substr(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -41,22 +44,23 @@ def _doubtful(rows: DataFrame, listed: DataFrame, keys: list[str]) -> tuple[Data
     return marked.withColumn(maybe, F.coalesce(bit == 1, F.lit(False))), maybe
 
 
-def without_listed(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+def without_listed(rows: DataFrame, listed: DataFrame, keys: list[str], bits: int | None = None) -> DataFrame:
     """Anti-join that leaves wide rows where they are: only those that may be listed are shuffled.
 
     The listed keys are hashed into a bitmap of fixed size, which is broadcast. Rows whose bit is not set are
-    not listed and pass; the others are the listed ones and a share of accidental hits (listed keys over ``BITS``), and
-    settled by a join. As in any anti-join, a row with a NULL key is not listed.
+    not listed and pass; the others are the listed ones and a share of accidental hits (listed keys over ``bits``, which
+    are ``BITS`` by default), and settled by a join that keeps the listed keys, not the rows, in memory. As in any
+    anti-join, a row with a NULL key is not listed.
     """
-    marked, maybe = _doubtful(rows, listed, keys)
+    marked, maybe = _doubtful(rows, listed, keys, bits)
     passed = marked.where(~F.col(maybe)).select(*rows.columns)
     doubtful = marked.where(F.col(maybe)).select(*rows.columns)
-    return passed.unionByName(attach(doubtful, listed.select(*keys).distinct(), keys, "left_anti"))
+    return passed.unionByName(attach(doubtful, listed.select(*keys).distinct().hint("shuffle_hash"), keys, "left_anti"))
 
 
-def may_be_listed(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+def may_be_listed(rows: DataFrame, listed: DataFrame, keys: list[str], bits: int | None = None) -> DataFrame:
     """Rows whose keys are listed and, rarely, others: what a semi-join need not shuffle is gone. See ``without_listed``."""
-    marked, maybe = _doubtful(rows, listed, keys)
+    marked, maybe = _doubtful(rows, listed, keys, bits)
     return marked.where(F.col(maybe)).select(*rows.columns)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
 from tallyloom.functions import rules as R
-from tallyloom.operators.joins import attach
+from tallyloom.operators.joins import MANY_BITS, attach, without_listed
 from tallyloom.operators.lookup import counted, guarded
 from tallyloom.operators.ranking import split_rank
 from tallyloom.schemas import MAX_LENGTH
@@ -345,7 +345,7 @@ def project_delete(projects: DataFrame, files: DataFrame, requests: DataFrame
     owned = (projects.select(F.col("id").alias("project_id"), "user_id")
              .join(asked, keys).select(*keys, "_first"))
     left = projects.join(asked.withColumnRenamed("project_id", "id"), ["id", "user_id"], "left_anti")
-    files_left = attach(files, owned.select("project_id"), ["project_id"], "left_anti")
+    files_left = without_listed(files, owned.select("project_id"), ["project_id"], MANY_BITS)
     outcomes = attach(requests, owned, keys, "left").select(
         "seq", *keys,
         F.when(F.col("seq") == F.col("_first"), "deleted").otherwise("not_found").alias("outcome"))
