@@ -374,7 +374,7 @@ def user_cascade_delete(users: DataFrame, projects: DataFrame, files: DataFrame,
     known_gone = gone.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
     projects_left = attach(projects, known_gone, ["user_id"], "left_anti")
     projects_gone = attach(projects, known_gone, ["user_id"], "left_semi").select(F.col("id").alias("project_id"))
-    files_left = files.join(projects_gone, "project_id", "left_anti")
+    files_left = without_listed(files, projects_gone, ["project_id"], MANY_BITS)
     return (users_left.select(*users.columns), projects_left.select(*projects.columns),
             files_left.select(*files.columns))
 

@@ -58,3 +58,11 @@ def test_files_of_projects_that_stay_are_not_shuffled(spark, tables, no_broadcas
     assert shuffled(spark, left) < WIDE / 2
     gone = requests.select("project_id")
     assert rows(left, "file_size") == rows(tables["files"].join(gone, "project_id", "left_anti"), "file_size")
+
+
+def test_files_of_users_that_stay_are_not_shuffled(spark, tables, no_broadcast):
+    requests = tables["users"].where("id like '%7'").selectExpr("id as user_id")
+    left = merges.user_cascade_delete(tables["users"], tables["projects"], tables["files"], requests)[2]
+    assert shuffled(spark, left) < WIDE / 2
+    gone = tables["projects"].join(requests, "user_id").selectExpr("id as project_id")
+    assert rows(left, "file_size") == rows(tables["files"].join(gone, "project_id", "left_anti"), "file_size")
