@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import keys as K
-from tallyloom.operators.joins import attach
+from tallyloom.operators.joins import MANY_BITS, attach, may_be_listed
 
 
 def _answers(joined: DataFrame, requests: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -149,9 +149,9 @@ def object_listing(requests: DataFrame, projects: DataFrame, listing: DataFrame)
     """Objects below each requested folder (project_id, user_id, folder), sub-folders included.
 
     Requests for projects the user does not own list nothing; ``object_listing_outcomes`` says which
-    those are. Objects of other projects drop out first. Of the rest, each is taken once per folder it is
-    in (one, unless folders are nested), so that the prefix becomes an equality and no request is
-    held against objects outside its folder. The marker object of the folder is left out, and the
+    those are. Each object is taken once per folder it is in (one, unless folders are nested), so that the prefix becomes
+    an equality and no request is held against objects outside its folder. Those that nobody asks for drop
+    out by a bitmap of what is asked, before the one shuffle that the objects take. The marker object of the folder is left out, and the
     prefix is removed from the file name wherever it occurs.
     """
     pair, keys = ["user_id", "project_id"], ["user_id", "project_id", "folder"]
@@ -161,9 +161,8 @@ def object_listing(requests: DataFrame, projects: DataFrame, listing: DataFrame)
     parted = listing.where(K.in_project(F.col("key"))).select(
         K.key_user(F.col("key")).alias("user_id"), K.key_project(F.col("key")).alias("project_id"),
         F.col("key").alias("r2_key"), "size", "last_modified")
-    wanted = attach(parted, asked.select(*pair).distinct(), pair, "left_semi")
-    placed = wanted.withColumn("folder", F.explode(K.key_folders(F.col("r2_key"))))
-    found = attach(placed, asked, keys, "inner")
+    placed = parted.withColumn("folder", F.explode(K.key_folders(F.col("r2_key"))))
+    found = attach(may_be_listed(placed, asked, keys, MANY_BITS), asked.hint("shuffle_hash"), keys, "inner")
     prefix = K.folder_prefix(F.col("user_id"), F.col("project_id"), F.col("folder"))
     return found.where(F.col("r2_key") != prefix).select(
         *keys, F.replace("r2_key", prefix, F.lit("")).alias("filename"), "r2_key", "size", "last_modified")

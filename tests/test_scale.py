@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tallyloom.operators import merges
+from tallyloom.operators import lookup, merges
 
 N = 60_000
 
@@ -66,3 +66,13 @@ def test_files_of_users_that_stay_are_not_shuffled(spark, tables, no_broadcast):
     assert shuffled(spark, left) < WIDE / 2
     gone = tables["projects"].join(requests, "user_id").selectExpr("id as project_id")
     assert rows(left, "file_size") == rows(tables["files"].join(gone, "project_id", "left_anti"), "file_size")
+
+
+def test_objects_nobody_asks_for_are_not_shuffled(spark, tables, no_broadcast):
+    listing = tables["files"].selectExpr("concat('u', file_size div 100, '/projects/', project_id, '/d/', r2_key) as key",
+                                         "file_size as size", "1 as last_modified")
+    requests = tables["projects"].where("name like 'n%7'").selectExpr("user_id", "id as project_id", "'d' as folder")
+    found = lookup.object_listing(requests, tables["projects"], listing)
+    assert shuffled(spark, found) < WIDE / 2
+    asked = requests.select("project_id")
+    assert rows(found, "size") == rows(tables["files"].join(asked, "project_id", "left_semi"), "file_size")
