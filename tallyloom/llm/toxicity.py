@@ -33,6 +33,8 @@ from tallyloom.session import cut_lineage
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
+# Bytes of text handled at once: each has a few dozen bytes of places, hashes and keys for each size of n-gram.
+CHUNK = arrays.CHUNK // 8
 _U = np.uint64
 
 
@@ -53,7 +55,7 @@ def gram_places(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 
 def present(texts: pa.Array, wanted: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, rows, row, feature)``: the distinct features of each document, of all or the wanted ones."""
-    for row, data, offsets in arrays.chunks(texts):
+    for row, data, offsets in arrays.chunks(texts, CHUNK):
         data = arrays.LOWER[data]
         keys = []
         for size in SIZES:
