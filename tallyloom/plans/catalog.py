@@ -55,14 +55,15 @@ class _Inputs:
         return {"users": self.users, "projects": self.projects, "project_files": self.files}
 
 
-# Files that the events arrive in, one per micro-batch.
+# Parts that the events arrive in, each as files of its own.
 ARRIVALS = 4
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
     """Runs the results of the events table through the streaming operator to its end.
 
-    The events arrive in files, in order of time, so state goes from one micro-batch to the next.
+    The events arrive in parts, in order of time. Each is written by as many tasks as read the table, then the stream
+    goes on from its state until that part is used up.
     """
     events = spark.read.parquet(f"{folder}/events.parquet")
     base = os.path.join(shared_folder(spark), f"step-results-{uuid.uuid4().hex}")
@@ -70,10 +71,10 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
     bounds = [first + (last - first) * k / ARRIVALS for k in range(1, ARRIVALS)] if first is not None else []
     arrival = reduce(Column.__add__, [(F.col("ts") > F.lit(b)).cast("int") for b in bounds], F.lit(0))
     for number in range(ARRIVALS):
-        events.where(F.coalesce(arrival, F.lit(0)) == number).coalesce(1).write.parquet(f"{base}/in/{number}")
-    arriving = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"))
-    latest = stream.latest_step_results(_stream_results(arriving), LATEST)
-    stream.write_stream(latest, f"{base}/rows", f"{base}/state").awaitTermination()
+        events.where(F.coalesce(arrival, F.lit(0)) == number).write.parquet(f"{base}/in/{number}")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{base}/in/*")
+        latest = stream.latest_step_results(_stream_results(arriving), LATEST)
+        stream.write_stream(latest, f"{base}/rows", f"{base}/state").awaitTermination()
     rows = cut_lineage(spark.read.schema(latest.schema).parquet(f"{base}/rows"))
     remove_folder(spark, base)
     return _as_ntz(rows, ["window_start", "window_end", "ts"])
