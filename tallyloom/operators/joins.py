@@ -68,10 +68,11 @@ def keep_parents(parents: DataFrame, children: DataFrame, key: str) -> DataFrame
     """Left join of parents with unique ``key`` to any number of children per key.
 
     An outer join could not split the children, so this is the inner join plus the parents
-    without children, found with an anti-join on pre-aggregated child keys.
+    without children, found with an anti-join on pre-aggregated child keys. Both hold a partition's unique keys in
+    memory and sort nothing.
     """
-    matched = parents.join(children, key)
-    lonely = parents.join(children.select(key).distinct(), key, "left_anti")
+    matched = parents.hint("shuffle_hash").join(children, key)
+    lonely = parents.join(children.select(key).distinct().hint("shuffle_hash"), key, "left_anti")
     return matched.unionByName(lonely, allowMissingColumns=True)
 
 

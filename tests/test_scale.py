@@ -4,7 +4,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tallyloom.operators import lookup, merges
+from tallyloom.operators import joins, lookup, merges
+from tallyloom.plans import catalog
 
 N = 60_000
 
@@ -76,3 +77,20 @@ def test_objects_nobody_asks_for_are_not_shuffled(spark, tables, no_broadcast):
     assert shuffled(spark, found) < WIDE / 2
     asked = requests.select("project_id")
     assert rows(found, "size") == rows(tables["files"].join(asked, "project_id", "left_semi"), "file_size")
+
+
+def test_files_are_not_sorted_to_meet_their_projects(tables, no_broadcast):
+    joined = joins.project_files_join(tables["projects"], tables["files"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "Sort" not in plan
+
+
+def test_arrivals_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    kept = []
+    monkeypatch.setattr(catalog, "remove_folder", lambda _, path: kept.append(path))
+    out = catalog.QUERIES["step_results_stream"](spark, str(tmp_path))
+    assert rows(out) == rows(catalog.QUERIES["step_results_stream"](spark, "/root/testdata/sf0.001"))
+    for number in range(catalog.ARRIVALS):
+        assert spark.read.parquet(f"{kept[0]}/in/{number}").select(F.input_file_name()).distinct().count() > 1
