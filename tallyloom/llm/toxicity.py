@@ -35,6 +35,8 @@ BITS = 20
 SIZES = (3, 4, 5, 6)
 # Bytes of text handled at once: each has a few dozen bytes of places, hashes and keys for each size of n-gram.
 CHUNK = arrays.CHUNK // 8
+# Counts that go back to Spark at once; it holds a whole batch outside its heap.
+ROWS = 1 << 16
 _U = np.uint64
 
 
@@ -76,7 +78,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for label in (0, 1):
                 counts[label] += np.bincount(features[toxic[row + rows] == label], minlength=1 << BITS)
     used = np.flatnonzero(counts.any(axis=0))
-    yield pa.record_batch([pa.array(used), pa.array(counts[1][used]), pa.array(counts[0][used])], names=["feature", "yes", "no"])
+    for first in range(0, len(used), ROWS):
+        own = used[first:first + ROWS]
+        yield pa.record_batch([pa.array(own), pa.array(counts[1][own]), pa.array(counts[0][own])], names=["feature", "yes", "no"])
 
 
 def _kept_features(wanted: np.ndarray) -> Callable:
@@ -154,17 +158,18 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 20_000, feature
     return weights, intercept
 
 
-def _scores(weights: np.ndarray, intercept: float) -> Callable:
+def _scores(weights: np.ndarray, intercept: float, text: str) -> Callable:
+    """Adds ``_score``, from the column ``text``; the column ``_text`` is not returned."""
     wanted = weights != 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = batch.schema.names.index("_text")
-            for row, n, rows, features in present(batch.column(keep), wanted):
+            names = [name for name in batch.schema.names if name != "_text"]
+            for row, n, rows, features in present(batch.column(text), wanted):
                 margin = np.bincount(rows, weights[features], n) + intercept
                 score = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
-                others = [batch.column(i).slice(row, n) for i in range(batch.num_columns) if i != keep]
-                yield pa.record_batch([*others, pa.array(score)], names=[x for x in batch.schema.names if x != "_text"] + ["_score"])
+                others = [batch.column(name).slice(row, n) for name in names]
+                yield pa.record_batch([*others, pa.array(score)], names=[*names, "_score"])
     return run
 
 
@@ -173,7 +178,9 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, text_column: str = "
     """The columns ``keep`` (all by default) of every document with ``score_column``; see ``train`` for the rest."""
     weights, intercept = train(shipped(documents), labels, text_column=text_column, **training)
     keep = documents.columns if keep is None else keep
-    own = documents.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.coalesce(text_column, F.lit("")).alias("_text"))
+    # A text that is kept goes to Python once, as it is.
+    text = f"_{keep.index(text_column)}" if text_column in keep else "_text"
+    own = documents.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), *([] if text_column in keep else [F.col(text_column).alias("_text")]))
     schema = ", ".join([f"_{i} {own.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["_score double"])
-    scored = own.mapInArrow(_scores(weights, intercept), schema)
+    scored = own.mapInArrow(_scores(weights, intercept, text), schema)
     return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), F.col("_score").alias(score_column))
